@@ -6,12 +6,14 @@ from .common import table
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_digest
 from .licenses import licenses_digest, licenses_sql
 from .mixing import MIX_SQL, mix_digest
+from .ngram_join import ngram_join_digest
 from .sharding import shard_digest
 from .topk import TOPK_SQL, topk_digest
 from .toxicity import toxicity_digest
 
 QUERIES = {
     "op1_license_scan": lambda s, d: licenses_digest(table(s, d, "documents")),
+    "op2_ngram_jaccard": lambda s, d: ngram_join_digest(table(s, d, "documents")),
     "op3_mix_sources": lambda s, d: mix_digest(table(s, d, "documents")),
     "op5_decontaminate": lambda s, d: decontaminate_digest(table(s, d, "documents"), table(s, d, "benchmark")),
     "op7_toxicity": lambda s, d: toxicity_digest(table(s, d, "documents"), table(s, d, "labels")),
