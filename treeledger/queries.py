@@ -1,4 +1,367 @@
 """Registered queries of the catalog engine and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import names as N
+from .functions import paths as P
+from .functions.text import snippet, squeeze
+from .operators import hygiene as H
+from .operators import inventory as I
+from .operators import meta as M
+from .operators import search as S
+from .operators import usage as U
+from .plans import clean_up as C
+from .sources import tables as T
+from .streaming import monitors as R
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark, d):
+    return T.documents_catalog(T.read(spark, d, "documents"))
+
+
+def _lines(spark, d):
+    return T.lineitem_catalog(T.read(spark, d, "lineitem"))
+
+
+def _anc(c: str) -> str:
+    """SQL: all proper ancestors of a path."""
+    return f"list_transform(range(len(string_split({c}, '/'))), lambda i: array_to_string(string_split({c}, '/')[1:i], '/'))"
+
+
+_PAR = "regexp_replace(relpath, '(^|/)[^/]*$', '')"
+_NAME = "string_split(relpath, '/')[-1]"
+_EXT = "lower(regexp_extract(string_split(relpath, '/')[-1], '(?s)^\\.*[^.].*?(\\.[^.]*)$', 1))"
+W = "WITH " + T.ENTRIES_SQL
+_CAT = f"""CASE WHEN starts_with({_NAME}, '~$') THEN 'office-lock' WHEN {_EXT} = '.vmdk' THEN 'vm-image' WHEN {_EXT} = '.iso' OR ({_EXT} = '.exe' AND {_NAME} LIKE '%setup%') THEN 'installer'
+ WHEN {_EXT} = '.bak' THEN 'temp' WHEN {_NAME} LIKE '% (1).txt' OR {_NAME} LIKE '% - copy.txt' THEN 'conflict' WHEN size = 0 THEN 'empty-file' END"""
+_FOUND = f"""fo AS (SELECT e.root, x.category, x.dir AS relpath, true AS is_dir, count(*) AS files, sum(size)::BIGINT AS size, false AS needs_review FROM entries e JOIN (SELECT DISTINCT root, {_PAR} AS dir, CASE WHEN relpath LIKE '%/node_modules/%' THEN 'regenerable' ELSE 'app-data' END AS category FROM entries WHERE relpath LIKE '%/node_modules/%' OR relpath LIKE '%/cache/%') x ON e.root = x.root AND starts_with(e.relpath, x.dir || '/') GROUP BY ALL),
+ fi AS (SELECT a.root, a.cat AS category, a.relpath, false AS is_dir, 1::BIGINT AS files, a.size, a.cat = 'conflict' AND NOT coalesce(a.sha256 = o.sha256 AND a.cur AND o.cur, false) AS needs_review
+  FROM (SELECT *, {_CAT} AS cat FROM entries) a LEFT JOIN entries o ON a.cat = 'conflict' AND o.root = a.root AND o.relpath = replace(replace(a.relpath, ' (1).txt', '.txt'), ' - copy.txt', '.txt') WHERE a.cat IS NOT NULL AND (a.cat <> 'conflict' OR o.relpath IS NOT NULL) AND NOT (a.relpath LIKE '%/node_modules/%' OR a.relpath LIKE '%/cache/%')),
+ found AS (SELECT * FROM fo UNION ALL SELECT * FROM fi)"""
+
+
+@query(f"{W}, {_FOUND} SELECT category, count(*) AS findings, sum(files)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM found GROUP BY category")
+def hygiene_by_category(spark, d):
+    return H.by_category(H.findings(_docs(spark, d)))
+
+
+@query(f"{W}, {_FOUND} SELECT root, category, relpath, is_dir, files, size, needs_review FROM found")
+def hygiene_findings(spark, d):
+    return H.findings(_docs(spark, d))
+
+
+@query(f"{W} SELECT root, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (cur) AS hashed_files, (sum(size) FILTER (cur))::BIGINT AS hashed_bytes FROM entries GROUP BY root")
+def root_summary(spark, d):
+    return H.root_summary(_docs(spark, d))
+
+
+@query(f"WITH {T.LINES_SQL} SELECT root, dir, count(*) AS files, sum(size)::BIGINT AS bytes FROM (SELECT root, size, unnest({_anc('relpath')}) AS dir FROM entries) GROUP BY root, dir")
+def subtree_sizes(spark, d):
+    return H.subtree_sizes(_lines(spark, d))
+
+
+@query(f"WITH {T.LINES_SQL} SELECT root, {_PAR} AS dir, count(*) AS files FROM entries GROUP BY ALL ORDER BY files DESC, root, dir LIMIT 15")
+def fan_out_top(spark, d):
+    return H.fan_out(_lines(spark, d))
+
+
+@query(f"{W}, g AS (SELECT root, sha256, size, count(*) AS copies, min(relpath) AS first_path FROM entries WHERE size > 0 AND cur GROUP BY ALL) SELECT *, size * (copies - 1) AS waste FROM g WHERE copies > 1")
+def duplicates(spark, d):
+    return H.duplicates(_docs(spark, d))
+
+
+@query(f"{W} SELECT root, relpath, size, mtime_ns FROM entries WHERE size >= 5000 AND mtime_ns < 50000000000000")
+def stale_large(spark, d):
+    return H.stale_large(_docs(spark, d), 5000, 50_000_000_000_000)
+
+
+@query(f"{W}, n AS (SELECT root, {_PAR} AS dir, regexp_extract({_NAME}, '^(\\d{{1,3}})[_ .\\-)]', 1) AS t FROM entries), k AS (SELECT *, t::INT AS n FROM n WHERE t <> '') SELECT root, dir, count(*) AS files, count(*) - count(DISTINCT n) AS doubled, (max(n) - min(n) + 1 - count(DISTINCT n))::BIGINT AS missing, count(DISTINCT len(t)) AS widths FROM k GROUP BY root, dir HAVING count(*) >= 2")
+def structure_numbering(spark, d):
+    return H.numbering(_docs(spark, d))
+
+
+@query(f"{W}, n AS (SELECT root, {_PAR} AS dir, CASE WHEN {_NAME} LIKE '2024-01-%' AND regexp_matches({_NAME}, '^2024-01-\\d{{2}}') THEN 'YYYY-MM-DD' WHEN {_NAME} LIKE '2024-01-%' THEN 'YYYY-MM' WHEN {_NAME} LIKE '2023_02%' THEN 'YYYY_MM' WHEN regexp_matches({_NAME}, '^(19|20)\\d{{6}}(\\D|$)') THEN 'YYYYMMDD' WHEN regexp_matches({_NAME}, '^(19|20)\\d{{4}}(\\D|$)') THEN 'YYYYMM' WHEN regexp_matches({_NAME}, '^(19|20)\\d{{2}}(\\D|$)') THEN 'YYYY' END AS f FROM entries) SELECT root, dir, count(*) AS files, string_agg(DISTINCT f, ',' ORDER BY f) AS formats FROM n WHERE f IS NOT NULL GROUP BY root, dir HAVING count(DISTINCT f) > 1")
+def structure_mixed_dates(spark, d):
+    return H.mixed_dates(_docs(spark, d))
+
+
+@query(f"{W}, k AS (SELECT root, {_PAR} AS dir, CASE WHEN {_EXT} IN ('.txt', '.docx', '.pdf') THEN 'document' WHEN {_EXT} = '.jpg' THEN 'image' WHEN {_EXT} = '.mp3' THEN 'audio' WHEN {_EXT} = '.zip' THEN 'archive' END AS kind FROM entries), p AS (SELECT root, dir, kind, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY root, dir)::BIGINT AS files FROM p) SELECT root, dir, max(files) AS files, string_agg(kind, ',' ORDER BY kind) AS kinds FROM t WHERE files >= 10 AND kind IS NOT NULL AND n >= 0.02 * files GROUP BY root, dir HAVING count(*) >= 3")
+def structure_mixed_kinds(spark, d):
+    return H.mixed_kinds(_docs(spark, d), 10, 0.02)
+
+
+@query()
+def structure_similar_siblings(spark, d):
+    return H.similar_siblings(_docs(spark, d))
+
+
+@query()
+def structure_identical_folders(spark, d):
+    return H.identical_folders(_docs(spark, d))
+
+
+@query(f"{W}, b AS (SELECT root, relpath, ({_EXT} = '')::INT AS bare FROM entries), x AS (SELECT root, dir, count(*) AS files, sum(bare)::BIGINT AS bare FROM (SELECT root, bare, unnest({_anc('relpath')}) AS dir FROM b) WHERE dir <> '' GROUP BY ALL) SELECT root, dir, files, bare FROM x WHERE bare >= 1 AND bare * 2 >= files AND NOT EXISTS (SELECT 1 FROM x y WHERE y.root = x.root AND y.bare >= 1 AND y.bare * 2 >= y.files AND starts_with(y.dir, x.dir || '/'))")
+def no_extension_folders(spark, d):
+    return H.no_extension_folders(_docs(spark, d), 1)
+
+
+@query(f"{W} SELECT root, relpath, size FROM entries WHERE contains(lower(relpath), 'src1') AND contains(lower(relpath), '7') AND {_EXT} IN ('.txt', '.pdf', '.docx') AND size BETWEEN 500 AND 5000 AND mtime_ns >= 20000000000000")
+def search_combined(spark, d):
+    found = S.find(_docs(spark, d), words="SRC1 7", kind="document", min_size=500, max_size=5000, after_ns=20_000_000_000_000)
+    return found.select("root", "relpath", "size")
+
+
+@query(f"{W} SELECT root, relpath, mtime_ns FROM entries WHERE starts_with(relpath, 'src3/en/') ORDER BY mtime_ns DESC, relpath LIMIT 20")
+def search_under_newest(spark, d):
+    return S.find(_docs(spark, d), under="src3/en").orderBy(F.desc("mtime_ns"), "relpath").limit(20).select("root", "relpath", "mtime_ns")
+
+
+@query(f"{W} SELECT root, sha256, min(relpath) AS relpath, count(*) AS copies FROM entries WHERE starts_with(relpath, 'src') AND sha256 IS NOT NULL GROUP BY root, sha256")
+def search_collapsed(spark, d):
+    return S.collapse(S.find(_docs(spark, d), words="src")).select("root", "sha256", "relpath", "copies")
+
+
+def _extracts(spark, d):
+    return T.read(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"])
+
+
+_TEXT = "WITH x AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents)"
+
+
+@query(f"{_TEXT} SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
+def search_text_scan(spark, d):
+    return S.text_matches(_extracts(spark, d), ["license", "the"]).select("sha256")
+
+
+@query(f"{_TEXT} SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
+def search_text_indexed(spark, d):
+    x = _extracts(spark, d)
+    return S.indexed_matches(S.trigram_index(x), x, ["license", "the"]).select("sha256")
+
+
+@query("SELECT doc_id, CASE WHEN greatest(strpos(lower(text), 'license') - 40, 1) > 1 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, greatest(strpos(lower(text), 'license') - 40, 1), 120), '\\s+', ' ', 'g')) || CASE WHEN greatest(strpos(lower(text), 'license') - 40, 1) + 119 < length(text) THEN '…' ELSE '' END AS snippet FROM documents WHERE contains(lower(text), 'license')")
+def search_snippets(spark, d):
+    t = T.read(spark, d, "documents")
+    return t.filter(F.lower("text").contains("license")).select("doc_id", snippet(F.col("text"), "license").alias("snippet"))
+
+
+@query(f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY mtime_ns DESC, root, relpath) AS rn FROM entries WHERE cur AND {_EXT} IN ('.txt', '.pdf', '.docx') AND sha256 NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)) SELECT sha256, root, relpath, mtime_ns, CASE WHEN {_EXT} = '.txt' THEN 1 ELSE 0 END AS priority FROM r WHERE rn = 1")
+def extraction_pending(spark, d):
+    done = T.read(spark, d, "documents").filter("doc_id % 3 = 0").select(F.sha2("text", 256).alias("sha256")).distinct()
+    return S.pending(_docs(spark, d), done, N.KINDS["document"])
+
+
+_CHG = f"""{W}, {T.OBS_SQL}, ch AS (SELECT coalesce(a.root, b.root) AS root, coalesce(a.relpath, b.relpath) AS relpath, a.inode AS o_inode, b.inode, a.size AS o_size, b.size, CASE WHEN b.relpath IS NULL THEN 'missing' WHEN a.relpath IS NULL THEN 'new' WHEN a.size = b.size AND a.mtime_ns = b.mtime_ns AND a.inode = b.inode THEN 'same' ELSE 'changed' END AS state FROM entries a FULL JOIN obs b ON a.root = b.root AND a.relpath = b.relpath),
+ mv AS (SELECT g.root, g.relpath AS old_relpath, min(n.relpath) AS new_relpath FROM (SELECT * FROM ch WHERE state = 'missing' QUALIFY count(*) OVER (PARTITION BY root, o_inode) = 1) g JOIN ch n ON n.state = 'new' AND n.root = g.root AND n.inode = g.o_inode GROUP BY ALL)"""
+
+
+def _changes(spark, d):
+    e = _docs(spark, d)
+    return I.diff(e, T.second_observation(e))
+
+
+@query(f"{_CHG} SELECT root, relpath, state, o_size, size FROM ch")
+def inventory_diff(spark, d):
+    return _changes(spark, d).select("root", "relpath", "state", "o_size", "size")
+
+
+@query(f"{_CHG} SELECT root, old_relpath, new_relpath, false AS is_dir FROM mv")
+def inventory_moves(spark, d):
+    return I.inode_moves(_changes(spark, d))
+
+
+@query(f"{_CHG}, c AS (SELECT root, count(*) FILTER (state <> 'missing') AS seen, count(*) FILTER (state = 'new') AS n, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS g FROM ch GROUP BY root) SELECT c.root, seen, n - (SELECT count(*) FROM mv) AS added, changed, (SELECT count(*) FROM mv) AS moved, g - (SELECT count(*) FROM mv) AS gone FROM c")
+def inventory_counters(spark, d):
+    c = _changes(spark, d)
+    return I.scan_counters(c, I.inode_moves(c))
+
+
+@query(f"{_CHG} SELECT root, count(*) FILTER (state <> 'new') AS live, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'missing') > greatest(100, floor(count(*) FILTER (state <> 'new') * 0.2)) AS hold FROM ch WHERE state <> 'new' GROUP BY root")
+def inventory_safety_valve(spark, d):
+    return I.safety_valve(_changes(spark, d))
+
+
+@query()
+def inventory_relink(spark, d):
+    e = _docs(spark, d)
+    c = I.diff(e, T.second_observation(e))
+    gone = c.filter("state = 'missing'").join(e.select("root", "relpath", "sha256"), ["root", "relpath"]).select("root", "relpath", "sha256", F.col("o_size").alias("size"), F.lit(1).alias("last_seen"))
+    new = c.filter("state = 'new'").join(T.second_observation(e).select("root", "relpath", "sha256"), ["root", "relpath"]).select("root", "relpath", "sha256", "size", F.lit(2).alias("first_seen"))
+    return I.relink(gone, new)
+
+
+def _shots(spark, d):
+    e = _docs(spark, d)
+    one = e.select("root", F.lit(1).alias("taken_at"), "relpath", "size", "mtime_ns")
+    return one.union(T.second_observation(e).select("root", F.lit(2), "relpath", "size", "mtime_ns"))
+
+
+@query(f"{W}, {T.OBS_SQL}, j AS (SELECT a.relpath AS a, b.relpath AS b, a.size AS az, a.size <> b.size OR a.mtime_ns <> b.mtime_ns AS diff FROM entries a FULL JOIN obs b ON a.relpath = b.relpath), c AS (SELECT count(a) AS before, count(b) AS after, count(*) FILTER (b IS NULL) AS deleted, count(*) FILTER (diff) AS changed, count(*) FILTER (a IS NULL) AS added, coalesce(sum(az) FILTER (b IS NULL), 0)::BIGINT AS bytes_lost FROM j) SELECT 'docs' AS root, 2 AS newer, *, (deleted > 200 AND deleted > before * 0.1) OR (changed > 300 AND changed > before * 0.3) AS alert FROM c")
+def snapshot_diff(spark, d):
+    return I.snapshot_diff(_shots(spark, d))
+
+
+@query(f"{W}, {T.OBS_SQL} SELECT root, relpath, size, 1::BIGINT AS snapshots, 1 AS newest FROM entries e WHERE size >= 3000 AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.relpath = e.relpath AND o.size = e.size)")
+def snapshot_only_large(spark, d):
+    e = _docs(spark, d)
+    return I.snapshot_only(_shots(spark, d).filter("taken_at = 1"), T.second_observation(e), 3000)
+
+
+def _log(spark, d):
+    return T.event_log(T.read(spark, d, "events"))
+
+
+_TAGS = f"WITH {T.EVENTS_SQL}, tg AS (SELECT root, path, tag FROM (SELECT *, row_number() OVER (PARTITION BY root, path, tag ORDER BY seq DESC) AS r FROM ev) WHERE r = 1 AND op = 'add')"
+
+
+def _tags(spark, d):
+    log = _log(spark, d).withColumn("src", F.lit(None).cast("string")).withColumn("dst", F.lit(None).cast("string"))
+    return M.fold_tags(log)
+
+
+@query(f"{_TAGS} SELECT * FROM tg")
+def tags_folded(spark, d):
+    return _tags(spark, d)
+
+
+@query()
+def tags_folded_with_moves(spark, d):
+    log = _log(spark, d)
+    move = F.col("seq") % 97 == 0
+    n = (F.col("seq") % 20).cast("string")
+    log = log.select("seq", "root", F.when(~move, F.col("path")).alias("path"), "tag", F.when(move, "move").otherwise(F.col("op")).alias("op"), F.when(move, F.concat(F.lit("src"), n)).alias("src"), F.when(move, F.concat(F.lit("old/src"), n)).alias("dst"))
+    return M.fold_tags(log)
+
+
+@query(f"{_TAGS} SELECT tag, count(*) AS items FROM tg GROUP BY tag")
+def tag_counts(spark, d):
+    return _tags(spark, d).groupBy("tag").agg(F.count(F.lit(1)).alias("items"))
+
+
+_EFF = f"{_TAGS}, {T.ENTRIES_SQL}, ef AS (SELECT DISTINCT e.root, e.relpath, t.tag FROM entries e JOIN tg t ON e.root = t.root AND (e.relpath = t.path OR starts_with(e.relpath, t.path || '/')))"
+
+
+@query(f"{_EFF} SELECT tag, count(*) AS files FROM ef GROUP BY tag")
+def effective_tag_counts(spark, d):
+    return M.effective_tags(_docs(spark, d), _tags(spark, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"{_EFF}, tp AS (SELECT DISTINCT tag, split_part(tag, ':', 1) AS up FROM ef) SELECT up AS tag, count(DISTINCT relpath) AS files FROM ef JOIN tp ON ef.tag = tp.tag GROUP BY up")
+def implied_tag_counts(spark, d):
+    tags = _tags(spark, d)
+    closure = M.tag_closure(tags.select("tag", F.substring_index("tag", ":", 1).alias("parent")).distinct())
+    eff = M.effective_tags(_docs(spark, d), tags, closure)
+    return eff.filter(~F.col("tag").contains(":")).groupBy("tag").agg(F.count_distinct("relpath").alias("files"))
+
+
+@query(f"{_EFF} SELECT root, relpath FROM entries e WHERE EXISTS (SELECT 1 FROM ef WHERE ef.relpath = e.relpath AND tag = 'click:1') AND EXISTS (SELECT 1 FROM ef WHERE ef.relpath = e.relpath AND tag = 'view:2') AND NOT EXISTS (SELECT 1 FROM ef WHERE ef.relpath = e.relpath AND tag = 'purchase:3')")
+def tag_search(spark, d):
+    e = _docs(spark, d)
+    return M.tag_search(e, M.effective_tags(e, _tags(spark, d)), ["click:1", "view:2"], "and", ["purchase:3"])
+
+
+_ATTR = "va AS (SELECT root, path, name, value FROM (SELECT 'docs' AS root, 'src' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '/en' ELSE '' END AS path, event_type AS name, event_id::VARCHAR AS value, row_number() OVER (PARTITION BY user_id % 20, user_id % 3 = 0, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)"
+
+
+@query(f"{W}, {_ATTR}, h AS (SELECT e.root, e.relpath, v.name, v.value, v.path, row_number() OVER (PARTITION BY e.root, e.relpath, v.name ORDER BY len(v.path) DESC) AS r FROM entries e JOIN va v ON e.root = v.root AND (e.relpath = v.path OR starts_with(e.relpath, v.path || '/'))) SELECT root, relpath, name, value, path AS from_path FROM h WHERE r = 1")
+def effective_attributes(spark, d):
+    log = T.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("docs").alias("root"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.when(F.col("user_id") % 3 == 0, "/en").otherwise("")).alias("path"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.lit("attr-set").alias("op"))
+    return M.effective_attributes(_docs(spark, d), M.last_values(log))
+
+
+@query("SELECT DISTINCT 'lines' AS root, l_returnflag || '/' || l_linestatus AS dir, 'dated' AS type FROM lineitem UNION ALL SELECT DISTINCT 'lines', l_returnflag || '/' || l_linestatus || '/' || strftime(l_shipdate, '%Y'), 'numbered' FROM lineitem WHERE false")
+def folder_types(spark, d):
+    return M.inferred_folder_types(_lines(spark, d))
+
+
+@query()
+def similar_documents(spark, d):
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("id"), squeeze(F.col("text")).alias("text"))
+    return S.similar(docs, T.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
+@query("WITH u AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 'big' WHEN conv_id % 3 = 1 THEN 'small' ELSE 'local' END AS model, role AS purpose, length(text) AS i, (turn + 1) * 10 AS o FROM conversations) SELECT model, purpose, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(CASE model WHEN 'big' THEN (i * 5.0 + o * 25.0) / 1000000 WHEN 'small' THEN (i * 1.0 + o * 5.0) / 1000000 END), 6) AS cost, count(*) FILTER (model = 'local') AS unpriced FROM u GROUP BY ALL")
+def usage_summary(spark, d):
+    c = T.read(spark, d, "conversations")
+    model = F.when(F.col("conv_id") % 3 == 0, "big").when(F.col("conv_id") % 3 == 1, "small").otherwise("local")
+    rows = c.select(model.alias("model"), F.col("role").alias("purpose"), F.length("text").cast("long").alias("input_tokens"), ((F.col("turn") + 1) * 10).alias("output_tokens"), F.lit(0).alias("cache_read_tokens"), F.lit(0).alias("cache_write_tokens"))
+    return U.summary(rows, {"big": (5.0, 25.0), "small": (1.0, 5.0)})
+
+
+@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('seed' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, lang FROM r ORDER BY r, n DESC, lang LIMIT 40")
+def evaluation_sample(spark, d):
+    return U.stratified(T.read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 40, "seed")
+
+
+@query(f"{W}, {_FOUND} SELECT f.root, 'quarantine' AS action, f.relpath AS path, f.is_dir, count(*) AS files, sum(e.size)::BIGINT AS size, max(e.mtime_ns) AS mtime_ns, f.category FROM found f JOIN entries e ON e.root = f.root AND (e.relpath = f.relpath OR (f.is_dir AND starts_with(e.relpath, f.relpath || '/'))) WHERE NOT needs_review GROUP BY ALL")
+def plan_build(spark, d):
+    e = _docs(spark, d)
+    return C.build(H.findings(e), e)
+
+
+@query(f"{W}, {T.OBS_SQL} SELECT e.root, e.relpath AS path, CASE WHEN o.relpath IS NULL THEN 'missing' WHEN o.inode <> e.inode THEN 'replaced' WHEN o.size <> e.size OR o.mtime_ns <> e.mtime_ns THEN 'changed' WHEN t.relpath IS NOT NULL THEN 'destination exists' END AS problem FROM entries e LEFT JOIN obs o ON o.relpath = e.relpath LEFT JOIN obs t ON t.relpath = 'moved/' || e.relpath")
+def plan_check(spark, d):
+    e = _docs(spark, d)
+    ops = e.select("root", F.col("relpath").alias("path"), F.concat(F.lit("moved/"), "relpath").alias("dest"), "inode", "size", "mtime_ns", "is_dir")
+    return C.check(ops, T.second_observation(e)).select("root", "path", "problem")
+
+
+@query("""WITH j AS (SELECT 'p' || (user_id % 50) AS plan_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'apply' WHEN 'view' THEN 'moved' WHEN 'purchase' THEN 'restored' WHEN 'error' THEN 'purged' ELSE 'applied' END AS event, 'f' || (event_id % 7) AS path FROM events),
+ i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, path ORDER BY seq DESC) AS r FROM j WHERE event IN ('moved', 'restored', 'purged')) WHERE r = 1),
+ p AS (SELECT plan_id, count(*) FILTER (event = 'moved') AS pending, count(*) FILTER (event = 'restored') AS restored, count(*) FILTER (event = 'purged') AS purged FROM i GROUP BY plan_id),
+ f AS (SELECT plan_id, max(seq) FILTER (event = 'apply') AS b, max(seq) FILTER (event = 'applied') AS e FROM j GROUP BY plan_id)
+SELECT f.plan_id, CASE WHEN b IS NULL THEN 'draft' WHEN coalesce(pending, 0) = 0 AND coalesce(purged, 0) > 0 THEN 'purged' WHEN coalesce(pending, 0) = 0 AND coalesce(restored, 0) > 0 THEN 'undone' WHEN coalesce(restored, 0) > 0 THEN 'partially-undone' WHEN e IS NULL OR e < b THEN 'interrupted' ELSE 'applied' END AS state, coalesce(pending, 0) AS pending, coalesce(restored, 0) AS restored, coalesce(purged, 0) AS purged FROM f LEFT JOIN p USING (plan_id)""")
+def journal_state(spark, d):
+    e = T.read(spark, d, "events")
+    t = F.col("event_type")
+    event = F.when(t == "click", "apply").when(t == "view", "moved").when(t == "purchase", "restored").when(t == "error", "purged").otherwise("applied")
+    j = e.select(F.concat(F.lit("p"), (F.col("user_id") % 50).cast("string")).alias("plan_id"), F.col("event_id").alias("seq"), event.alias("event"), F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("path"))
+    return C.journal_state(j)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    return R.hourly(T.read(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH l AS (SELECT 'e' || (user_id % 9) AS entry, event_id AS n, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'copied' WHEN 'click' THEN 'deleted' WHEN 'purchase' THEN 'heading' END AS kind FROM events),
+ s AS (SELECT entry, max(n) FILTER (kind = 'heading') AS s, count(*) FILTER (kind = 'heading') AS runs FROM l GROUP BY entry)
+SELECT l.entry, max(runs) AS runs, count(*) FILTER (kind = 'copied') AS copied, count(*) FILTER (kind = 'deleted') AS deleted, count(*) FILTER (kind = 'error') AS errors, 'f' || max(n) FILTER (kind IN ('copied', 'deleted')) AS last_file FROM l JOIN s ON l.entry = s.entry WHERE s IS NULL OR n >= s GROUP BY l.entry""")
+def sync_progress(spark, d):
+    e = T.read(spark, d, "events")
+    t, f = F.col("event_type"), F.concat(F.lit("f"), F.col("event_id").cast("string"))
+    line = F.when(t == "error", "ERROR : failed").when(t == "view", F.concat(f, F.lit(": Copied (new)"))).when(t == "click", F.concat(f, F.lit(": Deleted"))).when(t == "purchase", "run started").otherwise("idle")
+    return R.progress(e.select(F.concat(F.lit("e"), (F.col("user_id") % 9).cast("string")).alias("entry"), F.col("event_id").alias("line_no"), line.alias("line")))
+
+
+@query(f"{W} SELECT relpath, CASE WHEN {_NAME} LIKE '~$%' THEN 'lock prefix' END AS problem FROM entries")
+def cloud_name_problems(spark, d):
+    return _docs(spark, d).select("relpath", N.cloud_name_problem(F.col("relpath")).alias("problem"))
+
+
+@query(f"{W} SELECT relpath, {_PAR} AS parent, {_NAME} AS name, {_EXT} AS ext, len(string_split(relpath, '/'))::INT AS depth FROM entries")
+def path_functions(spark, d):
+    p = F.col("relpath")
+    return _docs(spark, d).select("relpath", P.parent(p).alias("parent"), P.basename(p).alias("name"), P.extension(p).alias("ext"), P.depth(p).alias("depth"))
+
+
+@query("SELECT l.doc_id, d.lang, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id) WHERE l.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY l.doc_id DESC LIMIT 200")
+def review_queue(spark, d):
+    lab, docs = T.read(spark, d, "labels"), T.read(spark, d, "documents")
+    decided = lab.filter("quality = 0").select("doc_id")
+    return lab.join(docs.select("doc_id", "lang"), "doc_id").join(decided, "doc_id", "left_anti").orderBy(F.desc("doc_id")).limit(200).select("doc_id", "lang", "quality", "toxic")
