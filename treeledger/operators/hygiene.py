@@ -10,7 +10,8 @@ from ..functions import names as N
 from ..functions import paths as P
 from ..functions.text import nfkc_casefold
 
-FILE = ~F.col("is_dir")
+def _file() -> Column:
+    return ~F.col("is_dir")
 
 
 def current_hash() -> Column:
@@ -25,20 +26,20 @@ def with_folders(files: DataFrame) -> DataFrame:
 
 def root_summary(entries: DataFrame) -> DataFrame:
     hashed = F.when(current_hash(), 1)
-    return entries.filter(FILE).groupBy("root").agg(
+    return entries.filter(_file()).groupBy("root").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count(hashed).alias("hashed_files"), F.coalesce(F.sum(F.when(current_hash(), F.col("size"))), F.lit(0)).alias("hashed_bytes")
     )
 
 
 def subtree_sizes(entries: DataFrame) -> DataFrame:
     """Files and bytes below every folder. Sums per parent folder come first, so a row is exploded per folder, not per file."""
-    direct = entries.filter(FILE).groupBy("root", P.parent(F.col("relpath")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
+    direct = entries.filter(_file()).groupBy("root", P.parent(F.col("relpath")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
     up = direct.select("root", "n", "b", F.explode(F.when(F.col("d") == "", F.array("d")).otherwise(P.self_and_ancestors(F.col("d")))).alias("dir"))
     return up.groupBy("root", "dir").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"))
 
 
 def fan_out(entries: DataFrame, top: int = 15) -> DataFrame:
-    per = entries.filter(FILE).groupBy("root", P.parent(F.col("relpath")).alias("dir")).agg(F.count(F.lit(1)).alias("files"))
+    per = entries.filter(_file()).groupBy("root", P.parent(F.col("relpath")).alias("dir")).agg(F.count(F.lit(1)).alias("files"))
     return per.orderBy(F.desc("files"), "root", "dir").limit(top)
 
 
@@ -66,7 +67,7 @@ def folder_findings(entries: DataFrame) -> DataFrame:
 
 def no_extension_folders(entries: DataFrame, least: int = 500) -> DataFrame:
     """Deepest folders of which half the files or more, and ``least`` or more, have no extension."""
-    files = entries.filter(FILE & ~P.has_part(F.col("relpath"), N.VCS))
+    files = entries.filter(_file() & ~P.has_part(F.col("relpath"), N.VCS))
     bare = F.when(P.extension(F.col("relpath")) == "", 1).otherwise(0)
     direct = files.groupBy("root", P.parent(F.col("relpath")).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(bare).alias("b"))
     up = direct.filter("d <> ''").select("root", "n", "b", F.explode(P.self_and_ancestors(F.col("d"))).alias("dir")).filter("dir <> ''")
@@ -77,7 +78,7 @@ def no_extension_folders(entries: DataFrame, least: int = 500) -> DataFrame:
 def file_findings(entries: DataFrame, devices: list[str] = ()) -> DataFrame:
     """Files by name and size; conflict copies only beside their original, for review unless both have the same content."""
     p = F.col("relpath")
-    files = entries.filter(FILE).select("root", "relpath", "size", F.when(current_hash(), F.col("sha256")).alias("h"), P.parent(p).alias("dir"), P.basename(p).alias("name"), N.classify_file(p, F.col("size"), devices).alias("category"), N.conflict_original(p, devices).alias("original"))
+    files = entries.filter(_file()).select("root", "relpath", "size", F.when(current_hash(), F.col("sha256")).alias("h"), P.parent(p).alias("dir"), P.basename(p).alias("name"), N.classify_file(p, F.col("size"), devices).alias("category"), N.conflict_original(p, devices).alias("original"))
     plain = files.filter("category <> 'conflict'").select("root", "category", "relpath", F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("files"), "size", F.lit(False).alias("needs_review"))
     beside = files.select("root", "dir", F.col("name").alias("original"), F.col("h").alias("oh"))
     copies = files.filter("category = 'conflict'").join(beside, ["root", "dir", "original"])
@@ -100,7 +101,7 @@ def by_category(found: DataFrame) -> DataFrame:
 
 def duplicates(entries: DataFrame) -> DataFrame:
     """Groups of files with the same current content in one root."""
-    held = entries.filter(FILE & (F.col("size") > 0) & current_hash())
+    held = entries.filter(_file() & (F.col("size") > 0) & current_hash())
     groups = held.groupBy("root", "sha256", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("relpath").alias("first_path"))
     return groups.filter("copies > 1").withColumn("waste", F.col("size") * (F.col("copies") - 1))
 
@@ -108,9 +109,9 @@ def duplicates(entries: DataFrame) -> DataFrame:
 def extracted_archives(entries: DataFrame) -> DataFrame:
     """Archives beside a folder of the same stem."""
     p = F.col("relpath")
-    dirs = entries.filter(FILE).select("root", F.explode(P.ancestors(p)).alias("stem_path")).filter("stem_path <> ''").distinct()
+    dirs = entries.filter(_file()).select("root", F.explode(P.ancestors(p)).alias("stem_path")).filter("stem_path <> ''").distinct()
     rx = "(?i)(" + "|".join(e.replace(".", r"\.") for e in sorted(N.ARCHIVES, key=len, reverse=True)) + ")$"
-    held = entries.filter(FILE & p.rlike(rx)).withColumn("stem_path", F.regexp_replace(p, rx, ""))
+    held = entries.filter(_file() & p.rlike(rx)).withColumn("stem_path", F.regexp_replace(p, rx, ""))
     return held.join(dirs, ["root", "stem_path"], "left_semi").select("root", "relpath", "size")
 
 
@@ -121,13 +122,13 @@ def empty_folders(entries: DataFrame) -> DataFrame:
 
 
 def stale_large(entries: DataFrame, least: int, before_ns: int) -> DataFrame:
-    return entries.filter(FILE & (F.col("size") >= least) & (F.col("mtime_ns") < before_ns)).select("root", "relpath", "size", "mtime_ns")
+    return entries.filter(_file() & (F.col("size") >= least) & (F.col("mtime_ns") < before_ns)).select("root", "relpath", "size", "mtime_ns")
 
 
 def numbering(entries: DataFrame) -> DataFrame:
     """Per folder with two or more numbered files: doubled and missing numbers, and whether widths differ."""
     n = N.number_prefix(P.basename(F.col("relpath")))
-    held = entries.filter(FILE).select("root", P.parent(F.col("relpath")).alias("dir"), n.alias("t")).filter("t <> ''").withColumn("n", F.col("t").cast("int"))
+    held = entries.filter(_file()).select("root", P.parent(F.col("relpath")).alias("dir"), n.alias("t")).filter("t <> ''").withColumn("n", F.col("t").cast("int"))
     per = held.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("files"), F.collect_set("n").alias("ns"), F.countDistinct(F.length("t")).alias("widths"))
     gaps = F.size(F.array_except(F.sequence(F.array_min("ns"), F.array_max("ns")), "ns"))
     return per.filter("files >= 2").select("root", "dir", "files", (F.col("files") - F.size("ns")).alias("doubled"), gaps.cast("long").alias("missing"), "widths")
@@ -135,14 +136,14 @@ def numbering(entries: DataFrame) -> DataFrame:
 
 def similar_siblings(entries: DataFrame) -> DataFrame:
     """Files of one folder with the same skeleton and the same digits."""
-    held = entries.filter(FILE).select("root", P.parent(F.col("relpath")).alias("dir"), P.basename(F.col("relpath")).alias("name"))
+    held = entries.filter(_file()).select("root", P.parent(F.col("relpath")).alias("dir"), P.basename(F.col("relpath")).alias("name"))
     held = held.withColumn("f", nfkc_casefold("name")).withColumn("skeleton", N.skeleton(F.col("f"))).withColumn("digits", F.regexp_replace("f", r"\D", ""))
     return held.filter(F.length("skeleton") >= 2).groupBy("root", "dir", "skeleton", "digits").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("first_name")).filter("files >= 2")
 
 
 def mixed_dates(entries: DataFrame) -> DataFrame:
     """Folders whose files use more than one date format."""
-    held = entries.filter(FILE).select("root", P.parent(F.col("relpath")).alias("dir"), N.date_format(P.basename(F.col("relpath"))).alias("f")).filter("f IS NOT NULL")
+    held = entries.filter(_file()).select("root", P.parent(F.col("relpath")).alias("dir"), N.date_format(P.basename(F.col("relpath"))).alias("f")).filter("f IS NOT NULL")
     per = held.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_set("f")).alias("fs"))
     return per.filter(F.size("fs") > 1).select("root", "dir", "files", F.array_join("fs", ",").alias("formats"))
 
@@ -151,7 +152,7 @@ def mixed_kinds(entries: DataFrame, least: int = 30, share: float = 0.15) -> Dat
     """Folders with ``least`` files of known kinds of which three or more kinds have a share each."""
     k = N.kind(F.col("relpath"))
     k = F.when(k.isin("pdf", "office", "text"), "document").otherwise(k)
-    per = entries.filter(FILE).select("root", P.parent(F.col("relpath")).alias("dir"), k.alias("kind")).groupBy("root", "dir", "kind").agg(F.count(F.lit(1)).alias("n"))
+    per = entries.filter(_file()).select("root", P.parent(F.col("relpath")).alias("dir"), k.alias("kind")).groupBy("root", "dir", "kind").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy("root", "dir"))
     big = per.withColumn("files", total).filter((F.col("files") >= least) & F.col("kind").isNotNull() & (F.col("n") >= share * F.col("files")))
     return big.groupBy("root", "dir").agg(F.max("files").alias("files"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), F.count(F.lit(1)).alias("k")).filter("k >= 3").drop("k")
@@ -165,7 +166,7 @@ def identical_folders(entries: DataFrame, least: int = 2) -> DataFrame:
     and equal counts mean the same multiset.
     """
     p = F.col("relpath")
-    files = entries.filter(FILE).select("root", "relpath", F.when(current_hash(), F.col("sha256")).alias("h"))
+    files = entries.filter(_file()).select("root", "relpath", F.when(current_hash(), F.col("sha256")).alias("h"))
     up = files.select("root", "relpath", "h", F.explode(P.ancestors(p)).alias("dir")).filter("dir <> ''")
     rel = F.substring(F.col("relpath"), F.length("dir") + 2, F.length("relpath"))
     sig = [F.sum(F.xxhash64(rel, F.col("h"), F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]

@@ -14,30 +14,40 @@ def fold_tags(events: DataFrame, rounds: int = 32) -> DataFrame:
     """(root, path, tag): the tags that stand after all events, add, remove and move, in order of ``seq``.
 
     A wave: each fact looks for its next move (the smallest later seq whose
-    source is its path or above). Of the facts of one (path, tag) that share a
-    next move the last one survives, removals fall away, and survivors are
-    re-keyed at the move's seq, so a mover beats what was at its destination
-    and loses to what comes later. Facts without moves end in the first round.
+    source is its path or above) and is re-keyed; ``hist`` keeps the seqs of
+    the moves that carried it, last first, and its own seq at the end. Facts
+    without moves end in the first round. Then the histories are folded from
+    their ends: of the facts that one move carried from one place the last
+    one counts, and only if it is an add, at the move's seq; so a mover beats
+    what was at its destination and loses to what comes later.
     """
-    facts = events.filter(F.col("op").isin("add", "remove")).select("root", "path", "tag", "seq", "op")
+    facts = events.filter(F.col("op").isin("add", "remove")).select("root", "path", "tag", "op", F.array("seq").alias("hist"))
     moves = events.filter("op = 'move' AND src <> ''").select("root", "src", "dst", F.col("seq").alias("m"))
     ckpt = facts.sparkSession.sparkContext.getCheckpointDir()
-    still = None
-    for _ in range(rounds):
+    prefix = F.slice("hist", F.lit(1), F.size("hist") - 1)
+    own = F.element_at("hist", -1)
+
+    def last_of(df: DataFrame, *more) -> DataFrame:
+        w = W.partitionBy("root", "path", "tag", prefix, *more).orderBy(F.desc(own))
+        return df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+    still, depth = None, 0
+    for depth in range(1, rounds + 2):
         up = facts.select("*", F.explode(P.self_and_ancestors(F.col("path"))).alias("src"))
-        nxt = up.join(moves, ["root", "src"]).filter("m > seq").groupBy("root", "path", "tag", "seq").agg(F.min(F.struct("m", "src", "dst")).alias("mv"))
-        held = facts.join(nxt, ["root", "path", "tag", "seq"], "left")
-        last = W.partitionBy("root", "path", "tag", F.coalesce("mv.m", F.lit(-1))).orderBy(F.desc("seq"))
-        held = held.withColumn("r", F.row_number().over(last)).filter("r = 1").drop("r")
-        done = held.filter("mv IS NULL").select("root", "path", "tag", "seq", "op")
+        key = ["root", "path", "tag", "hist"]
+        nxt = up.join(moves, ["root", "src"]).filter(F.col("m") > F.col("hist")[0]).groupBy(*key).agg(F.min(F.struct("m", "src", "dst")).alias("mv"))
+        held = last_of(facts.join(nxt, key, "left"), F.coalesce("mv.m", F.lit(-1)))
+        done = held.filter("mv IS NULL").select("root", "path", "tag", "op", "hist")
         still = done if still is None else still.union(done)
-        facts = held.filter("mv IS NOT NULL AND op = 'add'").select("root", F.concat("mv.dst", F.substring("path", F.length("mv.src") + 1, F.length("path"))).alias("path"), "tag", F.col("mv.m").alias("seq"), "op")
+        facts = held.filter("mv IS NOT NULL").select("root", F.concat("mv.dst", F.substring("path", F.length("mv.src") + 1, F.length("path"))).alias("path"), "tag", "op", F.concat(F.array("mv.m"), "hist").alias("hist"))
         if ckpt:
             facts, still = facts.checkpoint(), still.checkpoint()
         if facts.isEmpty():
             break
-    last = W.partitionBy("root", "path", "tag").orderBy(F.desc("seq"))
-    return still.withColumn("r", F.row_number().over(last)).filter("r = 1 AND op = 'add'").select("root", "path", "tag")
+    for level in range(depth, 1, -1):
+        carried = last_of(still.filter(F.size("hist") == level)).filter("op = 'add'").withColumn("hist", prefix)
+        still = still.filter(F.size("hist") < level).union(carried)
+    return last_of(still).filter("op = 'add'").select("root", "path", "tag")
 
 
 def last_values(events: DataFrame) -> DataFrame:
