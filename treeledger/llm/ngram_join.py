@@ -34,8 +34,8 @@ from .textbytes import Tokens, chunks, mix64, shingles
 WORDS, NUM, DEN = 5, 3, 4
 #: Frequent shingles kept on the driver (16 bytes each), grown with the input up to the second number.
 HEAD, HEAD_MOST, HEAD_DF = 1 << 16, 1 << 21, 8
-#: Sets in a block; most text hashes that are broadcast when sets are fetched again.
-BLOCK, BROADCAST_ROWS = 256, 2_000_000
+#: Sets in a block, and about how many shingles; most text hashes that are broadcast when sets are fetched again.
+BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 256, 150_000, 2_000_000
 _POSTING = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
@@ -94,7 +94,7 @@ def _frequent(texts: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.nd
             for _, _, _, s in _sets(b.column(0), tokens):
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -169,7 +169,7 @@ def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray]
                 out["h"], out["fp"], out["n"], out["p"] = s[keep], fp[rows[keep]], sizes[rows[keep]], pos[keep]
                 held.append(out)
                 size += len(out)
-                if size > 1_000_000:
+                if size > 400_000:
                     yield flush(held)
                     held, size = [], 0
         if size:
@@ -304,8 +304,8 @@ def _joined(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """Links that join all components of linked sets; ``sets``: (g, m, cid, data), m the size of group g."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    """Links that join all components of linked sets; ``sets``: (g, m, w, cid, data), m and w the sets and shingles of group g."""
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     sets = sets.withColumn("k", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     own = sets.select("g", "blk", "cid", F.col("cid").alias("comp"), "data", F.lit(True).alias("probe"), F.lit(True).alias("stored"))
     links = written(_joined(own, ["g", "blk"]))
@@ -322,7 +322,7 @@ def _links(sets: DataFrame) -> DataFrame:
     rest = written(marked(links))
     sizes = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    rest = rest.join(main, "g").filter("others > 0").withColumn("j", F.ceil(F.col("others") / BLOCK).cast("int"))
+    rest = rest.join(main, "g").filter("others > 0").withColumn("j", F.ceil(F.col("others") * F.col("k") / F.col("m")).cast("int"))
     probes = rest.filter("comp <> main").withColumn("pb", F.pmod(F.xxhash64("cid"), F.col("j")).cast("int"))
     probes = probes.select("g", "pb", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("blk"), "cid", "comp", "data", F.lit(True).alias("probe"), F.lit(False).alias("stored"))
     stored = rest.select("g", F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("pb"), "blk", "cid", "comp", "data", F.lit(False).alias("probe"), F.lit(True).alias("stored"))
@@ -348,7 +348,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     name = lambda x: classes.select(F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"), F.col("cid").alias(x))
     edges = written(edges.join(name("a"), ["a_fp", "a_n"]).join(name("b"), ["b_fp", "b_n"]).select("a", "b"))
     groups = written(components(edges).select(F.col("node").alias("cid"), F.col("root").alias("g")))
-    members = written(groups.join(classes, "cid").join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")), "g").select("g", "m", "cid", "fp", "n", "th"))
+    members = groups.join(classes, "cid")
+    members = written(members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "g").select("g", "m", "w", "cid", "fp", "n", "th"))
     wanted = members.select("th").distinct()
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -363,7 +364,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array(sizes[new].astype(np.int64)), pa.array([s[at[i] : at[i + 1]].tobytes() for i in new], pa.binary())], ["fp", "n", "data"])
 
     found = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").select("text").mapInArrow(fetch, "fp long, n long, data binary")
-    sets = written(found.groupBy("fp", "n").agg(F.first("data").alias("data")).join(members, ["fp", "n"]).select("g", "m", "cid", "data"))
+    sets = written(found.groupBy("fp", "n").agg(F.first("data").alias("data")).join(members, ["fp", "n"]).select("g", "m", "w", "cid", "data"))
     roots = components(_links(sets))
     comp = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +86,7 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     left = np.repeat(at[1:], sizes) - np.arange(n)  # tokens from here to the row's end
     acc = np.zeros(n, np.uint64)
     weight = 1
-    for j in range(k):
+    for j in range(min(k, n)):
         part = h[j:] * np.uint64(weight)
         acc[: n - j] += np.where(left[: n - j] > j, part, np.uint64(0))
         weight = (weight * 0xC2B2AE3D27D4EB4F) % (1 << 64)
