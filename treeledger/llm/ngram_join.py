@@ -36,7 +36,7 @@ WORDS, NUM, DEN = 5, 3, 4
 HEAD, HEAD_MOST, HEAD_DF = 1 << 16, 1 << 21, 8
 #: Sets in a block, and about how many shingles; most text hashes that are broadcast when sets are fetched again.
 BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 256, 150_000, 2_000_000
-_POSTING = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("p", "<u4")])
+_POSTING = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("p", "<u2")])
 
 
 def _sets(texts: pa.Array, tokens: Tokens):
@@ -56,6 +56,17 @@ def _fingerprints(sizes: np.ndarray, rows: np.ndarray, s: np.ndarray) -> np.ndar
     return mix64(sums + sizes.astype(np.uint64))
 
 
+def _cut(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each number; 6 still tell the shingles of two sets apart."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _uncut(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
 def _by_bucket(h: np.ndarray, bits: int, rows: np.ndarray) -> pa.RecordBatch:
     """``rows`` (in the order of ``h``) cut into one binary per bucket of the leading bits."""
     bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
@@ -86,7 +97,7 @@ def _gathered(parts: list[np.ndarray], dtype, least: int):
 
 
 def _frequent(texts: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` most frequent shingles (their leading bits + 32 bits, sorted) and their frequencies."""
+    """The ``most`` most frequent shingles (their leading bits + 24 bits, sorted) and their frequencies."""
 
     def count(batches):
         tokens, held, size = Tokens(), [], 0
@@ -102,14 +113,14 @@ def _frequent(texts: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.nd
 
     def flush(held):
         s = np.sort(np.concatenate(held))
-        return _by_bucket(s, bits, ((s >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        return _by_bucket(s, bits, _cut(s >> np.uint64(40 - bits), 3))
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["data"]]))
+        v = np.sort(np.concatenate([_uncut(x, 3) for x in pdf["data"]]))
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         n = np.diff(np.append(first, len(v)))
         keep = n >= HEAD_DF
-        return pd.DataFrame({"id": (np.int64(key[0]) << 32) | v[first][keep].astype(np.int64), "df": n[keep]})
+        return pd.DataFrame({"id": (np.int64(key[0]) << 24) | v[first][keep].astype(np.int64), "df": n[keep]})
 
     counts = texts.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInPandas(merge, "id long, df long")
     top = counts.orderBy(F.desc("df"), "id").limit(most).toPandas()
@@ -158,7 +169,7 @@ def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray]
                 fp = _fingerprints(sizes, rows, s)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 if len(ids):
-                    key = s >> np.uint64(32 - bits)
+                    key = s >> np.uint64(40 - bits)
                     spot = np.minimum(np.searchsorted(ids, key), len(ids) - 1)
                     weight = np.where(ids[spot] == key, freq[spot], 0)
                     order = np.argsort(rows * (int(freq.max()) + 1) + weight, kind="stable")
@@ -166,7 +177,7 @@ def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray]
                 pos = np.arange(len(s)) - at[rows]
                 keep = pos <= sizes[rows] - (-((-NUM * sizes[rows]) // DEN))
                 out = np.zeros(int(keep.sum()), _POSTING)
-                out["h"], out["fp"], out["n"], out["p"] = s[keep], fp[rows[keep]], sizes[rows[keep]], pos[keep]
+                out["h"], out["fp"], out["n"], out["p"] = s[keep], fp[rows[keep]], sizes[rows[keep]], np.minimum(pos[keep], 65535)
                 held.append(out)
                 size += len(out)
                 if size > 400_000:
@@ -296,7 +307,7 @@ def _joined(tiles: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
-        links = trie_links([np.frombuffer(x, np.uint64) for x in pdf["data"]], pdf["comp"].tolist(), pdf["probe"].tolist(), pdf["stored"].tolist())
+        links = trie_links([_uncut(x, 6) for x in pdf["data"]], pdf["comp"].tolist(), pdf["probe"].tolist(), pdf["stored"].tolist())
         ids = pdf["cid"].to_numpy()
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
@@ -361,7 +372,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 fp = _fingerprints(sizes, rows_, s).view(np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 new = [i for i in np.flatnonzero(sizes) if fp[i] not in seen and not seen.add(fp[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array(sizes[new].astype(np.int64)), pa.array([s[at[i] : at[i + 1]].tobytes() for i in new], pa.binary())], ["fp", "n", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[new]), pa.array(sizes[new].astype(np.int64)), pa.array([_cut(s[at[i] : at[i + 1]], 6).tobytes() for i in new], pa.binary())], ["fp", "n", "data"])
 
     found = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").select("text").mapInArrow(fetch, "fp long, n long, data binary")
     sets = written(found.groupBy("fp", "n").agg(F.first("data").alias("data")).join(members, ["fp", "n"]).select("g", "m", "w", "cid", "data"))
