@@ -108,7 +108,8 @@ def repeated_windows(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     if not small:
         runs = runs.join(keys, "k", "left_semi")
     each = written(runs.drop("k")).select("doc_id", "th", "start", F.posexplode("w").alias("i", "w")).select("doc_id", "th", (F.col("start") + F.col("i")).alias("start"), "w")
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w")
+    # as a table, so that the join reads plain shuffles and can split a window that very many places share
+    twice = written(each.groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w"))
     return each.join(twice, "w").select("doc_id", "th", "start")
 
 
