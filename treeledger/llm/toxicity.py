@@ -22,6 +22,8 @@ from .textbytes import chunks
 SEGMENT, BUCKETS, DIM, GRAMS = 6, 1 << 18, 8, (3, 4, 5, 6)
 #: The classifier's bounded sample of labelled rows, of each label, and the longest text (bytes) taken into it.
 SAMPLE, SAMPLE_BYTES = {1: 1250, 0: 4000}, 8_000
+#: Bytes of the sample that are cut into n-grams at a time: bounds the driver's memory.
+SAMPLE_CHUNK = 1 << 18
 #: Every so many texts of the sample set the scale and threshold only.
 CALIBRATE = 5
 HELD_OUT = 5
@@ -87,19 +89,17 @@ class Model:
         w = self.weights[:, 1] - self.weights[:, 0]
         return (self.vectors @ w * self.scale).astype(np.float32), float((self.bias[1] - self.bias[0]) * self.scale + self.shift)
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int, rate: float = 0.4, size: int = 2048, seed: int = 7) -> None:
-        """Mini-batch gradients of the weighted cross entropy, with AdaGrad steps."""
-        lengths = np.array([len(b) for b in bags])
-        flat, at = np.concatenate(bags), np.concatenate([[0], np.cumsum(lengths)])
+    def fit(self, flat: np.ndarray, at: np.ndarray, use: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int, rate: float = 0.4, size: int = 2048, seed: int = 7) -> None:
+        """Mini-batch gradients of the weighted cross entropy, with AdaGrad steps; ``use``: the segments taken, labels and weights: theirs."""
         rng = np.random.default_rng(seed)
         g_vec, g_w, g_b = np.full((BUCKETS, DIM), 1e-3, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
         for _ in range(epochs):
-            order = rng.permutation(len(bags))
+            order = rng.permutation(len(use))
             for lo in range(0, len(order), size):
                 pick = order[lo : lo + size]
-                n = lengths[pick]
+                first, n = at[use[pick]], at[use[pick] + 1] - at[use[pick]]
                 ends = np.cumsum(n)
-                ids = flat[np.repeat(at[pick] - ends + n, n) + np.arange(ends[-1])]
+                ids = flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
                 who = np.repeat(np.arange(len(pick)), n)
                 mean = np.add.reduceat(self.vectors[ids], ends - n, axis=0) / n[:, None]
                 z = mean @ self.weights + self.bias
@@ -142,25 +142,31 @@ def text_logits(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def bags_of(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-gram buckets of every segment, and its text's row."""
-    bags, who = [], []
-    for lo, hi, data, offs in chunks(texts):
+def bags_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram buckets of all segments that have any, each segment's offset (one more at the end) and its text's row."""
+    flat, sizes, who = [], [], []
+    for lo, hi, data, offs in chunks(texts, SAMPLE_CHUNK):
         segments, row, found = grams(data, offs)
         if not len(segments):
             continue
         pos = np.concatenate([np.flatnonzero(v) for _, v in found])
         ids = np.concatenate([b[v] for b, v in found])
-        seg = np.searchsorted(segments, pos, "right") - 1
-        order = np.argsort(seg, kind="stable")
-        seg, ids = seg[order], ids[order]
-        cuts = np.searchsorted(seg, np.arange(len(segments) + 1))
-        rows = np.repeat(np.arange(lo, hi), np.diff(row))
-        for i in range(len(segments)):
-            if cuts[i + 1] > cuts[i]:
-                bags.append(ids[cuts[i] : cuts[i + 1]])
-                who.append(rows[i])
-    return bags, np.array(who, np.int64)
+        seg = (np.searchsorted(segments, pos, "right") - 1).astype(np.int32)
+        flat.append(ids[np.argsort(seg, kind="stable")])
+        n = np.bincount(seg, minlength=len(segments))
+        sizes.append(n[n > 0])
+        who.append(np.repeat(np.arange(lo, hi), np.diff(row))[n > 0])
+    if not flat:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(who)
+
+
+def bag_logits(flat: np.ndarray, at: np.ndarray, table: np.ndarray, bias: float, size: int = 1 << 14) -> np.ndarray:
+    out = np.empty(len(at) - 1)
+    for lo in range(0, len(out), size):
+        cut = at[lo : lo + size + 1]
+        out[lo : lo + size] = np.add.reduceat(table[flat[cut[0] : cut[-1]]], cut[:-1] - cut[0]) / np.diff(cut) + bias
+    return out
 
 
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
@@ -174,22 +180,20 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
     held = np.arange(len(texts)) % CALIBRATE == 0
     aside, marks = [x for x, h in zip(texts, held, strict=True) if h], toxic[held]
     texts, toxic = [x for x, h in zip(texts, held, strict=True) if not h], toxic[~held]
-    bags, who = bags_of(pa.array(texts, pa.string()))
-    if not bags or toxic.min() == toxic.max():
+    flat, segs, who = bags_of(pa.array(texts, pa.string()))
+    if not len(who) or toxic.min() == toxic.max():
         return model
     label = toxic[who]
-    keep = np.ones(len(bags), bool)
+    keep = np.ones(len(who), bool)
     for r in range(rounds):
         use = np.flatnonzero(keep)
         share = label[use].mean()
         weights = np.where(label[use] == 1, min(20.0, 0.25 / max(share, 1e-9)), 1.0)
-        model.fit([bags[i] for i in use], label[use], weights, 1 if r < 2 else 2, seed=7 + r)
+        model.fit(flat, segs, use, label[use], weights, 1 if r < 2 else 2, seed=7 + r)
         if r == rounds - 1:
             break
         table, bias = model.logit_table()
-        lengths = np.array([len(b) for b in bags])
-        at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        z = np.add.reduceat(table[np.concatenate(bags)], at) / lengths + bias
+        z = bag_logits(flat, segs, table, bias)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, who, z)
         keep = (label == 0) | (z >= best[who]) | (z > 1)
