@@ -314,8 +314,12 @@ def _joined(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Links that join all components of linked sets; ``sets``: (g, m, w, cid, data), m and w the sets and shingles of group g."""
+def _links(sets: DataFrame, small: bool) -> DataFrame:
+    """Links that join all components of linked sets; ``sets``: (g, m, w, cid, data), m and w the sets and shingles of group g.
+
+    ``small``: there are at most ``BROADCAST_ROWS`` sets, so their components
+    are broadcast to them and the sets themselves are shuffled to tiles only.
+    """
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     sets = sets.withColumn("k", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     own = sets.select("g", "blk", "cid", F.col("cid").alias("comp"), "data", F.lit(True).alias("probe"), F.lit(True).alias("stored"))
@@ -323,17 +327,21 @@ def _links(sets: DataFrame) -> DataFrame:
     wide = sets.filter("k > 1")
     if wide.isEmpty():
         return links
-    marked = lambda l: wide.join(components(l).withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+
+    def marked(found: DataFrame) -> DataFrame:
+        roots = written(components(found).withColumnRenamed("node", "cid"))
+        return wide.join(F.broadcast(roots) if small else roots, "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+
     # the first block against every other one joins what most blocks have in common
     first = marked(links)
     to = F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(1), F.col("k") - 1)).otherwise(F.array("blk"))).alias("to")
     star = first.select("g", to, "cid", "comp", "data", (F.col("blk") != 0).alias("probe"), (F.col("blk") == 0).alias("stored"))
     links = written(links.union(_joined(star, ["g", "to"])))
     # then those outside a group's largest component against all of it
-    rest = written(marked(links))
+    rest = marked(links) if small else written(marked(links))
     sizes = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    rest = rest.join(main, "g").filter("others > 0").withColumn("j", F.ceil(F.col("others") * F.col("k") / F.col("m")).cast("int"))
+    rest = rest.join(F.broadcast(main) if small else main, "g").filter("others > 0").withColumn("j", F.ceil(F.col("others") * F.col("k") / F.col("m")).cast("int"))
     probes = rest.filter("comp <> main").withColumn("pb", F.pmod(F.xxhash64("cid"), F.col("j")).cast("int"))
     probes = probes.select("g", "pb", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("blk"), "cid", "comp", "data", F.lit(True).alias("probe"), F.lit(False).alias("stored"))
     stored = rest.select("g", F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("pb"), "blk", "cid", "comp", "data", F.lit(False).alias("probe"), F.lit(True).alias("stored"))
@@ -362,7 +370,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = groups.join(classes, "cid")
     members = written(members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "g").select("g", "m", "w", "cid", "fp", "n", "th"))
     wanted = members.select("th").distinct()
-    if members.count() <= BROADCAST_ROWS:
+    small = members.count() <= BROADCAST_ROWS
+    if small:
         wanted = F.broadcast(wanted)
 
     def fetch(batches):
@@ -376,7 +385,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").select("text").mapInArrow(fetch, "fp long, n long, data binary")
     sets = written(found.groupBy("fp", "n").agg(F.first("data").alias("data")).join(members, ["fp", "n"]).select("g", "m", "w", "cid", "data"))
-    roots = components(_links(sets))
+    roots = components(_links(sets, small))
     comp = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     comp = written(comp.join(lows, "root").select("fp", "n", "component_id", "root"))
