@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .components import components
 from .textbytes import Tokens, chunks, mix64, shingles
 
@@ -324,6 +324,7 @@ def _links(sets: DataFrame, small: bool) -> DataFrame:
     sets = sets.withColumn("k", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     own = sets.select("g", "blk", "cid", F.col("cid").alias("comp"), "data", F.lit(True).alias("probe"), F.lit(True).alias("stored"))
     links = written(_joined(own, ["g", "blk"]))
+    release(sets.sparkSession)
     wide = sets.filter("k > 1")
     if wide.isEmpty():
         return links
@@ -337,6 +338,7 @@ def _links(sets: DataFrame, small: bool) -> DataFrame:
     to = F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(1), F.col("k") - 1)).otherwise(F.array("blk"))).alias("to")
     star = first.select("g", to, "cid", "comp", "data", (F.col("blk") != 0).alias("probe"), (F.col("blk") == 0).alias("stored"))
     links = written(links.union(_joined(star, ["g", "to"])))
+    release(sets.sparkSession)
     # then those outside a group's largest component against all of it
     rest = marked(links) if small else written(marked(links))
     sizes = rest.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -363,9 +365,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingle_count = rows.agg(F.sum("n")).first()[0] or 0
     bits = min(20, max(6, int(np.ceil(np.log2(max(1, shingle_count / 1e6))))))
     head = _frequent(texts, bits, min(HEAD_MOST, max(HEAD, shingle_count // 512)))
+    release(docs.sparkSession)
     edges = _candidates(texts, bits, head, min(20, max(7, bits)))
     name = lambda x: classes.select(F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"), F.col("cid").alias(x))
     edges = written(edges.join(name("a"), ["a_fp", "a_n"]).join(name("b"), ["b_fp", "b_n"]).select("a", "b"))
+    release(docs.sparkSession)
     groups = written(components(edges).select(F.col("node").alias("cid"), F.col("root").alias("g")))
     members = groups.join(classes, "cid")
     members = written(members.join(members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")), "g").select("g", "m", "w", "cid", "fp", "n", "th"))
@@ -385,7 +389,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th", "left_semi").select("text").mapInArrow(fetch, "fp long, n long, data binary")
     sets = written(found.groupBy("fp", "n").agg(F.first("data").alias("data")).join(members, ["fp", "n"]).select("g", "m", "w", "cid", "data"))
+    release(docs.sparkSession)
     roots = components(_links(sets, small))
+    release(docs.sparkSession)
     comp = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lows = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     comp = written(comp.join(lows, "root").select("fp", "n", "component_id", "root"))
