@@ -13,7 +13,8 @@
    ordered shingles: sets with a common prefix are compared together, and a
    subtree is left when the elements that remain cannot reach the overlap.
    Links join components; comparisons inside one component are skipped.
-   Groups beyond a block are joined block by block, in tiles.
+   Groups beyond a block are first cut by prefixes in the exact order inside
+   the group; what is still beyond is joined block by block, in tiles.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ WORDS, NUM, DEN = 5, 3, 4
 HEAD, HEAD_MOST, HEAD_DF = 1 << 16, 1 << 21, 8
 #: Sets in a block, and about how many shingles; most text hashes that are broadcast when sets are fetched again.
 BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 256, 150_000, 2_000_000
+#: Shingles of wide groups in a bucket when their candidates are found again.
+BUCKET_SHINGLES = 1 << 18
+_TOKEN, _RANKED = np.dtype([("h", "<u8"), ("cid", "<i8")]), np.dtype([("c", "<u4"), ("h", "<u8")])
 _POSTING = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("p", "<u2")])
 
 
@@ -155,6 +159,30 @@ def _edges_of_list(n: np.ndarray, p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of all lists of a bucket of postings."""
+    x = np.concatenate([np.frombuffer(d, _POSTING) for d in pdf["data"]])
+    x = x[np.lexsort((x["fp"], x["h"]))]
+    new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["fp"][1:] != x["fp"][:-1])])
+    x = x[new]
+    first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
+    size = np.diff(np.append(first, len(x)))
+    n, p, fp = x["n"].astype(np.int64), x["p"].astype(np.int64), x["fp"]
+    two = first[size == 2]
+    need = -((-NUM * (n[two] + n[two + 1])) // (NUM + DEN)) if len(two) else np.zeros(0, np.int64)
+    ok = (p[two] <= n[two] - need) & (p[two + 1] <= n[two + 1] - need) if len(two) else np.zeros(0, bool)
+    a, b = [two[ok]], [two[ok] + 1]
+    for f, m in zip(first[size > 2], size[size > 2], strict=True):
+        if e := _edges_of_list(n[f : f + m], p[f : f + m]):
+            e = np.array(e) + f
+            a.append(e[:, 0])
+            b.append(e[:, 1])
+    a, b = np.concatenate(a), np.concatenate(b)
+    swap = fp[a] > fp[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    return pd.DataFrame({"a_fp": fp[a].view(np.int64), "a_n": n[a], "b_fp": fp[b].view(np.int64), "b_n": n[b]}).drop_duplicates()
+
+
 def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray], post_bits: int) -> DataFrame:
     """Edges (a_fp, a_n, b_fp, b_n) between classes that may link."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
@@ -193,30 +221,8 @@ def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray]
         new = np.concatenate([[True], (all_["h"][1:] != all_["h"][:-1]) | (all_["fp"][1:] != all_["fp"][:-1])])
         return _by_bucket(all_["h"][new], post_bits, all_[new])
 
-    def lists(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.frombuffer(d, _POSTING) for d in pdf["data"]])
-        x = x[np.lexsort((x["fp"], x["h"]))]
-        new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["fp"][1:] != x["fp"][:-1])])
-        x = x[new]
-        first = np.flatnonzero(np.concatenate([[True], x["h"][1:] != x["h"][:-1]]))
-        size = np.diff(np.append(first, len(x)))
-        n, p, fp = x["n"].astype(np.int64), x["p"].astype(np.int64), x["fp"]
-        two = first[size == 2]
-        need = -((-NUM * (n[two] + n[two + 1])) // (NUM + DEN)) if len(two) else np.zeros(0, np.int64)
-        ok = (p[two] <= n[two] - need) & (p[two + 1] <= n[two + 1] - need) if len(two) else np.zeros(0, bool)
-        a, b = [two[ok]], [two[ok] + 1]
-        for f, m in zip(first[size > 2], size[size > 2], strict=True):
-            if e := _edges_of_list(n[f : f + m], p[f : f + m]):
-                e = np.array(e) + f
-                a.append(e[:, 0])
-                b.append(e[:, 1])
-        a, b = np.concatenate(a), np.concatenate(b)
-        swap = fp[a] > fp[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pd.DataFrame({"a_fp": fp[a].view(np.int64), "a_n": n[a], "b_fp": fp[b].view(np.int64), "b_n": n[b]}).drop_duplicates()
-
     posted = texts.mapInArrow(prefixes, "bucket int, data binary").groupBy("bucket")
-    return posted.applyInPandas(lists, "a_fp long, a_n long, b_fp long, b_n long").distinct()
+    return posted.applyInPandas(_lists, "a_fp long, a_n long, b_fp long, b_n long").distinct()
 
 
 class _Node:
@@ -314,14 +320,86 @@ def _joined(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
+def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a sorted array."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return first, np.append(first[1:], len(key))
+
+
+def _refined(wide: DataFrame) -> DataFrame:
+    """(cid, g): the groups of (g, cid, data) by prefixes in the exact order of frequency inside a group.
+
+    Long texts that share some passages chain into one large group where the
+    order of rare shingles is unknown. With exact counts what only one set
+    holds comes first, so a set that can't link has no candidate and is left
+    out, and the others fall into groups of sets that resemble each other.
+    """
+    total = wide.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = min(20, max(6, int(np.ceil(np.log2(max(1, total / 6 / BUCKET_SHINGLES))))))
+
+    def spread(batches):
+        for b in batches:
+            held, size = [], 0
+            for g, cid, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = _uncut(data, 6)
+                out = np.zeros(len(s), _TOKEN)
+                out["h"], out["cid"] = mix64(s ^ mix64(np.array([g], np.int64).view(np.uint64))), cid
+                held.append(out)
+                size += len(s)
+                if size > 400_000:
+                    yield flush(held)
+                    held, size = [], 0
+            if held:
+                yield flush(held)
+
+    def flush(held):
+        all_ = np.concatenate(held)
+        return _by_bucket(all_["h"], bits, all_)
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(d, _TOKEN) for d in pdf["data"]])
+        _, inv, c = np.unique(x["h"], return_inverse=True, return_counts=True)
+        out = np.zeros(len(x), _RANKED)
+        out["c"], out["h"] = c[inv], x["h"]
+        order = np.argsort(x["cid"], kind="stable")
+        cid, out = x["cid"][order], out[order]
+        first, ends = _cuts(cid)
+        return pd.DataFrame({"cid": cid[first], "data": [out[a:b].tobytes() for a, b in zip(first, ends, strict=True)]})
+
+    def prefix(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(d, _RANKED) for d in pdf["data"]])
+        x = x[np.lexsort((x["h"], x["c"]))]
+        n = len(x)
+        x = x[: n + (-NUM * n) // DEN + 1]
+        out = np.zeros(len(x), _POSTING)
+        out["h"], out["fp"], out["n"], out["p"] = x["h"], key[0], n, np.minimum(np.arange(len(x)), 65535)
+        out = out[x["c"] > 1]
+        return _by_bucket(out["h"], bits, out).to_pandas()
+
+    ranked = wide.select("g", "cid", "data").mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInPandas(counted, "cid long, data binary")
+    posted = ranked.groupBy("cid").applyInPandas(prefix, "bucket int, data binary").groupBy("bucket")
+    edges = posted.applyInPandas(_lists, "a_fp long, a_n long, b_fp long, b_n long").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    return components(edges).select(F.col("node").alias("cid"), F.col("root").alias("g"))
+
+
 def _links(sets: DataFrame, small: bool) -> DataFrame:
     """Links that join all components of linked sets; ``sets``: (g, m, w, cid, data), m and w the sets and shingles of group g.
 
     ``small``: there are at most ``BROADCAST_ROWS`` sets, so their components
     are broadcast to them and the sets themselves are shuffled to tiles only.
     """
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    sets = sets.withColumn("k", blocks).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    blocks = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))).cast("int")
+    sets = sets.withColumn("k", blocks)
+    loose = sets.filter("k > 1").select("g", "cid", "data")
+    if not loose.isEmpty():
+        held = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+        again = loose.drop("g").join(held(written(_refined(loose))), "cid")
+        sizes = again.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("data") / 6).cast("long").alias("w"))
+        again = again.join(held(written(sizes)), "g").withColumn("k", blocks)
+        sets = sets.filter("k <= 1").unionByName(again)
+        sets = sets if small else written(sets)
+        release(sets.sparkSession)
+    sets = sets.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     own = sets.select("g", "blk", "cid", F.col("cid").alias("comp"), "data", F.lit(True).alias("probe"), F.lit(True).alias("stored"))
     links = written(_joined(own, ["g", "blk"]))
     release(sets.sparkSession)
