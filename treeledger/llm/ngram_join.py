@@ -77,7 +77,7 @@ def _by_bucket(h: np.ndarray, bits: int, rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     bucket, rows = bucket[order], rows[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(bucket))
+    ends = np.append(cuts[1:], len(bucket))[: len(cuts)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], ["bucket", "data"])
 
 
