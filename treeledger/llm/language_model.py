@@ -1,30 +1,42 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-p(token | history) = p(class | history) * p(token | class). Classes are the
-end of a text, equal shares of the ``HEAD`` most frequent tokens' mass, and
-one for all other tokens. The class distribution is a softmax over hashed
-n-gram and skip features (the previous token, the previous two, the one before
-last); inside a class a token's logit is its log count, add-one smoothed in
-the class of the rest, which leaves room for unseen tokens. Training runs in
-rounds: tasks take gradient steps on their share of a round's documents, and
-their weights are averaged by tokens seen.
+p(token | history) is a product over a tree of classes with ``BRANCH``
+children a node: the first level holds the end of a text, equal shares of the
+``HEAD`` most frequent tokens' mass and all other tokens; each further level
+splits a class again, the head by shares of mass and the rest by hash, down to
+leaves of few tokens (the depth follows from the number of distinct tokens).
+Every node's choice is a softmax over hashed features: the previous token, the
+previous two and the one before last, each together with the node. Inside a
+leaf a token's logit is its log count, add-one smoothed in leaves of the rest,
+which leaves room for unseen tokens.
+
+Positions are dealt to shards by their previous token (a very frequent one by
+the previous two), about ``SHARD`` to each, so the shards grow in number with
+the corpus. All of a history's positions meet in one shard, which counts its
+distinct features at every level, sizes its tables by them, fits the weights
+on its training positions and scores all of its positions: no weights leave
+it, and none are shared by all tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .textbytes import Tokens, chunks, mix64
 
-HEAD, CLASSES, TABLE, ROUNDS, RATE, BATCH = 1 << 17, 32, 2048, 3, 0.1, 8192
-END, REST = 0, CLASSES - 1
+HEAD, BRANCH, SHARD, PASSES, RIDGE = 1 << 17, 32, 1 << 19, 3, 8.0
+END, REST = 0, BRANCH - 1
 FOLDS, HELD_OUT = 7, 2
-_BLOCK = 128
+_RARE = np.uint32(1 << 31)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 8192
 
 
 def fold():
@@ -63,142 +75,300 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.filter(fold() != HELD_OUT).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def depth_for(v: int) -> int:
+    """Levels of the tree for ``v`` distinct tokens: the leaves number an eighth of them or more."""
+    return max(1, math.ceil(math.log(max(v, 1) / 8, BRANCH) - 1e-9))
+
+
 class Head:
-    """The most frequent tokens (sorted hashes), their counts, classes and log10 p(token | class)."""
+    """The most frequent tokens (sorted hashes), their counts and leaves, and each leaf's mass."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, ends: int, n: int, v: int) -> None:
+    def __init__(self, h: np.ndarray, c: np.ndarray, ends: int, v: int) -> None:
+        self.depth, self.ends = depth_for(v), ends
+        self.below = BRANCH ** (self.depth - 1)
         order = np.lexsort((h, -c))
         h, c = h[order], c[order]
         mass = np.cumsum(c) - c / 2
-        cls = 1 + np.minimum((mass / max(c.sum(), 1) * (CLASSES - 2)).astype(np.int64), CLASSES - 3)
-        total = np.bincount(cls, c, CLASSES)
-        within = np.log10(c / total[cls])
+        places = (BRANCH - 2) * self.below
+        leaf = self.below + np.minimum((mass / max(c.sum(), 1) * places).astype(np.int64), places - 1)
         order = np.argsort(h)
-        self.h, self.c, self.cls, self.within = h[order], c[order], cls[order], within[order]
-        self.ends, self.rest = ends, n - ends - int(c.sum())
-        self.rest_log = np.log10(self.rest + max(0, v - (ends > 0) - len(h)) + 1)
-        total[END], total[REST] = ends, self.rest
-        self.prior = np.log((total + 1) / (total.sum() + CLASSES))
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token, and its place in the head (only for classes of the head)."""
+        self.h, self.c, self.leaf = h[order], c[order], leaf[order]
+        used, at = np.unique(self.leaf, return_inverse=True)
+        self.head_leaves, self.head_mass = used, np.bincount(at, self.c, len(used))
+        self.within = np.log10(self.c / self.head_mass[at]) if len(used) else np.zeros(0)
+
+    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A 32-bit code of each token (0 end, 1.. the head, else a hash), its place in the head, and whether it is of the rest."""
+        rare = _RARE | (mix64(h + _ODD) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
         if not len(self.h):
-            return np.where(h == 0, END, REST), np.zeros(len(h), np.int64)
+            return np.where(h == 0, np.uint32(0), rare), np.zeros(len(h), np.int64), h != 0
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(h == 0, END, np.where(self.h[at] == h, self.cls[at], REST)), at
+        known = self.h[at] == h
+        return np.where(h == 0, np.uint32(0), np.where(known, (at + 1).astype(np.uint32), rare)), at, ~known & (h != 0)
 
+    def rest_leaf(self, code: np.ndarray) -> np.ndarray:
+        return (code & np.uint32(0x7FFFFFFF)).astype(np.int64) % self.below
 
-def features(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: previous, previous two, one before last; 0 stands for what is before a text."""
-    index = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
-    prev = [np.where(index >= d, np.concatenate([np.zeros(min(d, len(h)), np.uint64), h[:-d]])[: len(h)], np.uint64(0)) for d in (1, 2)]
-    mask = np.uint64(TABLE - 1)
-    both = mix64(prev[0] * np.uint64(3) + prev[1])
-    return np.stack([1 + (prev[0] & mask), 1 + TABLE + (both & mask), 1 + 2 * TABLE + (prev[1] & mask)], 1).astype(np.int64)
-
+    def leaves(self, code: np.ndarray) -> np.ndarray:
+        rest = REST * self.below + self.rest_leaf(code)
+        if not len(self.h):
+            return np.where(code == 0, 0, rest)
+        return np.where(code == 0, 0, np.where(code < _RARE, self.leaf[np.minimum(np.maximum(code, 1) - 1, len(self.leaf) - 1).astype(np.int64)], rest))
+
+    def close(self, rest: np.ndarray) -> None:
+        """``rest``: add-one mass of the counted tokens in each leaf of the rest; one more is left for the unseen."""
+        mass = rest + 1.0
+        self.rest_log = np.log10(mass)
+        leaves = np.concatenate([[0], self.head_leaves, REST * self.below + np.arange(self.below)])
+        mass = np.concatenate([[self.ends + 1.0], self.head_mass, mass])
+        self.levels = []
+        for level in range(self.depth):
+            child = leaves // BRANCH ** (self.depth - 1 - level)
+            nodes, at = np.unique(child // BRANCH, return_inverse=True)
+            table = np.bincount(at * BRANCH + child % BRANCH, mass, len(nodes) * BRANCH).reshape(-1, BRANCH)
+            many = (table > 0).sum(1) > 1
+            table = table[many]
+            prior = np.where(table > 0, np.log(np.maximum(table, 1e-9) / table.sum(1, keepdims=True)), -1e9)
+            self.levels.append((nodes[many], prior.astype(np.float32)))
+
+
+def _rest_mass(counts: DataFrame, known) -> np.ndarray:
+    """Add-one mass of each leaf of the rest."""
 
-def _log_softmax(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[:, 0]] + w[f[:, 1]]
-    z += w[f[:, 2]]
-    z += w[0]
+    def run(batches):
+        head = known.value
+        mass = np.zeros(head.below, np.int64)
+        for b in batches:
+            h, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            code, _, rest = head.codes(h)
+            np.add.at(mass, head.rest_leaf(code[rest]), c[rest] + 1)
+        at = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], ["leaf", "mass"])
+
+    got = counts.select("h", "c").mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toPandas()
+    out = np.zeros(known.value.below)
+    out[got["leaf"].to_numpy(np.int64)] = got["mass"].to_numpy(np.float64)
+    return out
+
+
+def histories(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each and the one before that; 0 stands for what is before a text."""
+    index = np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))
+    return tuple(np.where(index >= d, np.concatenate([np.zeros(min(d, len(code)), np.uint32), code[:-d]])[: len(code)], np.uint32(0)) for d in (1, 2))
+
+
+def features(prev: np.ndarray, prev2: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """Rows of the three weight tables for each history and node; a table has as many rows as there are distinct features, up to the next power of two."""
+    p, q, n = (x.astype(np.uint64) for x in (prev, prev2, node))
+    n = mix64(n + _ODD)
+    both = mix64((q << np.uint64(32)) + p + _ODD)
+    out = []
+    for f in (mix64(p + n), mix64(both + n), mix64(q * np.uint64(3) + n)):
+        size = 1 << max(0, int(len(np.unique(f)) - 1).bit_length())
+        out.append((f & np.uint64(size - 1)).astype(np.int64))
+    return out
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def step(w: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
-    """One gradient step on a batch; a feature's summed gradient is divided by the root of its uses."""
-    g = np.exp(_log_softmax(w, f))
-    g[np.arange(len(cls)), cls] -= 1
-    w[0] -= RATE * g.sum(0) / np.sqrt(len(cls))
-    for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
-        rows = f[order, k]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        uses = np.diff(np.append(first, len(rows)))
-        w[rows[first]] -= RATE * np.add.reduceat(g[order], first, axis=0) / np.sqrt(uses)[:, None]
-
-
-def train(docs: DataFrame, head: Head) -> np.ndarray:
-    """Weights (1 + 3 * TABLE, CLASSES) after ``ROUNDS`` rounds, each over its own share of the training documents."""
-    sc = docs.sparkSession.sparkContext
-    w = np.zeros((1 + 3 * TABLE, CLASSES), np.float32)
-    w[0] = head.prior
-    known = sc.broadcast(head)
-    for r in range(ROUNDS):
-        start = sc.broadcast(w)
-
-        def run(batches, start=start):
-            w, seen = start.value.copy(), 0
-            for _, _, h, at in _texts(batches):
-                cls, _ = known.value.find(h)
-                f = features(h, at)
-                for lo in range(0, len(h), BATCH):
-                    step(w, f[lo : lo + BATCH], cls[lo : lo + BATCH])
-                seen += len(h)
-            if seen:
-                cuts = range(0, len(w), _BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK for i in cuts], pa.int32()), pa.array([w[i : i + _BLOCK].tobytes() for i in cuts], pa.binary()), pa.array([seen] * len(cuts), pa.int64())], ["block", "data", "n"])
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = pdf["n"].to_numpy(np.float64)
-            total = sum(np.frombuffer(d, np.float32).astype(np.float64) * k for d, k in zip(pdf["data"], n / n.sum(), strict=True))
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.astype(np.float32).tobytes()]})
-
-        share = docs.filter((fold() != HELD_OUT) & (F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(ROUNDS)) == r)).select("text")
-        new = w.copy()
-        for row in share.mapInArrow(run, "block int, data binary, n long").groupBy("block").applyInPandas(mean, "block int, data binary").collect():
-            part = np.frombuffer(row["data"], np.float32).reshape(-1, CLASSES)
-            new[row["block"] * _BLOCK : row["block"] * _BLOCK + len(part)] = part
-        w = new
-    return w
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def fit_level(prior: np.ndarray, node: np.ndarray, fs: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """Log p(child) of every history and node, after ``PASSES`` steps on their counts of children in the training documents."""
+    n = counts.sum(1)
+    trained = np.flatnonzero(n > 0)
+    ws = [np.zeros((int(f.max()) + 1, BRANCH), np.float32) for f in fs]
+    plans = []
+    for f in fs:
+        order = np.argsort(f[trained], kind="stable")
+        rows = f[trained][order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        uses = np.add.reduceat(n[trained][order], first) if len(rows) else np.zeros(0)
+        plans.append((order, rows[first], first, (1 / (uses + RIDGE)).astype(np.float32)[:, None]))
+
+    def logits(at):
+        z = prior[node[at]]
+        for w, f in zip(ws, fs, strict=True):
+            z += w[f[at]]
+        return _log_softmax(z)
+
+    for _ in range(PASSES if len(trained) else 0):
+        g = np.empty((len(trained), BRANCH), np.float32)
+        for lo in range(0, len(trained), _BLOCK):
+            at = trained[lo : lo + _BLOCK]
+            g[lo : lo + _BLOCK] = np.exp(logits(at)) * n[at, None] - counts[at]
+        for w, (order, rows, first, rate) in zip(ws, plans, strict=True):
+            w[rows] -= np.add.reduceat(g[order], first, axis=0) * rate
+    out = np.empty((len(node), BRANCH), np.float32)
+    for lo in range(0, len(node), _BLOCK):
+        out[lo : lo + _BLOCK] = logits(np.arange(lo, min(lo + _BLOCK, len(node))))
+    return out
+
+
+def fit(head: Head, held: np.ndarray, prev: np.ndarray, prev2: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log10 p(leaf | history) of a shard's positions by a model fitted to those that aren't held out."""
+    out = np.zeros(len(code))
+    leaf = head.leaves(code)
+    past, which = np.unique((prev2.astype(np.uint64) << np.uint64(32)) | prev, return_inverse=True)
+    for level, (nodes, prior) in enumerate(head.levels):
+        if not len(nodes):
+            continue
+        child = leaf // BRANCH ** (head.depth - 1 - level)
+        at = np.minimum(np.searchsorted(nodes, child // BRANCH), len(nodes) - 1)
+        open_ = np.flatnonzero(nodes[at] == child // BRANCH)
+        if not len(open_):
+            continue
+        child = child[open_] % BRANCH
+        pairs, pair = np.unique(which[open_] * len(nodes) + at[open_], return_inverse=True)
+        node, pasts = pairs % len(nodes), past[pairs // len(nodes)]
+        seen = ~held[open_]
+        counts = np.bincount(pair[seen] * BRANCH + child[seen], minlength=len(pairs) * BRANCH).astype(np.float32).reshape(-1, BRANCH)
+        fs = features(pasts & np.uint64(0xFFFFFFFF), pasts >> np.uint64(32), nodes[node])
+        out[open_] += fit_level(prior, node, fs, counts)[pair, child]
+    return out / np.log(10)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """32-bit columns by byte planes, compressed."""
+    return pa.Codec("zstd").compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns), asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, n * 4 * len(kinds), asbytes=True), np.uint8).reshape(len(kinds), 4, n)
+    return [np.ascontiguousarray(r.T).reshape(-1).view(k) for r, k in zip(raw, kinds, strict=True)]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """op6: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; a null text is empty.
 
-    Frequent tokens are looked up in the tasks; the others' counts are joined
-    by their hash, which no token frequent enough to be skewed is part of.
+    A unit is a run of documents of one task: a row with what is known of its
+    documents without the model, and a row of positions per shard. Shards
+    send back sums per document, which meet again by unit. Frequent tokens are
+    looked up in the tasks; the others' counts are joined by their hash, which
+    no token frequent enough to be skewed is part of.
     """
     spark = docs.sparkSession
     counts = written(token_counts(docs))
     n, v, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == 0, F.col("c")))).first()
     n, v, ends = n or 0, v or 0, ends or 0
     top = counts.filter("h <> 0").orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    head = Head(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), ends, n, v)
-    weights = train(docs, head)
-    shared = spark.sparkContext.broadcast((head, weights))
+    head = Head(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), ends, v)
+    head.close(_rest_mass(counts, spark.sparkContext.broadcast(head)))
+    shared = spark.sparkContext.broadcast(head)
+    shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))
     log_all = float(np.log10(n + v + 1))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        head, w = shared.value
+    def deal(batches):
+        head = shared.value
         log_head = np.log10(head.c + 1)
+        split = np.concatenate([[head.ends], head.c]) * 2 // SHARD + 1
+        task = TaskContext.get().partitionId() << 32
+        held, size, unit, n_docs = [], 0, 0, 0
+        tables = []
+
+        def flush():
+            doc, prev, prev2, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            k = np.where(prev < _RARE, split[np.minimum(prev, len(split) - 1).astype(np.int64)], 1).astype(np.uint64)
+            shard = (mix64(prev.astype(np.uint64) + _ODD * (np.uint64(1) + mix64(prev2.astype(np.uint64) + _ODD) % k)) % np.uint64(shards)).astype(np.uint64)
+            order = np.argsort((shard << np.uint64(32)) | prev, kind="stable")
+            shard = shard[order].astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, tables[0].schema) as w:
+                for t in tables:
+                    w.write_batch(t)
+            rows = [((task | unit) % shards, 0, n_docs, sink.getvalue().to_pybytes())]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                o = order[lo:hi]
+                rows.append((int(shard[lo]), 1, hi - lo, _pack(doc[o], prev[o], prev2[o], code[o])))
+            s, kinds, ns, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([task | unit] * len(s), pa.int64()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())], ["shard", "unit", "kind", "n", "data"])
+
         for b, lo, h, at in _texts(batches, 2):
-            cls, place = head.find(h)
-            f = features(h, at)
-            p = np.empty(len(h))
-            for i in range(0, len(h), BATCH):
-                part = cls[i : i + BATCH]
-                p[i : i + BATCH] = _log_softmax(w, f[i : i + BATCH])[np.arange(len(part)), part]
-            p /= np.log(10)
-            inside = (cls != END) & (cls != REST)
-            base, known = np.full(len(h), np.log10(head.ends + 1)), np.full(len(h), int(head.ends > 0))
-            base[inside], known[inside] = log_head[place[inside]], 1
-            p[inside] += head.within[place[inside]]
-            rest = cls == REST
-            base[rest], known[rest] = 0, 0
-            p[rest] -= head.rest_log
+            code, place, rest = head.codes(h)
+            inside = (h != 0) & ~rest
+            base, known, model = np.full(len(h), np.log10(head.ends + 1)), np.full(len(h), int(head.ends > 0)), np.zeros(len(h))
+            base[inside], known[inside], model[inside] = log_head[place[inside]], 1, head.within[place[inside]]
+            base[rest], known[rest], model[rest] = 0, 0, -head.rest_log[head.rest_leaf(code[rest])]
             total = lambda x: np.add.reduceat(x, at[:-1])
-            cold = h[rest].view(np.int64)
             cuts = np.concatenate([[0], np.cumsum(total(rest.astype(np.int64)))])
             rows = slice(lo, lo + len(at) - 1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0)[rows], b.column(1)[rows], pa.array(np.diff(at)), pa.array(total(known)), pa.array(total(base)), pa.array(total(p)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(cold))],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "model", "cold"],
+            out = b.column(1)[rows]
+            tables.append(
+                pa.RecordBatch.from_arrays(
+                    [b.column(0)[rows], out, pa.array(np.diff(at)), pa.array(total(known)), pa.array(total(base)), pa.array(total(model)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))],
+                    ["doc_id", "held_out", "n_tokens", "known", "base", "model", "cold"],
+                )
             )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
+            doc = (np.arange(n_docs, n_docs + len(at) - 1, dtype=np.uint32) << np.uint32(1)) | out.to_numpy(zero_copy_only=False).astype(np.uint32)
+            held.append((np.repeat(doc, np.diff(at)), *histories(code, at), code))
+            size, n_docs = size + len(h), n_docs + len(at) - 1
+            if size > 128 * shards:
+                yield flush()
+                held, tables, size, n_docs, unit = [], [], 0, 0, unit + 1
+        if held:
+            yield flush()
+
+    def model(batches):
+        head = shared.value
+        held, last = [], None
+
+        def solve():
+            columns = [_unpack(d, n, [np.uint32] * 4) for _, n, d in held]
+            doc, prev, prev2, code = (np.concatenate(x) for x in zip(*columns, strict=True))
+            p = fit(head, (doc & np.uint32(1)) == 1, prev, prev2, code)
+            rows, lo = [], 0
+            for unit, n, _ in held:
+                d, at = np.unique(doc[lo : lo + n] >> np.uint32(1), return_inverse=True)
+                rows.append((unit, 1, len(d), _pack(d, np.bincount(at, p[lo : lo + n], len(d)).astype(np.float32))))
+                lo += n
+            u, kinds, ns, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())], ["unit", "kind", "n", "data"])
+
+        for b in batches:
+            about = b.column(2).to_numpy() == 0
+            if about.any():
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(about)) for i in (1, 2, 3, 4)], ["unit", "kind", "n", "data"])
+            for i in np.flatnonzero(~about):
+                shard = b.column(0)[i].as_py()
+                if shard != last and held:
+                    yield solve()
+                    held = []
+                last = shard
+                held.append((b.column(1)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py()))
+        if held:
+            yield solve()
+
+    def gather(batches):
+        tables, sums = None, None
+
+        def done():
+            lo = 0
+            for t in tables:
+                new = np.asarray(t.column("model")) + sums[lo : lo + len(t)]
+                lo += len(t)
+                yield t.set_column(5, "model", pa.array(new))
+
+        for b in batches:
+            for kind, n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if kind == 0:
+                    if tables is not None:
+                        yield from done()
+                    tables, sums = list(pa.ipc.open_stream(data.as_buffer())), np.zeros(n)
+                else:
+                    d, p = _unpack(data.as_buffer(), n, [np.uint32, np.float32])
+                    sums[d] += p
+        if tables is not None:
+            yield from done()
+
+    dealt = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(deal, "shard int, unit long, kind int, n long, data binary")
+    sums = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(model, "unit long, kind int, n long, data binary")
+    rows = sums.repartition(shards, "unit").sortWithinPartitions("unit", "kind").mapInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
+    release(spark)
     cold = rows.select("rid", F.explode("cold").alias("h"))
     logs = cold.join(counts, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("found"))
     out = rows.drop("cold").join(logs, "rid", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
