@@ -10,20 +10,25 @@ from ..functions import names as N
 from ..functions import paths as P
 
 
-def fold_tags(events: DataFrame, rounds: int = 32) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage ended, so that plans don't grow with the rounds."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def fold_tags(events: DataFrame) -> DataFrame:
     """(root, path, tag): the tags that stand after all events, add, remove and move, in order of ``seq``.
 
     A wave: each fact looks for its next move (the smallest later seq whose
     source is its path or above) and is re-keyed; ``hist`` keeps the seqs of
     the moves that carried it, last first, and its own seq at the end. Facts
-    without moves end in the first round. Then the histories are folded from
+    without moves end in the first round, and waves go on until none is left:
+    each takes a later move, so they end. Then the histories are folded from
     their ends: of the facts that one move carried from one place the last
     one counts, and only if it is an add, at the move's seq; so a mover beats
     what was at its destination and loses to what comes later.
     """
     facts = events.filter(F.col("op").isin("add", "remove")).select("root", "path", "tag", "op", F.array("seq").alias("hist"))
     moves = events.filter("op = 'move' AND src <> ''").select("root", "src", "dst", F.col("seq").alias("m"))
-    ckpt = facts.sparkSession.sparkContext.getCheckpointDir()
     prefix = F.slice("hist", F.lit(1), F.size("hist") - 1)
     own = F.element_at("hist", -1)
 
@@ -31,22 +36,21 @@ def fold_tags(events: DataFrame, rounds: int = 32) -> DataFrame:
         w = W.partitionBy("root", "path", "tag", prefix, *more).orderBy(F.desc(own))
         return df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
-    still, depth = None, 0
-    for depth in range(1, rounds + 2):
+    waves = []  # the facts that ended in each wave; their histories have as many seqs as the wave's number
+    while True:
         up = facts.select("*", F.explode(P.self_and_ancestors(F.col("path"))).alias("src"))
         key = ["root", "path", "tag", "hist"]
         nxt = up.join(moves, ["root", "src"]).filter(F.col("m") > F.col("hist")[0]).groupBy(*key).agg(F.min(F.struct("m", "src", "dst")).alias("mv"))
-        held = last_of(facts.join(nxt, key, "left"), F.coalesce("mv.m", F.lit(-1)))
-        done = held.filter("mv IS NULL").select("root", "path", "tag", "op", "hist")
-        still = done if still is None else still.union(done)
+        held = _cut(last_of(facts.join(nxt, key, "left"), F.coalesce("mv.m", F.lit(-1))))
+        waves.append(held.filter("mv IS NULL").select("root", "path", "tag", "op", "hist"))
         facts = held.filter("mv IS NOT NULL").select("root", F.concat("mv.dst", F.substring("path", F.length("mv.src") + 1, F.length("path"))).alias("path"), "tag", "op", F.concat(F.array("mv.m"), "hist").alias("hist"))
-        if ckpt:
-            facts, still = facts.checkpoint(), still.checkpoint()
         if facts.isEmpty():
             break
-    for level in range(depth, 1, -1):
-        carried = last_of(still.filter(F.size("hist") == level)).filter("op = 'add'").withColumn("hist", prefix)
-        still = still.filter(F.size("hist") < level).union(carried)
+    still = waves.pop()
+    while waves:
+        carried = last_of(still).filter("op = 'add'").withColumn("hist", prefix)
+        still = waves.pop().union(carried)
+        still = _cut(still) if len(waves) % 8 == 7 else still
     return last_of(still).filter("op = 'add'").select("root", "path", "tag")
 
 
@@ -57,18 +61,16 @@ def last_values(events: DataFrame) -> DataFrame:
     return held.filter("r = 1 AND op = 'attr-set'").select("root", "path", "name", "value")
 
 
-def tag_closure(parents: DataFrame, rounds: int = 32) -> DataFrame:
+def tag_closure(parents: DataFrame) -> DataFrame:
     """(tag, up): all transitive parents; parents: tag, parent."""
-    out = parents.select("tag", F.col("parent").alias("up")).distinct()
+    out = _cut(parents.select("tag", F.col("parent").alias("up")).distinct())
     n = out.count()
-    for _ in range(rounds):
-        more = out.union(out.join(parents.select(F.col("tag").alias("up"), "parent"), "up").select("tag", F.col("parent").alias("up"))).distinct()
-        more = more.checkpoint() if more.sparkSession.sparkContext.getCheckpointDir() else more
+    while True:
+        more = _cut(out.union(out.join(out.select(F.col("tag").alias("up"), F.col("up").alias("top")), "up").select("tag", F.col("top").alias("up"))).distinct())
         m = more.count()
         if m == n:
             return more
         out, n = more, m
-    return out
 
 
 def effective_tags(entries: DataFrame, tags: DataFrame, closure: DataFrame | None = None) -> DataFrame:
