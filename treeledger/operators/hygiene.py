@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import paths as P
 from ..functions.text import nfkc_casefold
+from .meta import _cut
 
 def _file() -> Column:
     return ~F.col("is_dir")
@@ -56,9 +59,22 @@ def deepest(folders: DataFrame) -> DataFrame:
     return folders.join(held, ["root", "dir"], "left_anti")
 
 
+def _folders(entries: DataFrame) -> DataFrame:
+    """(root, dir) of every folder, listed itself or above something listed."""
+    p = F.col("relpath")
+    return entries.select("root", F.explode(F.when(F.col("is_dir"), P.self_and_ancestors(p)).otherwise(P.ancestors(p))).alias("dir")).filter("dir <> ''").distinct()
+
+
+def outside(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """``rows`` (root, relpath) that are neither in ``folders`` (root, relpath) nor below one of them."""
+    up = rows.select("root", "relpath", F.explode(P.self_and_ancestors(F.col("relpath"))).alias("up"))
+    covered = up.join(folders.select("root", F.col("relpath").alias("up")), ["root", "up"], "left_semi").select("root", "relpath").distinct()
+    return rows.join(covered, ["root", "relpath"], "left_anti")
+
+
 def folder_findings(entries: DataFrame) -> DataFrame:
     """Topmost regenerable, app-data and cache folders with the files and bytes below them."""
-    dirs = subtree_sizes(entries).filter("dir <> ''")
+    dirs = _folders(entries).join(subtree_sizes(entries), ["root", "dir"], "left").fillna(0, ["files", "bytes"])
     name = P.basename(F.col("dir"))
     category = F.when(name.isin(N.REGENERABLE), "regenerable").when(name.isin(N.APP_DATA), "app-data").when(F.lower(name).isin(N.CACHES) & (F.col("files") > 0), "app-data")
     found = dirs.withColumn("category", category).filter("category IS NOT NULL")
@@ -86,13 +102,30 @@ def file_findings(entries: DataFrame, devices: list[str] = ()) -> DataFrame:
     return plain.union(copies.select("root", "category", "relpath", F.lit(False), F.lit(1).cast("long"), "size", ~same))
 
 
-def findings(entries: DataFrame) -> DataFrame:
-    """Folder findings, then file findings outside of them."""
-    folders = folder_findings(entries)
-    files = file_findings(entries)
-    inside = files.select("root", "relpath", F.explode(P.ancestors(F.col("relpath"))).alias("up"))
-    covered = inside.join(folders.select("root", F.col("relpath").alias("up")), ["root", "up"], "left_semi").select("root", "relpath").distinct()
-    return folders.withColumn("needs_review", F.lit(False)).unionByName(files.join(covered, ["root", "relpath"], "left_anti"))
+def findings(entries: DataFrame, now_ns: int | None = None, least_bare: int = 500, stale_bytes: int = 500 << 20, stale_days: int = 365) -> DataFrame:
+    """What a tree's hygiene asks for, each path once: folders by name, then folders of files without extension,
+    files by name and size, empty folders, extracted archives, and large files not touched for long.
+
+    A path that an earlier rule reported, or that is in a folder reported, is left to that rule. Archives and
+    stale files are for review.
+    """
+    columns = ["root", "category", "relpath", "is_dir", "files", "size", "needs_review"]
+    one = F.lit(1).cast("long").alias("files")
+    named = _cut(folder_findings(entries).withColumn("needs_review", F.lit(False)))
+    rest = outside(entries.filter(_file()), named)
+    bare = no_extension_folders(rest, least_bare).select("root", F.col("dir").alias("relpath"))
+    sizes = subtree_sizes(rest.filter(~P.has_part(F.col("relpath"), N.VCS))).withColumnRenamed("dir", "relpath")
+    bare = bare.join(sizes, ["root", "relpath"]).select("root", F.lit("app-data").alias("category"), "relpath", F.lit(True).alias("is_dir"), "files", F.col("bytes").alias("size"), F.lit(False).alias("needs_review"))
+    folders = _cut(named.select(columns).unionByName(bare))
+    files = _cut(outside(file_findings(entries), folders).select(columns))
+    empty = outside(empty_folders(entries), folders).select("root", F.lit("empty-dir").alias("category"), "relpath", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("needs_review"))
+    found = folders.unionByName(files).unionByName(empty)
+    packed = outside(extracted_archives(entries), folders).join(files, ["root", "relpath"], "left_anti")
+    packed = packed.select("root", F.lit("extracted-archive").alias("category"), "relpath", F.lit(False).alias("is_dir"), one, "size", F.lit(True).alias("needs_review"))
+    now = time.time_ns() if now_ns is None else now_ns
+    stale = outside(stale_large(entries, stale_bytes, now - stale_days * 86_400_000_000_000), folders).join(files.unionByName(packed), ["root", "relpath"], "left_anti")
+    stale = stale.select("root", F.lit("stale-large").alias("category"), "relpath", F.lit(False).alias("is_dir"), one, "size", F.lit(True).alias("needs_review"))
+    return found.unionByName(packed).unionByName(stale)
 
 
 def by_category(found: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def build(findings: DataFrame, entries: DataFrame, categories: list[str] | None
     own = files.select("root", "relpath", F.lit(1).cast("long").alias("n"), "size", "mtime_ns")
     up = files.select("root", F.explode(P.ancestors(F.col("relpath"))).alias("relpath"), "size", "mtime_ns").join(held.filter("is_dir").select("root", "relpath"), ["root", "relpath"], "left_semi")
     dirs = up.groupBy("root", "relpath").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("mtime_ns").alias("mtime_ns"))
-    now = own.union(dirs)
+    empty = held.filter("category = 'empty-dir'").join(entries.select("root", F.explode(P.ancestors(F.col("relpath"))).alias("relpath")).distinct(), ["root", "relpath"], "left_anti")
+    empty = empty.join(entries.filter("is_dir").select("root", "relpath", "mtime_ns"), ["root", "relpath"]).select("root", "relpath", F.lit(0).cast("long"), F.lit(0).cast("long"), "mtime_ns")
+    now = own.union(dirs).union(empty)
     return held.select("root", "relpath", "is_dir", "category").join(now, ["root", "relpath"]).select("root", F.lit("quarantine").alias("action"), F.col("relpath").alias("path"), "is_dir", F.col("n").alias("files"), "size", "mtime_ns", "category")
 
 
