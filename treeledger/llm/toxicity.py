@@ -12,7 +12,6 @@ model finds most toxic. Misspelt or unseen words share n-gram vectors.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 from .textbytes import chunks
 
 SEGMENT, BUCKETS, DIM, GRAMS = 6, 1 << 18, 8, (3, 4, 5, 6)
-#: The classifier's bounded sample of labelled rows, of each label, and the longest text (bytes) taken into it.
-SAMPLE, SAMPLE_BYTES = {1: 1250, 0: 4000}, 8_000
+#: The classifier's bounded sample of labelled rows, of each label, and the most characters of a text in it: of a longer
+#: one a run of so many is taken, at a place that a hash of its id chooses (more of a toxic one, whose toxic words may be anywhere).
+SAMPLE, SAMPLE_CHARS = {1: 1250, 0: 4000}, {1: 32_000, 0: 8_000}
 #: Bytes of the sample that are cut into n-grams at a time: bounds the driver's memory.
 SAMPLE_CHUNK = 1 << 18
 #: Every so many texts of the sample set the scale and threshold only.
@@ -205,27 +205,51 @@ def bucket(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
-    """Trains on at most ``SAMPLE`` labelled texts of each label, those with the smallest hash of their id.
+def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, text, toxic): at most ``SAMPLE`` labelled texts of each label, those with the smallest hash of their id.
 
-    Labels of held-out ids, null labels and texts over ``SAMPLE_BYTES`` aren't used.
+    Labels of held-out ids, null labels and null texts aren't used; an id that
+    is marked both toxic and clean counts as toxic.
     """
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (bucket(F.col("doc_id")) != 0) & (F.octet_length("text") <= SAMPLE_BYTES))
-    marks = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (bucket(F.col("doc_id")) != 0)).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (bucket(F.col("doc_id")) != 0))
+    marks = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (bucket(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    key = F.xxhash64("doc_id")
     parts = []
-    for value, most in (sample or SAMPLE).items():
-        chosen = marks.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * most)
-        got = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toPandas()
-        parts.append(got)
-    got = pd.concat(parts)
-    return train(got["text"].tolist(), got["toxic"].to_numpy())
-
-
-def score(docs: DataFrame, model: Model, into: str = "__score") -> DataFrame:
-    """``docs`` with the score in ``into``; null and empty texts score the model's prior."""
-    spark = docs.sparkSession
-    table, bias = model.logit_table()
-    shared = spark.sparkContext.broadcast(table)
+    for value, n in (most or SAMPLE).items():
+        width = SAMPLE_CHARS[value]
+        at = F.pmod(F.xxhash64("doc_id", F.lit(value)), F.greatest(F.length("text") - width + 1, F.lit(1)))
+        chosen = marks.filter(F.col("toxic") == value).orderBy(key, "doc_id").limit(3 * n)
+        held = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", at.cast("int") + 1, F.lit(width)).alias("text"), "toxic")
+        parts.append(held.orderBy(key, "doc_id", "text").limit(n))
+    return parts[0].unionByName(parts[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
+    """Logit of every bucket, and a bias, of the model that is trained on the sample.
+
+    One task trains on the bounded sample; the driver only receives one number
+    a bucket. Order and result do not depend on how the tables are partitioned.
+    """
+
+    def run(batches):
+        held = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (r[2], str(r[0]), r[1]))
+        table, bias = train([r[1] for r in held], np.array([r[2] for r in held], int)).logit_table()
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["logits", "bias"])
+
+    got = sample(docs, labels, most).coalesce(1).mapInArrow(run, "logits binary, bias double").first()
+    if got is None:  # an empty plan has no task
+        return train([], np.zeros(0, int)).logit_table()
+    return np.frombuffer(bytes(got["logits"]), np.float32), got["bias"]
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "__score") -> DataFrame:
+    """``docs`` with the score in ``into``; null and empty texts score the model's prior.
+
+    Every row is scored by itself, whole texts at a time, so repeated rows and
+    ties get equal scores; a column named ``into`` is replaced, others are kept.
+    """
+    table, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     schema = docs.drop(into).withColumn(into, F.lit(0.0)).schema
     where = schema.fieldNames().index("text")
 
@@ -238,7 +262,7 @@ def score(docs: DataFrame, model: Model, into: str = "__score") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more."""
+    """``docs`` without those that score ``threshold`` or more; an empty table stays empty."""
     scored = score(docs, fit(docs, labels))
     return scored.filter(F.col("__score") < threshold).select(*docs.columns)
 
