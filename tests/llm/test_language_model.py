@@ -1,4 +1,4 @@
-"""The language model's size follows the corpus, its tree is a distribution, and classes are split by history down to tokens."""
+"""The language model's size follows the corpus, its choices are a distribution, and what precedes a token tells it from others."""
 
 import random
 
@@ -8,37 +8,65 @@ from pyspark.sql import functions as F
 from treeledger.llm import language_model as L
 
 
-def test_probabilities_of_all_tokens_sum_to_one():
+def _head(words: int = 2000, others: int = 1000) -> L.Head:
     rng = np.random.default_rng(1)
-    h = np.unique(rng.integers(1, 1 << 63, 3000).astype(np.uint64))
-    head = L.Head(h[:2000], rng.integers(1, 50, 2000), 40, 20_000)
-    rest = np.zeros(head.below)
-    code, _, _ = head.codes(h[2000:])
-    np.add.at(rest, head.rest_leaf(code), 2)
+    h = np.unique(rng.integers(1, 1 << 63, words + others).astype(np.uint64))
+    head = L.Head(h[:words], rng.integers(1, 50, words), 40, words + others)
+    rest = np.zeros(head.leaves)
+    np.add.at(rest, head.leaf(head.codes(h[words:])[0]), 2)
     head.close(rest)
-    assert head.depth == 3
-    for nodes, prior in head.levels:
-        fs = [np.zeros(len(nodes), np.int64)] * 3
-        p = np.exp(L.fit_level(prior, np.arange(len(nodes)), fs, np.ones((len(nodes), L.BRANCH), np.float32) * (prior > -1e8)))
-        assert np.allclose(p.sum(1), 1, atol=1e-4) and (p[prior < -1e8] == 0).all()
-    inside = np.bincount(np.unique(head.leaf, return_inverse=True)[1], 10**head.within)
-    unseen = 1 - rest / 10**head.rest_log
-    assert np.allclose(inside, 1) and (unseen > 0).all()
+    return head
 
 
-def test_tables_and_depth_grow_with_distinct_features():
-    for n in (1000, 100_000):
-        prev, prev2 = np.arange(n, dtype=np.uint32), np.zeros(n, np.uint32)
-        assert all(int(f.max()) + 1 > n / 2 for f in L.features(prev, prev2, np.zeros(n, np.int64))[:2])
-    assert [L.depth_for(v) for v in (10, 8_000, 404_000, 10_000_000)] == [1, 2, 4, 5]
+def test_probabilities_of_all_items_sum_to_one_for_a_trained_history():
+    head = _head()
+    leaf_codes = {}
+    for x in range(200_000):
+        leaf_codes.setdefault(int(head.leaf(np.array([L._RARE | np.uint32(x)]))[0]), int(L._RARE) | x)
+        if len(leaf_codes) == head.leaves:
+            break
+    code = np.array([*range(len(head.h) + 1), *leaf_codes.values()], np.uint32)
+    assert sorted(head.item(code).tolist()) == list(range(len(head.h) + 1 + head.leaves))
+    n = np.where(np.arange(len(code)) % 7 == 0, np.arange(len(code)) % 11, 0)
+    p = L.fit(head, np.full(len(code), 5, np.uint32), np.full(len(code), 9, np.uint32), code, n)
+    shares = np.exp(p) * 10 ** head.share[head.item(code)]
+    assert abs(shares.sum() - 1) < 1e-3
+    assert np.exp(p)[n > 5].mean() > 3 * np.exp(p)[n == 0].mean()
 
 
-def test_a_token_is_told_from_its_class_by_what_precedes(spark):
+def test_items_leaves_and_depth_grow_with_the_vocabulary():
+    small, large = _head(20, 10), _head(20_000, 20_000)
+    assert large.depth >= small.depth + 8 and large.leaves > 100 * small.leaves
+
+
+def _score(frame):
+    return {r.doc_id: r for r in L.score(frame).collect()}
+
+
+def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark):
     rng = random.Random(3)
     rows = []
     for i in range(600):
         at = rng.randrange(3000)
         rows.append((i, " ".join(f"w{(at + k) % 3000}" for k in range(300))))
-    got = L.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    # 32 classes alone: log10 p >= -log10(3000 / 32) = -1.97 at best
-    assert got[0] / got[2] > -1.5 and got[1] / got[2] < -3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = _score(frame.coalesce(1)), _score(frame.repartition(13))
+    assert {k: r.score for k, r in one.items()} == {k: r.score for k, r in many.items()}
+    held = [r for r in one.values() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    # half of log10(3000) a token and less; the base knows the words' frequencies only
+    assert sum(r.score for r in held) / tokens > -1.5 and sum(r.base_score for r in held) / tokens < -3
+
+
+def test_units_and_shards_of_one_corpus_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(rng.randrange(0, 400)))) for i in range(200)]
+    rows += [(1000 + i, None if i % 2 else "") for i in range(4)] + [(5, rows[5][1])] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    whole = _score(frame)
+    monkeypatch.setattr(L, "UNIT", 3000)
+    assert {k: r.score for k, r in _score(frame).items()} == {k: r.score for k, r in whole.items()}
+    monkeypatch.setattr(L, "SHARD", 4096)
+    got = L.score(frame).filter("not held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+    assert len({r.score for r in L.score(frame).filter("doc_id = 5").collect()}) == 1

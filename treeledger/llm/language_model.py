@@ -1,21 +1,23 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-p(token | history) is a product over a tree of classes with ``BRANCH``
-children a node: the first level holds the end of a text, equal shares of the
-``HEAD`` most frequent tokens' mass and all other tokens; each further level
-splits a class again, the head by shares of mass and the rest by hash, down to
-leaves of few tokens (the depth follows from the number of distinct tokens).
-Every node's choice is a softmax over hashed features: the previous token, the
-previous two and the one before last, each together with the node. Inside a
-leaf a token's logit is its log count, add-one smoothed in leaves of the rest,
-which leaves room for unseen tokens.
-
-Positions are dealt to shards by their previous token (a very frequent one by
-the previous two), about ``SHARD`` to each, so the shards grow in number with
-the corpus. All of a history's positions meet in one shard, which counts its
-distinct features at every level, sizes its tables by them, fits the weights
-on its training positions and scores all of its positions: no weights leave
-it, and none are shared by all tasks.
+p(token | history) is a product over nested classes: the end of a text, the
+most frequent tokens (one item each) and hashed leaves of all others lie on a
+line in order of frequency, each as wide as its mass, and every binary digit
+of an item's place on it is a choice between two classes. A choice is a
+softmax over hashed features of the history, each together with the class it
+splits: the previous token, the previous two, and (skip) the one before last.
+Items that share a place, and tokens in a leaf, have their shares of its mass;
+add-one smoothing of the others leaves room for unseen tokens.
+
+A unit is a run of documents of one task. Its distinct n-grams (two tokens and
+the next, with their number in training documents) are dealt to shards by
+their history, about ``SHARD`` to each, so the shards grow in number with the
+corpus and a very frequent n-gram is one row of a unit. A shard holds all
+n-grams of its histories, sizes its weight tables by them and fits the weights
+by damped gradient steps on their summed counts, one table at a time; no
+weights leave it. What comes back are the n-grams' log probabilities, which
+the units look up for all positions of their documents. Sums are taken in
+fixed orders: how the table is partitioned makes no difference to a score.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, shared_dir, written
 from .textbytes import Tokens, chunks, mix64
 
-HEAD, BRANCH, SHARD, PASSES, RIDGE = 1 << 17, 32, 1 << 19, 3, 8.0
-END, REST = 0, BRANCH - 1
+#: Tokens with an item of their own, leaves of the others, and binary digits, at most: what every task holds.
+HEAD, LEAVES, DEPTH = 1 << 17, 1 << 18, 22
+#: Tokens of a unit, n-grams of a shard, sweeps over the weight tables, and the damping of a step.
+UNIT, SHARD, SWEEPS, RIDGE = 1_500_000, 1 << 19, 2, 1.5
 FOLDS, HELD_OUT = 7, 2
 _RARE = np.uint32(1 << 31)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 8192
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_ABOUT = "unit long, kind int, shard int, n long, data binary"
 
 
 def fold():
@@ -44,7 +49,7 @@ def fold():
 
 
 def _texts(batches, column: int = 0):
-    """Per chunk: first row, token hashes with an end (0) after each text, and the rows' offsets."""
+    """Per chunk: batch, first row, token hashes with an end (0) after each text, and the rows' offsets."""
     tokens = Tokens()
     for b in batches:
         for lo, hi, data, offs in chunks(b.column(column)):
@@ -75,27 +80,30 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.filter(fold() != HELD_OUT).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def depth_for(v: int) -> int:
-    """Levels of the tree for ``v`` distinct tokens: the leaves number an eighth of them or more."""
-    return max(1, math.ceil(math.log(max(v, 1) / 8, BRANCH) - 1e-9))
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent tokens: all above the count that at most ``most`` reach.
+
+    A histogram of counts (16 bars to a factor of e) gives the bound, so the
+    driver receives no more rows than it keeps.
+    """
+    words = counts.filter("h <> 0").withColumn("bar", F.floor(F.log("c") * 16))
+    bars = words.groupBy("bar").agg(F.count(F.lit(1)).alias("n"))
+    over = bars.withColumn("up", F.sum("n").over(W.orderBy(F.desc("bar")).rowsBetween(W.unboundedPreceding, 0)))
+    least = over.filter(F.col("up") <= most).agg(F.min("bar")).first()[0]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = words.filter(F.col("bar") >= least).select("h", "c").toArrow()
+    return got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
 
 
 class Head:
-    """The most frequent tokens (sorted hashes), their counts and leaves, and each leaf's mass."""
+    """The frequent tokens (sorted hashes), their counts, and every item's place and share of it."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, ends: int, v: int) -> None:
-        self.depth, self.ends = depth_for(v), ends
-        self.below = BRANCH ** (self.depth - 1)
-        order = np.lexsort((h, -c))
-        h, c = h[order], c[order]
-        mass = np.cumsum(c) - c / 2
-        places = (BRANCH - 2) * self.below
-        leaf = self.below + np.minimum((mass / max(c.sum(), 1) * places).astype(np.int64), places - 1)
         order = np.argsort(h)
-        self.h, self.c, self.leaf = h[order], c[order], leaf[order]
-        used, at = np.unique(self.leaf, return_inverse=True)
-        self.head_leaves, self.head_mass = used, np.bincount(at, self.c, len(used))
-        self.within = np.log10(self.c / self.head_mass[at]) if len(used) else np.zeros(0)
+        self.h, self.c, self.ends = h[order], c[order], ends
+        rest = max(v - len(h), 1)
+        self.leaves = min(LEAVES, 1 << max(0, math.ceil(math.log2(rest / 8))))
 
     def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A 32-bit code of each token (0 end, 1.. the head, else a hash), its place in the head, and whether it is of the rest."""
@@ -106,48 +114,49 @@ class Head:
         known = self.h[at] == h
         return np.where(h == 0, np.uint32(0), np.where(known, (at + 1).astype(np.uint32), rare)), at, ~known & (h != 0)
 
-    def rest_leaf(self, code: np.ndarray) -> np.ndarray:
-        return (code & np.uint32(0x7FFFFFFF)).astype(np.int64) % self.below
+    def leaf(self, code: np.ndarray) -> np.ndarray:
+        return (code & np.uint32(0x7FFFFFFF)).astype(np.int64) & (self.leaves - 1)
 
-    def leaves(self, code: np.ndarray) -> np.ndarray:
-        rest = REST * self.below + self.rest_leaf(code)
-        if not len(self.h):
-            return np.where(code == 0, 0, rest)
-        return np.where(code == 0, 0, np.where(code < _RARE, self.leaf[np.minimum(np.maximum(code, 1) - 1, len(self.leaf) - 1).astype(np.int64)], rest))
+    def item(self, code: np.ndarray) -> np.ndarray:
+        """0 the end, then the head, then the leaves."""
+        return np.where(code < _RARE, code.astype(np.int64), len(self.h) + 1 + self.leaf(code))
 
     def close(self, rest: np.ndarray) -> None:
-        """``rest``: add-one mass of the counted tokens in each leaf of the rest; one more is left for the unseen."""
-        mass = rest + 1.0
-        self.rest_log = np.log10(mass)
-        leaves = np.concatenate([[0], self.head_leaves, REST * self.below + np.arange(self.below)])
-        mass = np.concatenate([[self.ends + 1.0], self.head_mass, mass])
-        self.levels = []
-        for level in range(self.depth):
-            child = leaves // BRANCH ** (self.depth - 1 - level)
-            nodes, at = np.unique(child // BRANCH, return_inverse=True)
-            table = np.bincount(at * BRANCH + child % BRANCH, mass, len(nodes) * BRANCH).reshape(-1, BRANCH)
-            many = (table > 0).sum(1) > 1
-            table = table[many]
-            prior = np.where(table > 0, np.log(np.maximum(table, 1e-9) / table.sum(1, keepdims=True)), -1e9)
-            self.levels.append((nodes[many], prior.astype(np.float32)))
+        """``rest``: add-one mass of the counted tokens in each leaf; one more is left for the unseen."""
+        mass = np.concatenate([[self.ends + 1.0], self.c, rest + 1.0])
+        self.rest_log = np.log10(rest + 1.0)
+        line = np.argsort(-mass, kind="stable")
+        middle = np.empty(len(mass))
+        middle[line] = (np.cumsum(mass[line]) - mass[line] / 2) / mass.sum()
+        self.depth = min(DEPTH, math.ceil(math.log2(len(mass))) + 2)
+        self.place = np.minimum((middle * (1 << self.depth)).astype(np.int64), (1 << self.depth) - 1)
+        below = np.bincount(self.place, mass, 1 << self.depth)
+        self.share = np.log10(mass / below[self.place])
+        levels = []
+        while len(below) > 1:
+            left, right = below[0::2], below[1::2]
+            levels.append(np.where((left > 0) & (right > 0), np.log(np.maximum(right, 1e-300)) - np.log(np.maximum(left, 1e-300)), np.nan).astype(np.float32))
+            below = left + right
+        #: Prior log odds of each class's second half by (1 << level) + class; none where only one half has items.
+        self.odds = np.concatenate([np.full(1, np.nan, np.float32), *levels[::-1]])
 
 
 def _rest_mass(counts: DataFrame, known) -> np.ndarray:
-    """Add-one mass of each leaf of the rest."""
+    """Add-one mass of each leaf."""
 
     def run(batches):
         head = known.value
-        mass = np.zeros(head.below, np.int64)
+        mass = np.zeros(head.leaves, np.int64)
         for b in batches:
             h, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
             code, _, rest = head.codes(h)
-            np.add.at(mass, head.rest_leaf(code[rest]), c[rest] + 1)
+            np.add.at(mass, head.leaf(code[rest]), c[rest] + 1)
         at = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], ["leaf", "mass"])
 
-    got = counts.select("h", "c").mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toPandas()
-    out = np.zeros(known.value.below)
-    out[got["leaf"].to_numpy(np.int64)] = got["mass"].to_numpy(np.float64)
+    got = counts.select("h", "c").mapInArrow(run, "leaf long, mass long").groupBy("leaf").agg(F.sum("mass").alias("mass")).toArrow()
+    out = np.zeros(known.value.leaves)
+    out[got.column("leaf").to_numpy()] = got.column("mass").to_numpy()
     return out
 
 
@@ -157,77 +166,39 @@ def histories(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return tuple(np.where(index >= d, np.concatenate([np.zeros(min(d, len(code)), np.uint32), code[:-d]])[: len(code)], np.uint32(0)) for d in (1, 2))
 
 
-def features(prev: np.ndarray, prev2: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-    """Rows of the three weight tables for each history and node; a table has as many rows as there are distinct features, up to the next power of two."""
-    p, q, n = (x.astype(np.uint64) for x in (prev, prev2, node))
-    n = mix64(n + _ODD)
-    both = mix64((q << np.uint64(32)) + p + _ODD)
-    out = []
-    for f in (mix64(p + n), mix64(both + n), mix64(q * np.uint64(3) + n)):
-        size = 1 << max(0, int(len(np.unique(f)) - 1).bit_length())
-        out.append((f & np.uint64(size - 1)).astype(np.int64))
-    return out
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def fit_level(prior: np.ndarray, node: np.ndarray, fs: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Log p(child) of every history and node, after ``PASSES`` steps on their counts of children in the training documents."""
-    n = counts.sum(1)
-    trained = np.flatnonzero(n > 0)
-    ws = [np.zeros((int(f.max()) + 1, BRANCH), np.float32) for f in fs]
-    plans = []
-    for f in fs:
-        order = np.argsort(f[trained], kind="stable")
-        rows = f[trained][order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-        uses = np.add.reduceat(n[trained][order], first) if len(rows) else np.zeros(0)
-        plans.append((order, rows[first], first, (1 / (uses + RIDGE)).astype(np.float32)[:, None]))
-
-    def logits(at):
-        z = prior[node[at]]
-        for w, f in zip(ws, fs, strict=True):
-            z += w[f[at]]
-        return _log_softmax(z)
-
-    for _ in range(PASSES if len(trained) else 0):
-        g = np.empty((len(trained), BRANCH), np.float32)
-        for lo in range(0, len(trained), _BLOCK):
-            at = trained[lo : lo + _BLOCK]
-            g[lo : lo + _BLOCK] = np.exp(logits(at)) * n[at, None] - counts[at]
-        for w, (order, rows, first, rate) in zip(ws, plans, strict=True):
-            w[rows] -= np.add.reduceat(g[order], first, axis=0) * rate
-    out = np.empty((len(node), BRANCH), np.float32)
-    for lo in range(0, len(node), _BLOCK):
-        out[lo : lo + _BLOCK] = logits(np.arange(lo, min(lo + _BLOCK, len(node))))
-    return out
-
-
-def fit(head: Head, held: np.ndarray, prev: np.ndarray, prev2: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Log10 p(leaf | history) of a shard's positions by a model fitted to those that aren't held out."""
-    out = np.zeros(len(code))
-    leaf = head.leaves(code)
-    past, which = np.unique((prev2.astype(np.uint64) << np.uint64(32)) | prev, return_inverse=True)
-    for level, (nodes, prior) in enumerate(head.levels):
-        if not len(nodes):
+def distinct(prev: np.ndarray, prev2: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by (prev, prev2, code), and where each distinct one begins in it."""
+    past = (prev.astype(np.uint64) << np.uint64(32)) | prev2
+    order = np.lexsort((code, past))
+    past, code = past[order], code[order]
+    return order, np.flatnonzero(np.concatenate([[True], (past[1:] != past[:-1]) | (code[1:] != code[:-1])]))
+
+
+def fit(head: Head, prev: np.ndarray, prev2: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Natural log p(item | history) of distinct n-grams, by a model fitted to those that occur ``n`` > 0 times in training."""
+    out = np.zeros(len(code), np.float64)
+    place = head.place[head.item(code)].astype(np.uint32)
+    p, q = prev.astype(np.uint64), prev2.astype(np.uint64)
+    keys = [mix64(p + _ODD), mix64((q << np.uint64(32)) + p + _STEP), mix64(q * np.uint64(3) + np.uint64(1))]
+    bits = max(1, int(len(code) - 1).bit_length())
+    times = n.astype(np.float32)
+    for level in range(head.depth):
+        node = (place >> np.uint32(head.depth - level)) | np.uint32(1 << level)
+        prior = head.odds[node]
+        use = np.flatnonzero(~np.isnan(prior))
+        if not len(use):
             continue
-        child = leaf // BRANCH ** (head.depth - 1 - level)
-        at = np.minimum(np.searchsorted(nodes, child // BRANCH), len(nodes) - 1)
-        open_ = np.flatnonzero(nodes[at] == child // BRANCH)
-        if not len(open_):
-            continue
-        child = child[open_] % BRANCH
-        pairs, pair = np.unique(which[open_] * len(nodes) + at[open_], return_inverse=True)
-        node, pasts = pairs % len(nodes), past[pairs // len(nodes)]
-        seen = ~held[open_]
-        counts = np.bincount(pair[seen] * BRANCH + child[seen], minlength=len(pairs) * BRANCH).astype(np.float32).reshape(-1, BRANCH)
-        fs = features(pasts & np.uint64(0xFFFFFFFF), pasts >> np.uint64(32), nodes[node])
-        out[open_] += fit_level(prior, node, fs, counts)[pair, child]
-    return out / np.log(10)
+        z, right, t = prior[use], ((place[use] >> np.uint32(head.depth - level - 1)) & np.uint32(1)).astype(np.float32), times[use]
+        salt = mix64(node[use].astype(np.uint64))
+        rows = [(((k[use] ^ salt) * _STEP) >> np.uint64(64 - bits)).astype(np.int64) for k in keys]
+        for _ in range(SWEEPS):
+            for f in rows:
+                chance = 1 / (1 + np.exp(-z))
+                slope = np.bincount(f, t * (right - chance), 1 << bits)
+                bend = np.bincount(f, t * chance * (1 - chance), 1 << bits)
+                z = z + (slope / (bend + RIDGE)).astype(np.float32)[f]
+        out[use] -= np.logaddexp(0, np.where(right > 0, -z, z))
+    return out
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -240,59 +211,53 @@ def _unpack(data: bytes, n: int, kinds: list) -> list[np.ndarray]:
     return [np.ascontiguousarray(r.T).reshape(-1).view(k) for r, k in zip(raw, kinds, strict=True)]
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """op6: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; a null text is empty.
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    units, kinds, shards, ns, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(kinds, pa.int32()), pa.array(shards, pa.int32()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())], ["unit", "kind", "shard", "n", "data"])
 
-    A unit is a run of documents of one task: a row with what is known of its
-    documents without the model, and a row of positions per shard. Shards
-    send back sums per document, which meet again by unit. Frequent tokens are
-    looked up in the tasks; the others' counts are joined by their hash, which
-    no token frequent enough to be skewed is part of.
-    """
-    spark = docs.sparkSession
-    counts = written(token_counts(docs))
-    n, v, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == 0, F.col("c")))).first()
-    n, v, ends = n or 0, v or 0, ends or 0
-    top = counts.filter("h <> 0").orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    head = Head(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), ends, v)
-    head.close(_rest_mass(counts, spark.sparkContext.broadcast(head)))
-    shared = spark.sparkContext.broadcast(head)
-    shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))
-    log_all = float(np.log10(n + v + 1))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def _units(docs: DataFrame, shared, shards: int) -> DataFrame:
+    """Kind 1: a unit's n-grams for one shard; kind 0: all that the unit's documents need besides, with each position's n-gram."""
 
     def deal(batches):
         head = shared.value
         log_head = np.log10(head.c + 1)
         split = np.concatenate([[head.ends], head.c]) * 2 // SHARD + 1
-        task = TaskContext.get().partitionId() << 32
-        held, size, unit, n_docs = [], 0, 0, 0
-        tables = []
+        unit = TaskContext.get().partitionId() << 32
+        tables, held, size = [], [], 0
 
         def flush():
-            doc, prev, prev2, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            code, prev, prev2, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = distinct(prev, prev2, code)
+            n = np.add.reduceat(train[order].astype(np.int64), first).astype(np.int32)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            code, prev, prev2 = code[order[first]], prev[order[first]], prev2[order[first]]
             k = np.where(prev < _RARE, split[np.minimum(prev, len(split) - 1).astype(np.int64)], 1).astype(np.uint64)
-            shard = (mix64(prev.astype(np.uint64) + _ODD * (np.uint64(1) + mix64(prev2.astype(np.uint64) + _ODD) % k)) % np.uint64(shards)).astype(np.uint64)
-            order = np.argsort((shard << np.uint64(32)) | prev, kind="stable")
-            shard = shard[order].astype(np.int64)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+            shard = (mix64(prev.astype(np.uint64) + _ODD * (np.uint64(1) + mix64(prev2.astype(np.uint64) + _ODD) % k)) % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            spot = np.empty(len(by), np.uint32)
+            spot[by] = np.arange(len(by))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, tables[0].schema) as w:
+            with pa.ipc.new_stream(sink, tables[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for t in tables:
                     w.write_batch(t)
-            rows = [((task | unit) % shards, 0, n_docs, sink.getvalue().to_pybytes())]
+            index = _pack(spot[which])
+            rows = [(unit, 0, -1, len(which), len(index).to_bytes(8, "little") + index + sink.getvalue().to_pybytes())]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]])), len(by))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                o = order[lo:hi]
-                rows.append((int(shard[lo]), 1, hi - lo, _pack(doc[o], prev[o], prev2[o], code[o])))
-            s, kinds, ns, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([task | unit] * len(s), pa.int64()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())], ["shard", "unit", "kind", "n", "data"])
+                o = by[lo:hi]
+                rows.append((unit, 1, int(shard[o[0]]), hi - lo, _pack(prev[o], prev2[o], code[o], n[o])))
+            return _rows(rows)
 
         for b, lo, h, at in _texts(batches, 2):
             code, place, rest = head.codes(h)
             inside = (h != 0) & ~rest
-            base, known, model = np.full(len(h), np.log10(head.ends + 1)), np.full(len(h), int(head.ends > 0)), np.zeros(len(h))
-            base[inside], known[inside], model[inside] = log_head[place[inside]], 1, head.within[place[inside]]
-            base[rest], known[rest], model[rest] = 0, 0, -head.rest_log[head.rest_leaf(code[rest])]
+            base, known = np.full(len(h), np.log10(head.ends + 1)), np.full(len(h), int(head.ends > 0))
+            model = head.share[head.item(code)]
+            base[inside], known[inside] = log_head[place[inside]], 1
+            base[rest], known[rest] = 0, 0
+            model[rest] -= head.rest_log[head.leaf(code[rest])]
             total = lambda x: np.add.reduceat(x, at[:-1])
             cuts = np.concatenate([[0], np.cumsum(total(rest.astype(np.int64)))])
             rows = slice(lo, lo + len(at) - 1)
@@ -303,75 +268,106 @@ def score(docs: DataFrame) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "known", "base", "model", "cold"],
                 )
             )
-            doc = (np.arange(n_docs, n_docs + len(at) - 1, dtype=np.uint32) << np.uint32(1)) | out.to_numpy(zero_copy_only=False).astype(np.uint32)
-            held.append((np.repeat(doc, np.diff(at)), *histories(code, at), code))
-            size, n_docs = size + len(h), n_docs + len(at) - 1
-            if size > 128 * shards:
+            held.append((code, *histories(code, at), np.repeat(~out.to_numpy(zero_copy_only=False), np.diff(at))))
+            size += len(h)
+            if size > UNIT:
                 yield flush()
-                held, tables, size, n_docs, unit = [], [], 0, 0, unit + 1
+                tables, held, size, unit = [], [], 0, unit + 1
         if held:
             yield flush()
 
-    def model(batches):
-        head = shared.value
-        held, last = [], None
+    path = shared_dir(docs.sparkSession)
+    docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(deal, _ABOUT).write.partitionBy("kind").parquet(path)
+    return docs.sparkSession.read.schema(_ABOUT).parquet(path).select("unit", "kind", "shard", "n", "data")
+
 
-        def solve():
-            columns = [_unpack(d, n, [np.uint32] * 4) for _, n, d in held]
-            doc, prev, prev2, code = (np.concatenate(x) for x in zip(*columns, strict=True))
-            p = fit(head, (doc & np.uint32(1)) == 1, prev, prev2, code)
-            rows, lo = [], 0
-            for unit, n, _ in held:
-                d, at = np.unique(doc[lo : lo + n] >> np.uint32(1), return_inverse=True)
-                rows.append((unit, 1, len(d), _pack(d, np.bincount(at, p[lo : lo + n], len(d)).astype(np.float32))))
-                lo += n
-            u, kinds, ns, data = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(kinds, pa.int32()), pa.array(ns, pa.int64()), pa.array(data, pa.binary())], ["unit", "kind", "n", "data"])
+def _solve(shared):
+    """Kind 1 rows, sorted by shard and unit: the same rows with log10 p of their n-grams as kind 2."""
 
+    def solve(held):
+        prev, prev2, code, n = (np.concatenate(x) for x in zip(*(_unpack(d, m, [np.uint32, np.uint32, np.uint32, np.int32]) for _, m, d in held), strict=True))
+        order, first = distinct(prev, prev2, code)
+        o = order[first]
+        p = fit(shared.value, prev[o], prev2[o], code[o], np.add.reduceat(n[order], first)) / np.log(10)
+        each = np.empty(len(order), np.float32)
+        each[order] = np.repeat(p, np.diff(np.append(first, len(order))))
+        ends = np.cumsum([m for _, m, _ in held])
+        return [(unit, m, _pack(each[end - m : end])) for (unit, m, _), end in zip(held, ends, strict=True)]
+
+    def run(batches):
+        held, last = [], None
         for b in batches:
-            about = b.column(2).to_numpy() == 0
-            if about.any():
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(about)) for i in (1, 2, 3, 4)], ["unit", "kind", "n", "data"])
-            for i in np.flatnonzero(~about):
-                shard = b.column(0)[i].as_py()
+            for unit, shard, n, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if shard != last and held:
-                    yield solve()
+                    yield _rows([(u, 2, last, m, d) for u, m, d in solve(held)])
                     held = []
                 last = shard
-                held.append((b.column(1)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py()))
+                held.append((unit, n, data))
         if held:
-            yield solve()
+            yield _rows([(u, 2, last, m, d) for u, m, d in solve(held)])
 
-    def gather(batches):
-        tables, sums = None, None
+    return run
 
-        def done():
-            lo = 0
-            for t in tables:
-                new = np.asarray(t.column("model")) + sums[lo : lo + len(t)]
-                lo += len(t)
-                yield t.set_column(5, "model", pa.array(new))
 
-        for b in batches:
-            for kind, n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if kind == 0:
-                    if tables is not None:
-                        yield from done()
-                    tables, sums = list(pa.ipc.open_stream(data.as_buffer())), np.zeros(n)
-                else:
-                    d, p = _unpack(data.as_buffer(), n, [np.uint32, np.float32])
-                    sums[d] += p
-        if tables is not None:
-            yield from done()
-
-    dealt = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(deal, "shard int, unit long, kind int, n long, data binary")
-    sums = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(model, "unit long, kind int, n long, data binary")
-    rows = sums.repartition(shards, "unit").sortWithinPartitions("unit", "kind").mapInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
+def _gather(batches):
+    """Kind 0 and 2 rows, sorted by unit, kind and shard: each unit's documents with the sums of their positions."""
+    about, parts = None, []
+
+    def done():
+        n, data = about
+        cut = 8 + int.from_bytes(data[:8], "little")
+        log_p = np.concatenate([_unpack(d, m, [np.float32])[0] for m, d in parts])[_unpack(data[8:cut], n, [np.uint32])[0]].astype(np.float64)
+        lo = 0
+        for t in pa.ipc.open_stream(data[cut:]):
+            size = t.column("n_tokens").to_numpy()
+            ends = np.cumsum(size)
+            sums = np.add.reduceat(log_p[lo : lo + int(ends[-1])], ends - size)
+            lo += int(ends[-1])
+            yield t.set_column(5, "model", pa.array(t.column("model").to_numpy() + sums))
+
+    for b in batches:
+        for kind, n, data in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            if kind == 0:
+                if about is not None:
+                    yield from done()
+                about, parts = (n, data), []
+            else:
+                parts.append((n, data))
+    if about is not None:
+        yield from done()
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """op6: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
+
+    Null and empty texts are one end. Repeated rows count as often as they
+    occur and get equal scores; an empty table gives an empty result; other
+    columns are not looked at. Long texts are taken whole: a unit ends after
+    the document that fills it. Frequent tokens are looked up in the tasks; the
+    others' counts are joined by their hash, none frequent enough to be skewed.
+    """
+    spark = docs.sparkSession
+    counts = written(token_counts(docs))
+    n, v, ends = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == 0, F.col("c")))).first())
+    head = Head(*frequent(counts, HEAD), ends, v)
+    head.close(_rest_mass(counts, spark.sparkContext.broadcast(head)))
+    shared = spark.sparkContext.broadcast(head)
+    shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))
+    units = _units(docs, shared, shards)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    about, grams = units.filter("kind = 0"), units.filter("kind = 1")
+    solved = grams.repartition(shards, "shard").sortWithinPartitions("shard", "unit").mapInArrow(_solve(shared), _ABOUT)
+    both = solved.unionByName(about).repartition(shards, "unit").sortWithinPartitions("unit", "kind", "shard")
+    rows = both.mapInArrow(_gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
     cold = rows.select("rid", F.explode("cold").alias("h"))
-    logs = cold.join(counts, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("found"))
+    logs = cold.join(counts, "h").groupBy("rid", "c").agg(F.count(F.lit(1)).alias("k"))
+    # whole multiples of a fixed step, so that the sum has no order
+    more = F.sum(F.round(F.log10(F.col("c") + 1) * (1 << 36)).cast("long") * F.col("k")) / float(1 << 36)
+    logs = logs.groupBy("rid").agg(more.alias("more"), F.sum("k").alias("found"))
     out = rows.drop("cold").join(logs, "rid", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
+    log_all = float(np.log10(n + v + 1))
     return out.select(
         "doc_id",
         "held_out",
