@@ -13,24 +13,17 @@ def _head(words: int = 2000, others: int = 1000) -> L.Head:
     h = np.unique(rng.integers(1, 1 << 63, words + others).astype(np.uint64))
     head = L.Head(h[:words], rng.integers(1, 50, words), 40, words + others)
     rest = np.zeros(head.leaves)
-    np.add.at(rest, head.leaf(head.codes(h[words:])[0]), 2)
+    np.add.at(rest, head.items(h[words:])[0] - words - 1, 2)
     head.close(rest)
     return head
 
 
 def test_probabilities_of_all_items_sum_to_one_for_a_trained_history():
     head = _head()
-    leaf_codes = {}
-    for x in range(200_000):
-        leaf_codes.setdefault(int(head.leaf(np.array([L._RARE | np.uint32(x)]))[0]), int(L._RARE) | x)
-        if len(leaf_codes) == head.leaves:
-            break
-    code = np.array([*range(len(head.h) + 1), *leaf_codes.values()], np.uint32)
-    assert sorted(head.item(code).tolist()) == list(range(len(head.h) + 1 + head.leaves))
-    n = np.where(np.arange(len(code)) % 7 == 0, np.arange(len(code)) % 11, 0)
-    p = L.fit(head, np.full(len(code), 5, np.uint32), np.full(len(code), 9, np.uint32), code, n)
-    shares = np.exp(p) * 10 ** head.share[head.item(code)]
-    assert abs(shares.sum() - 1) < 1e-3
+    item = np.arange(len(head.h) + 1 + head.leaves, dtype=np.uint64)
+    n = np.where(np.arange(len(item)) % 7 == 0, np.arange(len(item)) % 11, 0)
+    p = L.fit(head, (np.uint64(5) << np.uint64(40)) | (np.uint64(9) << np.uint64(20)) | item, n)
+    assert abs((np.exp(p) * 10**head.share).sum() - 1) < 1e-3
     assert np.exp(p)[n > 5].mean() > 3 * np.exp(p)[n == 0].mean()
 
 

@@ -31,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, written
+from .common import release, written
 from .textbytes import Tokens, chunks, mix64
 
 #: Tokens with an item of their own, leaves of the others, and binary digits, at most: what every task holds.
-HEAD, LEAVES, DEPTH = 1 << 17, 1 << 18, 22
+HEAD, LEAVES, DEPTH = 1 << 18, 1 << 18, 22
+#: Bits of an item's number; three of them are an n-gram.
+BITS = np.uint64(20)
 #: Tokens of a unit, n-grams of a shard, sweeps over the weight tables, and the damping of a step.
-UNIT, SHARD, SWEEPS, RIDGE = 1_500_000, 1 << 19, 2, 1.5
+UNIT, SHARD, SWEEPS, RIDGE = 1_500_000, 1 << 19, 1, 0.7
 FOLDS, HELD_OUT = 7, 2
-_RARE = np.uint32(1 << 31)
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _ABOUT = "unit long, kind int, shard int, n long, data binary"
 
@@ -105,21 +106,14 @@ class Head:
         rest = max(v - len(h), 1)
         self.leaves = min(LEAVES, 1 << max(0, math.ceil(math.log2(rest / 8))))
 
-    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A 32-bit code of each token (0 end, 1.. the head, else a hash), its place in the head, and whether it is of the rest."""
-        rare = _RARE | (mix64(h + _ODD) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+    def items(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's item (0 the end, then the head, then the leaves), and whether it is of a leaf."""
+        leaf = len(self.h) + 1 + (mix64(h + _ODD) & np.uint64(self.leaves - 1)).astype(np.int64)
         if not len(self.h):
-            return np.where(h == 0, np.uint32(0), rare), np.zeros(len(h), np.int64), h != 0
+            return np.where(h == 0, 0, leaf), h != 0
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         known = self.h[at] == h
-        return np.where(h == 0, np.uint32(0), np.where(known, (at + 1).astype(np.uint32), rare)), at, ~known & (h != 0)
-
-    def leaf(self, code: np.ndarray) -> np.ndarray:
-        return (code & np.uint32(0x7FFFFFFF)).astype(np.int64) & (self.leaves - 1)
-
-    def item(self, code: np.ndarray) -> np.ndarray:
-        """0 the end, then the head, then the leaves."""
-        return np.where(code < _RARE, code.astype(np.int64), len(self.h) + 1 + self.leaf(code))
+        return np.where(h == 0, 0, np.where(known, at + 1, leaf)), ~known & (h != 0)
 
     def close(self, rest: np.ndarray) -> None:
         """``rest``: add-one mass of the counted tokens in each leaf; one more is left for the unseen."""
@@ -149,8 +143,8 @@ def _rest_mass(counts: DataFrame, known) -> np.ndarray:
         mass = np.zeros(head.leaves, np.int64)
         for b in batches:
             h, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            code, _, rest = head.codes(h)
-            np.add.at(mass, head.leaf(code[rest]), c[rest] + 1)
+            item, rest = head.items(h)
+            np.add.at(mass, item[rest] - len(head.h) - 1, c[rest] + 1)
         at = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mass[at])], ["leaf", "mass"])
 
@@ -160,25 +154,32 @@ def _rest_mass(counts: DataFrame, known) -> np.ndarray:
     return out
 
 
-def histories(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each and the one before that; 0 stands for what is before a text."""
-    index = np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))
-    return tuple(np.where(index >= d, np.concatenate([np.zeros(min(d, len(code)), np.uint32), code[:-d]])[: len(code)], np.uint32(0)) for d in (1, 2))
+def ngrams(item: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Every position's token, the one before and the one before that as one number; 0 stands for what is before a text."""
+    index = np.arange(len(item)) - np.repeat(at[:-1], np.diff(at))
+    key = item.astype(np.uint64)
+    one, two = (np.where(index >= d, np.concatenate([np.zeros(min(d, len(key)), np.uint64), key[:-d]])[: len(key)], np.uint64(0)) for d in (1, 2))
+    return (((one << BITS) | two) << BITS) | key
+
 
+def parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous, the one before, token) of n-grams."""
+    low = np.uint64((1 << int(BITS)) - 1)
+    return key >> (BITS + BITS), (key >> BITS) & low, key & low
 
-def distinct(prev: np.ndarray, prev2: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of n-grams by (prev, prev2, code), and where each distinct one begins in it."""
-    past = (prev.astype(np.uint64) << np.uint64(32)) | prev2
-    order = np.lexsort((code, past))
-    past, code = past[order], code[order]
-    return order, np.flatnonzero(np.concatenate([[True], (past[1:] != past[:-1]) | (code[1:] != code[:-1])]))
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers, and where each distinct one begins in it."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
-def fit(head: Head, prev: np.ndarray, prev2: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+
+def fit(head: Head, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Natural log p(item | history) of distinct n-grams, by a model fitted to those that occur ``n`` > 0 times in training."""
+    p, q, code = parts(grams)
     out = np.zeros(len(code), np.float64)
-    place = head.place[head.item(code)].astype(np.uint32)
-    p, q = prev.astype(np.uint64), prev2.astype(np.uint64)
+    place = head.place[code.astype(np.int64)].astype(np.uint32)
     keys = [mix64(p + _ODD), mix64((q << np.uint64(32)) + p + _STEP), mix64(q * np.uint64(3) + np.uint64(1))]
     bits = max(1, int(len(code) - 1).bit_length())
     times = n.astype(np.float32)
@@ -221,20 +222,20 @@ def _units(docs: DataFrame, shared, shards: int) -> DataFrame:
 
     def deal(batches):
         head = shared.value
-        log_head = np.log10(head.c + 1)
-        split = np.concatenate([[head.ends], head.c]) * 2 // SHARD + 1
+        log_head = np.log10(np.concatenate([[head.ends], head.c]) + 1)
+        split = (np.concatenate([[head.ends], head.c, np.zeros(head.leaves, np.int64)]) * 2 // SHARD + 1).astype(np.uint64)
         unit = TaskContext.get().partitionId() << 32
         tables, held, size = [], [], 0
 
         def flush():
-            code, prev, prev2, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = distinct(prev, prev2, code)
+            key, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, first = distinct(key)
             n = np.add.reduceat(train[order].astype(np.int64), first).astype(np.int32)
             which = np.empty(len(order), np.int64)
             which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            code, prev, prev2 = code[order[first]], prev[order[first]], prev2[order[first]]
-            k = np.where(prev < _RARE, split[np.minimum(prev, len(split) - 1).astype(np.int64)], 1).astype(np.uint64)
-            shard = (mix64(prev.astype(np.uint64) + _ODD * (np.uint64(1) + mix64(prev2.astype(np.uint64) + _ODD) % k)) % np.uint64(shards)).astype(np.int64)
+            prev, prev2, code = parts(key[order[first]])
+            deal = mix64(prev2 + _ODD) % split[prev.astype(np.int64)]
+            shard = (mix64(prev + _ODD * (deal + np.uint64(1))) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             spot = np.empty(len(by), np.uint32)
             spot[by] = np.arange(len(by))
@@ -243,32 +244,30 @@ def _units(docs: DataFrame, shared, shards: int) -> DataFrame:
                 for t in tables:
                     w.write_batch(t)
             index = _pack(spot[which])
-            rows = [(unit, 0, -1, len(which), len(index).to_bytes(8, "little") + index + sink.getvalue().to_pybytes())]
+            rows = [(unit, 0, (unit ^ (unit >> 32)) % shards, len(which), len(index).to_bytes(8, "little") + index + sink.getvalue().to_pybytes())]
             cuts = np.append(np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]])), len(by))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 o = by[lo:hi]
-                rows.append((unit, 1, int(shard[o[0]]), hi - lo, _pack(prev[o], prev2[o], code[o], n[o])))
+                rows.append((unit, 1, int(shard[o[0]]), hi - lo, _pack(*(x[o].astype(np.uint32) for x in (prev, prev2, code)), n[o])))
             return _rows(rows)
 
         for b, lo, h, at in _texts(batches, 2):
-            code, place, rest = head.codes(h)
-            inside = (h != 0) & ~rest
-            base, known = np.full(len(h), np.log10(head.ends + 1)), np.full(len(h), int(head.ends > 0))
-            model = head.share[head.item(code)]
-            base[inside], known[inside] = log_head[place[inside]], 1
-            base[rest], known[rest] = 0, 0
-            model[rest] -= head.rest_log[head.leaf(code[rest])]
+            item, rest = head.items(h)
+            known = ~rest & ((h != 0) | (head.ends > 0))
+            base = np.where(rest, 0.0, log_head[np.where(rest, 0, item)])
+            model = head.share[item]
+            model[rest] -= head.rest_log[item[rest] - len(head.h) - 1]
             total = lambda x: np.add.reduceat(x, at[:-1])
             cuts = np.concatenate([[0], np.cumsum(total(rest.astype(np.int64)))])
             rows = slice(lo, lo + len(at) - 1)
             out = b.column(1)[rows]
             tables.append(
                 pa.RecordBatch.from_arrays(
-                    [b.column(0)[rows], out, pa.array(np.diff(at)), pa.array(total(known)), pa.array(total(base)), pa.array(total(model)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))],
+                    [b.column(0)[rows], out, pa.array(np.diff(at)), pa.array(total(known.astype(np.int64))), pa.array(total(base)), pa.array(total(model)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))],
                     ["doc_id", "held_out", "n_tokens", "known", "base", "model", "cold"],
                 )
             )
-            held.append((code, *histories(code, at), np.repeat(~out.to_numpy(zero_copy_only=False), np.diff(at))))
+            held.append((ngrams(item, at), np.repeat(~out.to_numpy(zero_copy_only=False), np.diff(at))))
             size += len(h)
             if size > UNIT:
                 yield flush()
@@ -276,19 +275,18 @@ def _units(docs: DataFrame, shared, shards: int) -> DataFrame:
         if held:
             yield flush()
 
-    path = shared_dir(docs.sparkSession)
-    docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(deal, _ABOUT).write.partitionBy("kind").parquet(path)
-    return docs.sparkSession.read.schema(_ABOUT).parquet(path).select("unit", "kind", "shard", "n", "data")
+    return docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text").mapInArrow(deal, _ABOUT)
 
 
 def _solve(shared):
-    """Kind 1 rows, sorted by shard and unit: the same rows with log10 p of their n-grams as kind 2."""
+    """Rows sorted by shard, kind and unit: those of kind 1 become kind 2, with log10 p of their n-grams; the others pass."""
 
     def solve(held):
-        prev, prev2, code, n = (np.concatenate(x) for x in zip(*(_unpack(d, m, [np.uint32, np.uint32, np.uint32, np.int32]) for _, m, d in held), strict=True))
-        order, first = distinct(prev, prev2, code)
-        o = order[first]
-        p = fit(shared.value, prev[o], prev2[o], code[o], np.add.reduceat(n[order], first)) / np.log(10)
+        columns = [_unpack(d, m, [np.uint32, np.uint32, np.uint32, np.int32]) for _, m, d in held]
+        prev, prev2, code, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+        key = (((prev.astype(np.uint64) << BITS) | prev2) << BITS) | code
+        order, first = distinct(key)
+        p = fit(shared.value, key[order[first]], np.add.reduceat(n[order].astype(np.int64), first)) / np.log(10)
         each = np.empty(len(order), np.float32)
         each[order] = np.repeat(p, np.diff(np.append(first, len(order))))
         ends = np.cumsum([m for _, m, _ in held])
@@ -297,12 +295,16 @@ def _solve(shared):
     def run(batches):
         held, last = [], None
         for b in batches:
-            for unit, shard, n, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                unit, kind, shard, n, data = row
                 if shard != last and held:
                     yield _rows([(u, 2, last, m, d) for u, m, d in solve(held)])
                     held = []
                 last = shard
-                held.append((unit, n, data))
+                if kind == 0:
+                    yield _rows([row])
+                else:
+                    held.append((unit, n, data))
         if held:
             yield _rows([(u, 2, last, m, d) for u, m, d in solve(held)])
 
@@ -311,12 +313,12 @@ def _solve(shared):
 
 def _gather(batches):
     """Kind 0 and 2 rows, sorted by unit, kind and shard: each unit's documents with the sums of their positions."""
-    about, parts = None, []
+    about, held = None, []
 
     def done():
         n, data = about
         cut = 8 + int.from_bytes(data[:8], "little")
-        log_p = np.concatenate([_unpack(d, m, [np.float32])[0] for m, d in parts])[_unpack(data[8:cut], n, [np.uint32])[0]].astype(np.float64)
+        log_p = np.concatenate([_unpack(d, m, [np.float32])[0] for m, d in held])[_unpack(data[8:cut], n, [np.uint32])[0]].astype(np.float64)
         lo = 0
         for t in pa.ipc.open_stream(data[cut:]):
             size = t.column("n_tokens").to_numpy()
@@ -330,9 +332,9 @@ def _gather(batches):
             if kind == 0:
                 if about is not None:
                     yield from done()
-                about, parts = (n, data), []
+                about, held = (n, data), []
             else:
-                parts.append((n, data))
+                held.append((n, data))
     if about is not None:
         yield from done()
 
@@ -353,11 +355,10 @@ def score(docs: DataFrame) -> DataFrame:
     head.close(_rest_mass(counts, spark.sparkContext.broadcast(head)))
     shared = spark.sparkContext.broadcast(head)
     shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))
-    units = _units(docs, shared, shards)
+    release(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    about, grams = units.filter("kind = 0"), units.filter("kind = 1")
-    solved = grams.repartition(shards, "shard").sortWithinPartitions("shard", "unit").mapInArrow(_solve(shared), _ABOUT)
-    both = solved.unionByName(about).repartition(shards, "unit").sortWithinPartitions("unit", "kind", "shard")
+    solved = _units(docs, shared, shards).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "unit").mapInArrow(_solve(shared), _ABOUT)
+    both = solved.repartition(shards, "unit").sortWithinPartitions("unit", "kind", "shard")
     rows = both.mapInArrow(_gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
