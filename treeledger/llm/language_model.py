@@ -98,11 +98,13 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Head:
-    """The frequent tokens (sorted hashes), their counts, and every item's place and share of it."""
+    """The frequent tokens (sorted hashes), their counts in falling order, and every item's place and share of it."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray, ends: int, v: int) -> None:
-        order = np.argsort(h)
-        self.h, self.c, self.ends = h[order], c[order], ends
+        order = np.lexsort((h, -c))
+        self.c, self.ends = c[order], ends
+        self.rank = np.argsort(h[order])
+        self.h = h[order][self.rank]
         rest = max(v - len(h), 1)
         self.leaves = min(LEAVES, 1 << max(0, math.ceil(math.log2(rest / 8))))
 
@@ -113,7 +115,7 @@ class Head:
             return np.where(h == 0, 0, leaf), h != 0
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         known = self.h[at] == h
-        return np.where(h == 0, 0, np.where(known, at + 1, leaf)), ~known & (h != 0)
+        return np.where(h == 0, 0, np.where(known, self.rank[at] + 1, leaf)), ~known & (h != 0)
 
     def close(self, rest: np.ndarray) -> None:
         """``rest``: add-one mass of the counted tokens in each leaf; one more is left for the unseen."""
@@ -289,6 +291,7 @@ def _solve(shared):
         p = fit(shared.value, key[order[first]], np.add.reduceat(n[order].astype(np.int64), first)) / np.log(10)
         each = np.empty(len(order), np.float32)
         each[order] = np.repeat(p, np.diff(np.append(first, len(order))))
+        each = ((each.view(np.uint32) + np.uint32(128)) & np.uint32(0xFFFFFF00)).view(np.float32)  # 16 bits of a number are kept
         ends = np.cumsum([m for _, m, _ in held])
         return [(unit, m, _pack(each[end - m : end])) for (unit, m, _), end in zip(held, ends, strict=True)]
 
@@ -339,6 +342,13 @@ def _gather(batches):
         yield from done()
 
 
+def _summed(docs: DataFrame, shared, shards: int) -> DataFrame:
+    solved = _units(docs, shared, shards).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "unit").mapInArrow(_solve(shared), _ABOUT)
+    both = solved.repartition(shards, "unit").sortWithinPartitions("unit", "kind", "shard")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(_gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """op6: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
@@ -356,11 +366,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(head)
     shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))
     release(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    solved = _units(docs, shared, shards).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "unit").mapInArrow(_solve(shared), _ABOUT)
-    both = solved.repartition(shards, "unit").sortWithinPartitions("unit", "kind", "shard")
-    rows = both.mapInArrow(_gather, f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, cold array<long>")
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()))
+    rows = written(_summed(docs, shared, shards).withColumn("rid", F.monotonically_increasing_id()))
     release(spark)
     cold = rows.select("rid", F.explode("cold").alias("h"))
     logs = cold.join(counts, "h").groupBy("rid", "c").agg(F.count(F.lit(1)).alias("k"))
