@@ -150,10 +150,11 @@ def test_toxicity(spark, odd, none):
 
 def test_topk(spark):
     rows = [(i, [float((i * 7) % 11) / 10, float(i % 5) / 4]) for i in range(60)] + [(60, None), (61, [float("nan"), 1.0]), (62, [None, 1.0]), (None, [1.0, 1.0]), (3, [0.9, 0.75])]
+    rows += [rows[10], rows[50], rows[10]]  # repeated rows: candidates of their own, but one query
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
-    good = sorted({(i, tuple(math.floor(x * 256) for x in v)) for i, v in rows if i is not None and v and None not in v and not any(map(math.isnan, v))})
+    good = sorted((i, tuple(math.floor(x * 256) for x in v)) for i, v in rows if i is not None and v and None not in v and not any(map(math.isnan, v)))
     want = []
-    for q, a in good:
+    for q, a in sorted(set(good)):
         if q % 50 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]

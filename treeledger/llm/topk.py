@@ -1,8 +1,10 @@
 """Exact top-k search by tiled matrix products.
 
-Queries are packed into blocks and candidates into shards of bounded size; a
-tile multiplies one block with one shard and keeps each query's best k; the
-lists of a query are then merged in a tree of ``FAN_IN`` lists at a time.
+Queries are packed into blocks and candidates into shards of bounded size. A
+tile is one block against one shard: the blocks are written out once a shard,
+so that tiles are spread by (block, shard) before any matrix is multiplied and
+the shards are shuffled once. A tile keeps each query's best k, and a query's
+lists are merged in a tree of ``FAN_IN`` lists at a time.
 """
 
 from __future__ import annotations
@@ -13,30 +15,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, SHARD, FAN_IN = 1024, 4096, 16
+from .common import written
+
+#: Queries of a block, numbers (rows times components) of a shard, and lists that are merged at once.
+BLOCK, SHARD, FAN_IN = 1024, 1 << 20, 16
 
 
 def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, v): components floor(scale * x); rows with a null id or vector, or null or non-finite components, take no part.
+    """(vec_id, dim, v): components floor(scale * x); rows with a null id or vector, or null or non-finite components, take no part.
 
-    Repeated rows count once; rows that share an id but not the vector stay apart.
+    Repeated rows are rows of their own, as are rows that share an id only.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
-    return whole.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v")).distinct()
+    return whole.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+
+
+def _matrix(rows) -> bytes:
+    """Rows of numbers as 32-bit integers where all fit, else as doubles; the first byte tells which."""
+    m = np.stack(rows.to_numpy()).astype(np.float64)
+    small = np.abs(m).max(initial=0) < 2**31
+    return (b"i" + m.astype(np.int32).tobytes()) if small else (b"d" + m.tobytes())
+
 
+def _numbers(data: bytes, dim: int, rows: int) -> np.ndarray:
+    kind = np.int32 if data[:1] == b"i" else np.float64
+    return np.frombuffer(data, kind, offset=1).reshape(rows, dim).astype(np.float64)
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row per group of about ``size`` vectors of the same length: (group, dim, ids, matrix)."""
-    groups = max(1, -(-rows.count() // size))
+
+def _packed(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+    """One row per group of vectors of the same length: (dim, group, ids, matrix); ``sizes``: the groups of each length."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        ids, m = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({name: [int(pdf[name].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], f"{name}_ids": [ids.tobytes()], f"{name}_m": [m.tobytes()]})
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], name: [int(pdf[name].iloc[0])], f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_m": [_matrix(pdf["v"])]})
 
-    keyed = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")).withColumn("dim", F.size("v"))
-    return keyed.groupBy(name, "dim").applyInPandas(pack, f"{name} int, dim int, {name}_ids binary, {name}_m binary")
+    # dealt by row, not by content: a vector that very many rows hold is spread as well
+    dealt = rows.join(F.broadcast(sizes), "dim").withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col(f"{name}s")).cast("int"))
+    return dealt.select("dim", name, "vec_id", "v").groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_m binary")
 
 
 def best_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,20 +76,31 @@ def best_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best integer inner products among vectors of the query's length, its own id left out."""
-    shards = _packed(candidates, SHARD, "s")
-    blocks = _packed(queries, BLOCK, "b")
-    tiles = blocks.join(shards, "dim")
+    """(query_id, rank, vec_id, score): the k best integer inner products among the candidate rows, those of the query's own id left out.
+
+    Both sides: (vec_id, dim, v). A query that is given twice has one list, as
+    its candidates do not differ; two queries that share an id have one list
+    of both. Inner products exist between vectors of one length only; ties go
+    to the smaller id; a candidate row that is there twice is listed twice.
+    Without queries or candidates the result is empty.
+    """
+    queries = queries.distinct()
+    per = lambda df, name, size: df.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    shards_of = written(per(candidates, "ss", F.greatest(F.lit(1), F.floor(F.lit(SHARD) / F.greatest("dim", F.lit(1))))))
+    blocks_of = written(per(queries, "bs", F.lit(BLOCK)))
+    shards, blocks = _packed(candidates, shards_of, "s"), _packed(queries, blocks_of, "b")
+    spread = blocks.join(F.broadcast(shards_of), "dim").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ss") - 1))).drop("ss")
+    tiles = spread.join(shards, ["dim", "s"])
 
     def run(frames):
         for pdf in frames:
             for t in pdf.itertuples():
                 q_ids, c_ids = np.frombuffer(t.b_ids, np.int64), np.frombuffer(t.s_ids, np.int64)
-                q, c, v = best_of_tile(q_ids, np.frombuffer(t.b_m).reshape(-1, t.dim) if t.dim else np.zeros((len(q_ids), 0)), c_ids, np.frombuffer(t.s_m).reshape(-1, t.dim) if t.dim else np.zeros((len(c_ids), 0)), k)
+                q, c, v = best_of_tile(q_ids, _numbers(t.b_m, t.dim, len(q_ids)), c_ids, _numbers(t.s_m, t.dim, len(c_ids)), k)
                 yield pd.DataFrame({"query_id": q, "g": np.full(len(q), t.s, np.int64), "vec_id": c, "score": np.array([int(x) for x in v], np.int64)})
 
-    lists = tiles.repartition(tiles.sparkSession.sparkContext.defaultParallelism, "b", "s").mapInPandas(run, "query_id long, g long, vec_id long, score long")
-    n = max(1, -(-candidates.count() // SHARD))
+    lists = tiles.mapInPandas(run, "query_id long, g long, vec_id long, score long")
+    n = shards_of.agg(F.max("ss")).first()[0] or 1
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         lists = lists.withColumn("g", F.floor(F.col("g") / FAN_IN))
@@ -85,14 +112,14 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
 def topk_digest(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """op8: the stated query set (ids divisible by ``every``) against all rows."""
-    rows = quantized(embeddings)
+    rows = written(quantized(embeddings))
     return search(rows.filter(F.col("vec_id") % every == 0), rows, k)
 
 
 TOPK_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
