@@ -176,3 +176,36 @@ def test_warc(spark):
     assert (got[2].base_id, got[2].outcome, got[2].headers, got[2].digest) == (1, "validated", {"date": "2", "content-type": "t"}, "d1")
     assert [got[i].outcome for i in (3, 4, 5, 6)] == ["mismatch", "no base", "no base", "unvalidated"]
     assert warc.resolve(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_decontamination_by_a_shuffle_agrees(spark, monkeypatch):
+    rng = __import__("random").Random(2)
+    items = [(f"i{i}", " ".join(f"b{rng.randrange(40)}" for _ in range(rng.randrange(0, 25)))) for i in range(30)] + [(None, "b1 b2 b3"), ("x", None), ("y", "B1, b2; b3")]
+    docs = []
+    for i in range(80):
+        words = [f"b{rng.randrange(40)}" for _ in range(rng.randrange(0, 40))]
+        if i % 3:
+            words += (rng.choice(items)[1] or "").split()
+        docs.append((i, " ".join(words + ["b1", "b2", "b3"][: i % 4]), "t"))
+    docs += [(5, docs[5][1], "t"), (90, None, "t"), (91, "", "t")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string, w string"), spark.createDataFrame(items, "item_id string, text string")
+    want = []
+    split = lambda t: __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    wins = {}
+    for item, text in items:
+        w = split(text)
+        n = min(len(w), 10)
+        for p in range(len(w) - n + 1 if n else 0):
+            wins.setdefault(tuple(w[p : p + n]), set()).add(item)
+    for i, text, _ in docs:
+        w, hit, ids = split(text), set(), set()
+        for n in range(1, 11):
+            for p in range(len(w) - n + 1):
+                if tuple(w[p : p + n]) in wins:
+                    hit |= set(range(p, p + n))
+                    ids |= wins[tuple(w[p : p + n])]
+        want.append((i, len(w), len(hit), sorted(ids - {None})))
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+        got = [(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.overlaps(frame, bench).collect()]
+        assert sorted(got) == sorted(want)

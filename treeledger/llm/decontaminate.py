@@ -1,24 +1,26 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
 The words of every benchmark item give windows of n consecutive words (an item
-of fewer words is one window). The windows' hashes are broadcast while their
-number is below ``BROADCAST_WINDOWS``; each training window looks itself up,
-and a hit counts only if the words are the same.
+of fewer words is one window). A set of hashes of the windows' opening words,
+sent to every task, tells where in a text a window can begin at all; only
+these places become rows, with their window's words. They meet the windows by hash
+and words: broadcast while the windows are below ``BROADCAST_BYTES``, else by
+a shuffle of both sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of, written
 
-BROADCAST_WINDOWS = 2_000_000
-
-
-def _spans(words, n: int):
-    """Start positions of all windows of n words; an empty array if there are fewer."""
-    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+#: Bytes of windows up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Opening words of a window that the hash set looks at, and its places (a byte each), at least and at most.
+OPENING, PLACES, PLACES_MOST = 3, 1 << 16, 1 << 22
 
 
 def windows(bench: DataFrame, n: int = 10) -> DataFrame:
@@ -30,42 +32,59 @@ def windows(bench: DataFrame, n: int = 10) -> DataFrame:
     return each.groupBy("l", "w").agg(F.collect_set("__item").alias("items")).withColumn("h", F.xxhash64("l", "w"))
 
 
+def _opening(words: Column, at: Column, size: int, places: int) -> Column:
+    """Place in the hash set of the opening words of a window of ``size`` words at ``at`` (from 0)."""
+    return F.pmod(F.xxhash64(F.lit(min(size, OPENING)), *(F.get(words, at + j) for j in range(min(size, OPENING)))), F.lit(places)).cast("int")
+
+
+def _openings(wins: DataFrame, lengths: list[int], count: int) -> bytes:
+    """A byte per place, 1 where a window's opening falls; beyond 4 MB more of a text passes it, which costs time only."""
+    places = min(PLACES_MOST, max(PLACES, 1 << (8 * count).bit_length()))
+    place = reduce(lambda other, l: F.when(F.col("l") == l, _opening(F.col("w"), F.lit(0), l, places)).otherwise(other), lengths, F.lit(None).cast("int"))
+    out = bytearray(places)
+    for p in wins.select(place.alias("p")).distinct().toArrow().column("p").to_pylist():
+        out[p] = 1
+    return bytes(out)
+
+
 def overlaps(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, __th (hash of its text), n_words, n_hit, item_ids (sorted strings).
+    """Per row of ``docs``: doc_id, __th (hash of its text), n_words, n_hit, item_ids (sorted strings), spans.
 
     Rows with the same id and text are counted and given back as often. Null
     texts have no words; null items, ids and empty items hit nothing (a null
-    item_id's windows count as hits, but not as an item).
+    item_id's windows count as hits, but not as an item). A text's words stay
+    in its own row however long it is; other columns are not looked at.
     """
     wins = written(windows(bench, n))
+    size = F.sum(F.length(F.array_join("w", " ")) + 16 * F.size("items") + 64)
+    count, total = wins.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     lengths = sorted(r["l"] for r in wins.select("l").distinct().collect())  # n values at most
-    small = wins.count() <= BROADCAST_WINDOWS
+    openings = _openings(wins, lengths, count)
     words = F.col("__words")
     held = docs.select("doc_id", F.xxhash64("text").alias("__th"), words_of(F.col("text")).alias("__words"))
 
-    def probes(size: int):
-        def at(p):
-            part = F.slice(words, p + 1, size)
-            return F.struct(F.lit(size).alias("l"), p.alias("p"), F.xxhash64(F.lit(size), part).alias("h"), *([] if small else [part.alias("w")]))
+    def begins(p: Column, l: int) -> Column:
+        return F.substring(F.lit(openings), _opening(words, p, l, len(openings)) + 1, F.lit(1)) == F.lit(b"\x01")
 
-        return F.transform(_spans(words, size), at)
+    def places(l: int) -> Column:
+        """The windows of ``l`` words that may be of the benchmark."""
+        every = F.when(F.size(words) >= l, F.sequence(F.lit(0), F.size(words) - l)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(every, lambda p: begins(p, l)), lambda p: F.struct(F.lit(l).alias("l"), p.alias("p"), F.slice(words, p + 1, l).alias("w")))
 
-    mark = F.array(F.struct(F.lit(0).alias("l"), F.lit(0).alias("p"), F.lit(None).cast("long").alias("h"), *([] if small else [F.lit(None).cast("array<string>").alias("w")])))
-    each = held.withColumn("__at", F.concat(mark, *[probes(size) for size in lengths]))
+    mark = F.array(F.struct(F.lit(0).alias("l"), F.size(words).alias("p"), F.lit(None).cast("array<string>").alias("w")))
     # explode_outer: the array is never empty, and no size check doubles the work that makes it
-    each = each.select("doc_id", "__th", "__words", F.explode_outer("__at").alias("__e"))
-    each = each.select("doc_id", "__th", "__words", F.col("__e.l").alias("__l"), F.col("__e.p").alias("__p"), F.col("__e.h").alias("__h"), *([] if small else [F.col("__e.w").alias("__win")]))
+    each = held.select("doc_id", "__th", F.explode_outer(F.concat(mark, *[places(l) for l in lengths])).alias("__e"))
+    each = each.select("doc_id", "__th", F.col("__e.l").alias("__l"), F.col("__e.p").alias("__p"), F.col("__e.w").alias("__w"))
+    # rows that mark a document meet nothing: their hash is their own, so that no task gets all of them
+    each = each.withColumn("__h", F.when(F.col("__l") > 0, F.xxhash64("__l", "__w")).otherwise(F.xxhash64("doc_id", "__th")))
     wins = wins.select(F.col("h").alias("__wh"), F.col("w").alias("__ww"), F.col("items").alias("__items"))
-    if small:
-        same = (F.col("__h") == F.col("__wh")) & (F.slice("__words", F.col("__p") + 1, F.greatest("__l", F.lit(1))) == F.col("__ww"))
-        hits = each.join(F.broadcast(wins), same, "left")
-    else:
-        hits = each.join(wins, (F.col("__h") == F.col("__wh")) & (F.col("__win") == F.col("__ww")), "left")
+    same = (F.col("__h") == F.col("__wh")) & (F.col("__w") == F.col("__ww"))
+    hits = each.join(F.broadcast(wins) if total <= BROADCAST_BYTES else wins, same, "left")
     first = F.col("__l") == 0
     rows = hits.filter(first | F.col("__wh").isNotNull()).select(
         "doc_id",
         "__th",
-        F.when(first, F.size("__words")).alias("__n"),
+        F.when(first, F.col("__p")).alias("__n"),
         F.when(first, 1).alias("__one"),
         F.when(~first, F.struct(F.col("__p").alias("p"), F.col("__l").alias("l"))).alias("__span"),
         F.when(~first, F.col("__items")).alias("__items"),
@@ -80,7 +99,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, min_hit: int = 1) -> DataFrame:
-    """``docs`` without the documents of which ``min_hit`` or more words are inside benchmark windows."""
+    """``docs`` without the documents of which ``min_hit`` or more words are inside benchmark windows; its columns stay as they are, whatever their names."""
     flagged = overlaps(docs, bench, n).filter(F.col("n_hit") >= min_hit)
     flagged = written(flagged.select(F.col("doc_id").alias("__id"), "__th").distinct())
     same = docs["doc_id"].eqNullSafe(flagged["__id"]) & (F.xxhash64(docs["text"]) == flagged["__th"])
