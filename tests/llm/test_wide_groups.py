@@ -48,3 +48,14 @@ def test_groups_beyond_a_block(spark, monkeypatch):
 def test_no_postings():
     none = np.zeros(0, ngram_join._POSTING)
     assert ngram_join._by_bucket(none["h"], 6, none).num_rows == 0
+
+
+def test_long_lists_are_thinned_to_one_posting_of_each_size_and_stay_connected():
+    x = np.zeros(3000, ngram_join._POSTING)
+    x["h"] = np.repeat([7, 9], [2600, 400])
+    x["fp"], x["n"], x["p"] = np.arange(3000), np.arange(3000) % 13 + 40, 3
+    left, edges = ngram_join._thinned(x.copy())
+    assert (left["h"] == 9).sum() == 400 and sorted(left["n"][left["h"] == 7]) == list(range(40, 53)) and (left["p"][left["h"] == 7] == 0).all()
+    kept = set(left["fp"].tolist())
+    joined = {int(f) for e in edges for f in (e["a_fp"], e["b_fp"])}
+    assert kept | joined == set(range(3000)) and all(e["a_n"] == e["b_n"] for e in edges)

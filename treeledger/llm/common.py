@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,11 +36,14 @@ def n_tokens(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below the cluster's shared checkpoint folder.
 
-    The session's ``spark.checkpoint.dir`` is used; only where it is unset, as
-    in local tests, a temporary folder takes its place.
+    The session's ``spark.checkpoint.dir`` is used. Only where it is unset and
+    all tasks run on this machine, as in tests, a temporary folder takes its
+    place; a cluster without a shared folder is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, f"t-{uuid.uuid4().hex}")
@@ -51,6 +56,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each (name, column) of ``sums``, the column's sum over all rows before in ``order``.
+
+    Rows are dealt by ranges of the order, which has to tell them apart; only
+    one row per range is brought together for the ranges' offsets.
+    """
+    dealt = written(df.select("*", *[c.cast("long").alias(f"{n}_v") for n, c in sums.items()]).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__range").agg(*[F.sum(f"{n}_v").alias(f"{n}_t") for n in sums])
+    offsets = offsets.select("__range", *[F.coalesce(F.sum(f"{n}_t").over(before), F.lit(0)).alias(f"{n}_o") for n in sums])
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    held = dealt.select("*", *[F.coalesce(F.sum(f"{n}_v").over(inside), F.lit(0)).alias(f"{n}_i") for n in sums]).join(F.broadcast(offsets), "__range")
+    return held.select(*df.columns, *[(F.col(f"{n}_i") + F.col(f"{n}_o")).alias(n) for n in sums])
+
+
 def release(spark: SparkSession) -> None:
     """Frees the shuffle files of jobs that have ended.
 
@@ -62,5 +82,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (long) and counts of the rows with the highest counts: all above the count that at most ``most`` reach.
+
+    A histogram of counts (16 bars to a factor of e) gives the bound first, so
+    the driver receives no more rows than it keeps. ``counts`` is read twice.
+    """
+    barred = counts.select(key, count).withColumn("__bar", F.floor(F.log(count) * 16))
+    bars = barred.groupBy("__bar").agg(F.count(F.lit(1)).alias("__n"))
+    over = bars.withColumn("__up", F.sum("__n").over(W.orderBy(F.desc("__bar")).rowsBetween(W.unboundedPreceding, 0)))
+    least = over.filter(F.col("__up") <= most).agg(F.min("__bar")).first()[0]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = barred.filter(F.col("__bar") >= least).select(key, count).toArrow()
+    return got.column(key).to_numpy(), got.column(count).to_numpy()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

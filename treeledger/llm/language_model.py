@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import most_frequent, release, written
 from .textbytes import Tokens, chunks, mix64
 
 #: Tokens with an item of their own, leaves of the others, and binary digits, at most: what every task holds.
@@ -81,22 +80,6 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.filter(fold() != HELD_OUT).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent tokens: all above the count that at most ``most`` reach.
-
-    A histogram of counts (16 bars to a factor of e) gives the bound, so the
-    driver receives no more rows than it keeps.
-    """
-    words = counts.filter("h <> 0").withColumn("bar", F.floor(F.log("c") * 16))
-    bars = words.groupBy("bar").agg(F.count(F.lit(1)).alias("n"))
-    over = bars.withColumn("up", F.sum("n").over(W.orderBy(F.desc("bar")).rowsBetween(W.unboundedPreceding, 0)))
-    least = over.filter(F.col("up") <= most).agg(F.min("bar")).first()[0]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = words.filter(F.col("bar") >= least).select("h", "c").toArrow()
-    return got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
-
-
 class Head:
     """The frequent tokens (sorted hashes), their counts in falling order, and every item's place and share of it."""
 
@@ -361,7 +344,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = written(token_counts(docs))
     n, v, ends = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("h") == 0, F.col("c")))).first())
-    head = Head(*frequent(counts, HEAD), ends, v)
+    h, c = most_frequent(counts.filter("h <> 0"), "h", "c", HEAD)
+    head = Head(h.view(np.uint64), c, ends, v)
     head.close(_rest_mass(counts, spark.sparkContext.broadcast(head)))
     shared = spark.sparkContext.broadcast(head)
     shards = max(1, math.ceil(n * FOLDS / (FOLDS - 1) / SHARD))

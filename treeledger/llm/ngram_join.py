@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import most_frequent, release, written
 from .components import components
 from .textbytes import Tokens, chunks, mix64, shingles
 
@@ -41,6 +41,7 @@ BLOCK, BLOCK_SHINGLES, BROADCAST_ROWS = 256, 150_000, 2_000_000
 BUCKET_SHINGLES = 1 << 18
 _TOKEN, _RANKED = np.dtype([("h", "<u8"), ("cid", "<i8")]), np.dtype([("c", "<u4"), ("h", "<u8")])
 _POSTING = np.dtype([("h", "<u8"), ("fp", "<u8"), ("n", "<u4"), ("p", "<u2")])
+_EDGE = np.dtype([("a_fp", "<i8"), ("a_n", "<i8"), ("b_fp", "<i8"), ("b_n", "<i8")])
 
 
 def _sets(texts: pa.Array, tokens: Tokens):
@@ -116,20 +117,31 @@ def _frequent(texts: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.nd
             yield flush(held)
 
     def flush(held):
-        s = np.sort(np.concatenate(held))
-        return _by_bucket(s, bits, _cut(s >> np.uint64(40 - bits), 3))
+        """The shingles of some texts, each once and counted: 3 bytes, or 7 with the count in a part of its own."""
+        s, n = np.unique(np.concatenate(held), return_counts=True)
+        whole = _by_bucket(s[n == 1], bits, _cut(s[n == 1] >> np.uint64(40 - bits), 3))
+        more = np.concatenate([_cut(s[n > 1] >> np.uint64(40 - bits), 3), _cut(n[n > 1], 4)], axis=1)
+        more = _by_bucket(s[n > 1], bits, more)
+        kinds = [pa.array(np.full(len(b), k, np.int32)) for k, b in ((0, whole), (1, more))]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column(0), k, b.column(1)], ["bucket", "kind", "data"]) for k, b in zip(kinds, (whole, more), strict=True)]).combine_chunks().to_batches()[0]
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(np.concatenate([_uncut(x, 3) for x in pdf["data"]]))
+        once = np.concatenate([np.zeros(0, np.uint64), *(_uncut(x, 3) for x in pdf["data"][pdf["kind"] == 0])])
+        more = np.concatenate([np.zeros((0, 7), np.uint8), *(np.frombuffer(x, np.uint8).reshape(-1, 7) for x in pdf["data"][pdf["kind"] == 1])])
+        v = np.concatenate([once, _uncut(more[:, :3].tobytes(), 3)])
+        n = np.concatenate([np.ones(len(once), np.int64), _uncut(more[:, 3:].tobytes(), 4).astype(np.int64)])
+        order = np.argsort(v)
+        v, n = v[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        n = np.diff(np.append(first, len(v)))
+        n = np.add.reduceat(n, first)
         keep = n >= HEAD_DF
         return pd.DataFrame({"id": (np.int64(key[0]) << 24) | v[first][keep].astype(np.int64), "df": n[keep]})
 
-    counts = texts.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInPandas(merge, "id long, df long")
-    top = counts.orderBy(F.desc("df"), "id").limit(most).toPandas()
-    order = np.argsort(top["id"].to_numpy(np.uint64))
-    return top["id"].to_numpy(np.uint64)[order], top["df"].to_numpy(np.int64)[order]
+    counts = written(texts.mapInArrow(count, "bucket int, kind int, data binary").groupBy("bucket").applyInPandas(merge, "id long, df long"))
+    ids, df = most_frequent(counts, "id", "df", most)
+    ids = ids.view(np.uint64)
+    order = np.argsort(ids)
+    return ids[order], df[order]
 
 
 def _edges_of_list(n: np.ndarray, p: np.ndarray) -> list[tuple[int, int]]:
@@ -183,6 +195,34 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a_fp": fp[a].view(np.int64), "a_n": n[a], "b_fp": fp[b].view(np.int64), "b_n": n[b]}).drop_duplicates()
 
 
+def _thinned(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings (sorted by h) with long lists cut to one posting of each size, and the edges that span what is cut.
+
+    A shingle that very many sets hold in front so sends few postings of a
+    task on. Sets of one size may all link, so each is joined to the one that
+    stays; that one takes the first place, where it may link with all others.
+    """
+    first, ends = _cuts(x["h"]) if len(x) else (np.zeros(0, int), np.zeros(0, int))
+    long = ends - first > 4 * BLOCK
+    if not long.any():
+        return x, np.zeros(0, _EDGE)
+    keep, edges = np.ones(len(x), bool), []
+    for lo, hi in zip(first[long], ends[long], strict=True):
+        order = lo + np.argsort(x["n"][lo:hi], kind="stable")
+        f, e = _cuts(x["n"][order])
+        stays = np.repeat(order[f], e - f)
+        others = order != stays
+        out = np.zeros(int(others.sum()), _EDGE)
+        a, b = x[stays[others]], x[order[others]]
+        swap = a["fp"] > b["fp"]
+        out["a_fp"], out["b_fp"] = np.where(swap, b["fp"], a["fp"]).view(np.int64), np.where(swap, a["fp"], b["fp"]).view(np.int64)
+        out["a_n"], out["b_n"] = a["n"], b["n"]
+        edges.append(out)
+        keep[order[others]] = False
+        x["p"][order[f]] = 0
+    return x[keep], np.concatenate(edges)
+
+
 def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray], post_bits: int) -> DataFrame:
     """Edges (a_fp, a_n, b_fp, b_n) between classes that may link."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
@@ -219,10 +259,20 @@ def _candidates(texts: DataFrame, bits: int, head: tuple[np.ndarray, np.ndarray]
         order = np.lexsort((all_["fp"], all_["h"]))
         all_ = all_[order]
         new = np.concatenate([[True], (all_["h"][1:] != all_["h"][:-1]) | (all_["fp"][1:] != all_["fp"][:-1])])
-        return _by_bucket(all_["h"][new], post_bits, all_[new])
-
-    posted = texts.mapInArrow(prefixes, "bucket int, data binary").groupBy("bucket")
-    return posted.applyInPandas(_lists, "a_fp long, a_n long, b_fp long, b_n long").distinct()
+        left, edges = _thinned(all_[new])
+        out = _by_bucket(left["h"], post_bits, left)
+        spread = int(left["fp"][0] >> np.uint64(33)) if len(left) else 0
+        buckets = pa.concat_arrays([out.column(0), pa.array([spread] if len(edges) else [], pa.int32())])
+        kinds = pa.array([0] * len(out) + [1] * (len(edges) > 0), pa.int32())
+        return pa.RecordBatch.from_arrays([buckets, kinds, pa.concat_arrays([out.column(1), pa.array([edges.tobytes()] if len(edges) else [], pa.binary())])], ["bucket", "kind", "data"])
+
+    def lists(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[1] == 0:
+            return _lists(pdf)
+        return pd.DataFrame(np.concatenate([np.frombuffer(d, _EDGE) for d in pdf["data"]])).drop_duplicates()
+
+    posted = texts.mapInArrow(prefixes, "bucket int, kind int, data binary").groupBy("bucket", "kind")
+    return posted.applyInPandas(lists, "a_fp long, a_n long, b_fp long, b_n long").distinct()
 
 
 class _Node:
