@@ -8,10 +8,9 @@ of it, read as a number in [0, 1), is below the rate's fraction.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_tokens, written
+from .common import n_tokens, running, written
 
 CAP = 3
 #: Source rows up to which their table is broadcast; beyond, Spark's skew join splits hot sources.
@@ -19,37 +18,38 @@ BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: DataFrame, weights: int = 3) -> DataFrame:
-    """``target`` for each row (source, source_size).
+    """``target`` for each row (source, source_size); the sources are distinct.
 
     Sources by code point, null last, weigh 1..weights, repeating. A target is
     min(cap, level * weight) with the level at which all targets sum to the
     sum of sizes: with the sources in order of cap / weight, those before the
-    first whose share fits below its cap are at their caps.
+    first whose share fits below its cap are at their caps. Both orders are
+    running sums over ranges, so no task holds all sources.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = W.orderBy("__ratio", "__rank")
-    total = F.sum("source_size").over(W.partitionBy())
+    order = [F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__name")]
+    named = running(sizes.select("source", "source_size", *order), ["__none", "__name"], {"__rank": F.lit(1)})
     row = (
-        sizes.withColumn("__rank", F.row_number().over(by_name))
-        .withColumn("__w", (F.col("__rank") - 1) % weights + 1)
+        named.withColumn("__w", F.pmod(F.col("__rank"), F.lit(weights)) + 1)
         .withColumn("__cap", F.col("source_size") * CAP)
         .withColumn("__ratio", F.col("__cap") / F.col("__w"))
-        .withColumn("__before", F.coalesce(F.sum("__cap").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("__from", F.sum("__w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("__level", (total - F.col("__before")) / F.col("__from"))
+        .select("source", "source_size", "__rank", "__w", "__cap", "__ratio")
     )
-    fits = F.when(F.col("__level") <= F.col("__ratio"), F.col("__ratio"))
-    first = F.min(F.when(fits.isNotNull(), F.struct("__ratio", "__rank", "__level"))).over(W.partitionBy())["__level"]
-    target = F.least(F.col("__cap").cast("double"), F.coalesce(first, F.lit(0.0)) * F.col("__w"))
+    row = running(row, ["__ratio", "__rank"], {"__before": F.col("__cap"), "__below": F.col("__w")})
+    total, weight = row.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("__w"), F.lit(0))).first()
+    level = (F.lit(total) - F.col("__before")) / (F.lit(weight) - F.col("__below"))
+    first = row.withColumn("__level", level).filter(F.col("__level") <= F.col("__ratio")).agg(F.min(F.struct("__ratio", "__rank", "__level")).alias("m")).first()["m"]
+    target = F.least(F.col("__cap").cast("double"), F.lit(float(first["__level"]) if first else 0.0) * F.col("__w"))
     return row.withColumn("target", target).select("source", "source_size", "target")
 
 
 def planned(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
 
-    A null text has size 0; a null source is a source of its own, the last.
-    The draw hashes doc_id and text, so reruns agree and repeated rows get the
-    same number of copies.
+    A null text has size 0, as has an empty one; a source without words keeps
+    its documents once; a null source is a source of its own, the last. The
+    draw hashes doc_id and text, so reruns agree and repeated rows get the
+    same number of copies. A text is one row however long; an empty table
+    stays empty; columns of other names than the added ones are kept.
     """
     sized = docs.withColumn("__size", n_tokens(F.col("text")))
     per = written(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size"))))
