@@ -49,7 +49,7 @@ class Tokens:
         self.inside[[9, 10, 11, 12, 13, 32]] = False
         self.base = 0xD1342543DE82EF95
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.size = 0
+        self.size, self.up, self.down = 0, _powers(1, 0)[:0], _powers(1, 0)[:0]
 
     def _grow(self, n: int) -> None:
         if n > self.size:
