@@ -76,8 +76,11 @@ def release(spark: SparkSession) -> None:
 
     Spark's cleaner deletes them once the driver's garbage collector finds the
     plans unused; a driver with memory to spare may not collect for many large
-    shuffles in a row. Plans that are still held, and written tables, stay.
+    shuffles in a row. The latest query's plan is held until another one has
+    run, hence the small one. Plans that are still held, and written tables,
+    stay.
     """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
