@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .paths import basename, extension, parts, stem
+from .text import fold, nfc, nfkc_casefold
 
 # Names, extensions and patterns of each category.
 REGENERABLE = [
@@ -20,10 +21,11 @@ VM_IMAGES = [".vdi", ".vmdk", ".vhd", ".vhdx", ".qcow2"]
 INSTALLERS = [".iso", ".msi", ".dmg", ".pkg", ".deb", ".rpm", ".appimage"]
 DOWNLOADS = ["downloads", "ダウンロード"]
 VCS = [".git", ".svn", ".hg"]
+APP_MARKERS = [".obsidian", "zotero.sqlite", "metadata.db"]
 OFFICE_LOCK = r"^(~\$|\.~lock\..*#$)"
 CONFLICTS = [
     r"-safeBackup-\d+$",
-    r"(?i)\[conflicted\]$|\.conflicted$",
+    r"(?i)\[conflicted\]|\.conflicted$",
     r"\.conflict\d+$",
     r"(?i)_conflict( \(\d+\))?$",
     r" \(\d+\)$",
@@ -146,12 +148,9 @@ def skeleton(folded: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return (
-        F.when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024.0))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / float(1024**2)))
-        .otherwise(F.format_string("%.1f GB", n / float(1024**3)))
-    )
+    """Bytes as text, one digit after the point from KB on, halves to the even digit."""
+    unit = lambda power, name: F.format_string(f"%.1f{name}", F.bround(n / float(1024**power), 1))
+    return F.when(n < 1024, F.format_string("%dB", n)).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).when(n < 1024**4, unit(3, "GB")).otherwise(unit(4, "TB"))
 
 
 def parse_size(text: Column) -> Column:
@@ -209,4 +208,47 @@ def match_attr(kind: Column, value: Column, op: str, want: str) -> Column:
     out = F.when(kind == "number", number).when(kind == "date", compare(value, F.lit(want.strip())))
     if op != "=":
         return F.coalesce(out, F.lit(False))
-    return F.coalesce(out.when(kind == "text", F.contains(F.lower(value), F.lower(F.lit(want.strip())))).otherwise(value == want.strip()), F.lit(False))
+    return F.coalesce(out.when(kind == "text", F.contains(nfkc_casefold(value), F.lit(fold(want.strip())))).otherwise(value == want.strip()), F.lit(False))
+
+
+# What a file name can't hold, and its longest stem in characters and bytes.
+NAME_BAD = r'[\\/:*?"<>|\x00-\x1f\x7f\u202a-\u202e\u2066-\u2069]'
+NAME_CHARS, NAME_BYTES = 150, 200
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of ``text`` of at most ``most`` UTF-8 bytes; no character is cut."""
+    fits = F.filter(F.sequence(F.lit(0), F.least(F.length(text), F.lit(most))), lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= most)
+    return F.substring(text, F.lit(1), F.array_max(fits))
+
+
+def clean_name(new: Column, original: Column) -> Column:
+    """A proposed name as a file name with the original's extension; without anything usable the original's stem."""
+    ext = extension(original)
+    bare = F.trim(nfc(new))
+    bare = F.when((ext != "") & F.lower(bare).endswith(ext), F.substring(bare, F.lit(1), F.length(bare) - F.length(ext))).otherwise(bare)
+    edges = lambda c: F.regexp_replace(c, r"^[ .]+|[ .]+$", "")
+    bare = F.regexp_replace(edges(F.regexp_replace(bare, NAME_BAD, "_")), r"\s+", " ")
+    held = F.get(F.transform(F.array(F.substring(F.when(bare == "", stem(original)).otherwise(bare), 1, NAME_CHARS)), lambda b: F.regexp_replace(cut_bytes(b, NAME_BYTES), r"[ .]+$", "")), F.lit(0))
+    return F.concat(F.when(held == "", stem(original)).otherwise(held), ext)
+
+
+def slug(name: Column) -> Column:
+    """What plan ids hold of a name: runs of anything but letters, digits, "_", "." and "-" as "_", the last 40 characters."""
+    s = F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w.\-]+", "_"), "^_+|_+$", "")
+    s = F.when(F.length(s) > 40, F.substring(s, -40, 40)).otherwise(s)
+    return F.when(s == "", "root").otherwise(s)
+
+
+def time_label(seconds: Column) -> Column:
+    """h:mm:ss"""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+def json_answer(text: Column) -> Column:
+    """The JSON object of a model's answer: the whole text, a fenced block, or what stands between the outermost braces; null without one."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    tries = F.array(F.trim(text), fenced, braces)
+    return F.get(F.filter(tries, lambda t: F.get_json_object(t, "$").isNotNull() & F.trim(t).startswith("{")), F.lit(0))

@@ -63,10 +63,19 @@ def natural_key(name: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell pattern whose * crosses "/", as a regular expression."""
-    out = ""
-    for c in pattern:
-        out += ".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and c not in "_/ " else c
+    """A shell pattern whose * crosses "/", as a regular expression; [ab], [a-z] and [!ab] are sets, an open [ is itself."""
+    plain = lambda c: c if c.isalnum() or c in "_/ " else "\\" + c
+    out, i = "", 0
+    while i < len(pattern):
+        c, end = pattern[i], pattern.find("]", i + 3 if pattern[i + 1 : i + 2] == "!" else i + 2)
+        if c == "[" and end > 0:
+            inside = pattern[i + 1 : end]
+            no = inside.startswith("!")
+            out += "[" + "^" * no + "".join("-" if x == "-" else plain(x) for x in inside[no:]) + "]"
+            i = end + 1
+            continue
+        out += ".*" if c == "*" else "." if c == "?" else plain(c)
+        i += 1
     return f"(?s)^{out}$"
 
 

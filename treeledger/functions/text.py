@@ -34,10 +34,11 @@ def ascii_fold(text: Column) -> Column:
 
 
 def snippet(text: Column, term: str, before: int = 40, width: int = 120) -> Column:
-    """``width`` characters around the first place of ``term``, with ellipses where text was cut."""
-    at = F.greatest(F.locate(term.lower(), ascii_fold(text)) - before, F.lit(1))
+    """``width`` characters around the first place of ``term``, with ellipses where text was cut; null where it doesn't occur."""
+    found = F.locate(term.lower(), ascii_fold(text))
+    at = F.greatest(found - before, F.lit(1))
     cut = F.substring(text, at, F.lit(width))
-    return F.concat(F.when(at > 1, "…").otherwise(""), squeeze(cut), F.when(at + width - 1 < F.length(text), "…").otherwise(""))
+    return F.when(found > 0, F.concat(F.when(at > 1, "…").otherwise(""), squeeze(cut), F.when(at + width - 1 < F.length(text), "…").otherwise("")))
 
 
 def highlight(text: Column, term: str) -> Column:
@@ -55,7 +56,10 @@ def ngrams(text: Column, n: int) -> Column:
     return F.get(F.transform(chars, cut), F.lit(0))
 
 
-def bigrams(text: Column) -> Column:
-    """Character pairs of each word (digits and symbols part words); words of one character stay."""
-    words = F.filter(F.split(F.lower(text), r"(?U)[\d\W_]+"), lambda w: w != "")
-    return F.flatten(F.transform(words, lambda w: F.when(F.length(w) == 1, F.array(w)).otherwise(ngrams(w, 2))))
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def fold(term: str) -> str:
+    """What a search term and a text are compared by: compatibility forms and letter case don't count."""
+    return unicodedata.normalize("NFKC", term).casefold()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import paths as P
 from ..functions.text import nfkc_casefold
-from .meta import _cut
+from ..sources.shared import cut as _cut
+
 
 def _file() -> Column:
     return ~F.col("is_dir")
@@ -110,6 +111,7 @@ def findings(entries: DataFrame, now_ns: int | None = None, least_bare: int = 50
     stale files are for review.
     """
     columns = ["root", "category", "relpath", "is_dir", "files", "size", "needs_review"]
+    entries = _cut(entries.select("root", "relpath", "is_dir", "size", "mtime_ns", "sha256", "hashed_size", "hashed_mtime_ns"))
     one = F.lit(1).cast("long").alias("files")
     named = _cut(folder_findings(entries).withColumn("needs_review", F.lit(False)))
     rest = outside(entries.filter(_file()), named)

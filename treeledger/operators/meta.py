@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import paths as P
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage ended, so that plans don't grow with the rounds."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+from ..sources.shared import cut as _cut
 
 
 def fold_tags(events: DataFrame) -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import paths as P
-from ..functions.text import ascii_fold, bigrams, ngrams
+from ..functions.text import ascii_fold, fold, is_ascii, nfkc_casefold, ngrams
+from ..sources.shared import cut
+
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def find(entries: DataFrame, *, words: str = "", kind: str = "", under: str = "", files_only: bool = False, after_ns: int | None = None, before_ns: int | None = None, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
@@ -41,22 +49,29 @@ def collapse(found: DataFrame) -> DataFrame:
     return one.union(rest)
 
 
+def folded(extracts: DataFrame) -> DataFrame:
+    """``extracts`` with ``folded``, the text in compatibility forms and without case; only texts beyond ASCII leave the JVM."""
+    plain = extracts.filter(is_ascii(F.col("text"))).withColumn("folded", F.lower("text"))
+    other = extracts.filter(~is_ascii(F.col("text"))).withColumn("folded", nfkc_casefold("text"))
+    return plain.unionByName(other)
+
+
 def text_matches(extracts: DataFrame, terms: list[str]) -> DataFrame:
-    """Contents that hold every term, by a scan."""
-    out = extracts
+    """Contents that hold every term, by a scan; no terms, no contents."""
+    out = folded(extracts)
     for t in terms:
-        out = out.filter(ascii_fold(F.col("text")).contains(t.lower()))
-    return out
+        out = out.filter(F.col("folded").contains(fold(t)))
+    return out.drop("folded") if terms else extracts.limit(0)
 
 
 def trigram_index(extracts: DataFrame) -> DataFrame:
     """(trigram, sha256), each once; write it bucketed or partitioned by trigram for lookups."""
-    return extracts.select("sha256", F.explode(F.array_distinct(ngrams(ascii_fold(F.col("text")), 3))).alias("trigram"))
+    return folded(extracts).select("sha256", F.explode(F.array_distinct(ngrams(F.col("folded"), 3))).alias("trigram"))
 
 
 def indexed_matches(index: DataFrame, extracts: DataFrame, terms: list[str]) -> DataFrame:
     """Contents that hold every term: all trigrams must be posted, then the text is verified. Terms under 3 characters are verified only."""
-    grams = sorted({t.lower()[i : i + 3] for t in terms for i in range(len(t) - 2)})
+    grams = sorted({fold(t)[i : i + 3] for t in terms for i in range(len(fold(t)) - 2)})
     if not grams:
         return text_matches(extracts, terms)
     hits = index.filter(F.col("trigram").isin(grams)).groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
@@ -75,11 +90,29 @@ def pending(entries: DataFrame, extracts: DataFrame, extensions: list[str]) -> D
     return held.withColumn("r", F.row_number().over(newest)).filter("r = 1").select("sha256", "root", "relpath", "mtime_ns", rank.alias("priority"))
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(id, term, c): how often each pair of characters stands in the words of (id, text)."""
+
+    def run(frames):
+        for pdf in frames:
+            ids, terms, counts = [], [], []
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                found = Counter()
+                for word in _WORDS.findall((text or "").lower()):
+                    found.update(map("".join, zip(word, word[1:], strict=False)) if len(word) > 1 else [word])
+                ids += [i] * len(found)
+                terms += found.keys()
+                counts += found.values()
+            yield pd.DataFrame({"id": ids, "term": terms, "c": counts})
+
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, term string, c long")
+
+
 def tfidf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weights (id, term, w) with unit length per document, and (term, idf); docs: id, text. idf = ln(1 + n / df), tf = 1 + ln(count)."""
-    counts = docs.select("id", F.explode(bigrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(term_counts(docs))
     n = docs.count()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf"))
+    idf = cut(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf")))
     return _unit(counts.join(idf, "term")), idf
 
 
@@ -89,11 +122,51 @@ def _unit(weighted: DataFrame) -> DataFrame:
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def similar(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, id, score, rank): the k documents with the highest cosine; query terms that no document has are dropped."""
-    weights, idf = tfidf(docs)
-    counts = queries.select("id", F.explode(bigrams(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
-    q = _unit(counts.join(idf, "term")).select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
-    score = weights.join(q, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
+def similar(docs: DataFrame, queries: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
+    """(query_id, id, score, rank): the k documents with the highest cosine; query terms that no document has are dropped.
+
+    Queries go out in blocks of bounded size; a document meets all of a block
+    at once, and each task keeps k per query, so no pair of a document and a
+    query that is not among the best becomes a row.
+    """
+    counts = cut(term_counts(docs))
+    n = docs.count()
+    idf = cut(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log(1 + F.lit(n) / F.col("df")).alias("idf")))
+    weights = counts.join(idf, "term").select("id", "term", ((1 + F.log("c")) * F.col("idf")).alias("w"))
+    vectors = cut(weights.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")))
+    blocks = -(-queries.count() // block)
+    asked = cut(_unit(term_counts(queries).join(idf, "term")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1)))))
+    kind, asked_kind = (d.schema["id"].dataType.simpleString() for d in (docs, queries))
+    out = None
+    for b in range(blocks):
+        held = asked.filter(F.col("b") == b).select("id", "term", "w").toArrow().to_pandas()
+        if not len(held):
+            continue
+        names, which = np.unique(held["id"].to_numpy(), return_inverse=True)
+        terms = {t: i for i, t in enumerate(dict.fromkeys(held["term"]))}
+        matrix = np.zeros((len(terms), len(names)))
+        matrix[held["term"].map(terms).to_numpy(), which] = held["w"].to_numpy()
+        shared = docs.sparkSession.sparkContext.broadcast((names, terms, matrix))
+
+        def run(frames, shared=shared):
+            names, terms, matrix = shared.value
+            best = None
+            for pdf in frames:
+                scores = np.zeros((len(pdf), len(names)))
+                for i, (ts, ws) in enumerate(zip(pdf["terms"], pdf["ws"], strict=True)):
+                    ws = np.asarray(ws)
+                    at = np.array([terms.get(t, -1) for t in ts])
+                    scores[i] = ws[at >= 0] @ matrix[at[at >= 0]] / np.sqrt(ws @ ws)
+                rows, cols = np.nonzero(scores)
+                new = pd.DataFrame({"query_id": names[cols], "id": pdf["id"].to_numpy()[rows], "score": np.round(scores[rows, cols], 9)})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            if best is not None:
+                yield best
+
+        part = vectors.mapInPandas(run, f"query_id {asked_kind}, id {kind}, score double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"query_id {asked_kind}, id {kind}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return score.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -239,7 +239,10 @@ def tags_folded(spark, d):
     return _tags(spark, d)
 
 
-@query()
+@query(f"""WITH {T.EVENTS_SQL}, mv AS (SELECT event_id AS m, 'src' || (event_id % 20) AS src FROM events WHERE event_id % 97 = 0),
+ f AS (SELECT ev.*, mv.m FROM (SELECT *, split_part(path, '/', 1) AS top FROM ev WHERE seq % 97 <> 0) ev ASOF LEFT JOIN mv ON ev.top = mv.src AND ev.seq < mv.m),
+ l AS (SELECT *, row_number() OVER (PARTITION BY root, path, tag, m ORDER BY seq DESC) AS r FROM f)
+SELECT DISTINCT root, CASE WHEN m IS NULL THEN path ELSE 'old/' || path END AS path, tag FROM l WHERE r = 1 AND op = 'add'""")
 def tags_folded_with_moves(spark, d):
     log = _log(spark, d)
     move = F.col("seq") % 97 == 0
