@@ -36,17 +36,17 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize(
     "path,size,want",
-    [("a/~$x.docx", 1, "office-lock"), ("Thumbs.db", 1, "os-junk"), ("d.vmdk", 1, "vm-image"), ("x/setup1.exe", 1, "installer"), ("Downloads/p.exe", 1, "installer"), ("p.exe", 1, None), ("a.tmp", 1, "temp"), ("r (1).pdf", 1, "conflict"), ("a.txt.conflict1", 1, "conflict"), ("plan-zefat.xlsx", 1, "conflict"), ("e.txt", 0, "empty-file"), ("e.txt", 1, None)],
+    [("m/~$minutes.docx", 9, "office-lock"), ("m/Ehthumbs.db", 9, "os-junk"), ("disk9.qcow2", 9, "vm-image"), ("kit/setup-77.exe", 9, "installer"), ("Downloads/tool.exe", 9, "installer"), ("tool.exe", 9, None), ("half.part", 9, "temp"), ("minutes (12).odt", 9, "conflict"), ("log.txt.conflict7", 9, "conflict"), ("memo[Conflicted] old.md", 9, "conflict"), ("budget-kestrel9.ods", 9, "conflict"), ("nil.csv", 0, "empty-file"), ("nil.csv", 9, None)],
 )
 def test_names(spark, path, size, want):
     df = spark.createDataFrame([(path, size)], "p string, s long")
-    assert df.select(N.classify_file(F.col("p"), F.col("s"), ["zefat"])).first()[0] == want
+    assert df.select(N.classify_file(F.col("p"), F.col("s"), ["kestrel9"])).first()[0] == want
 
 
 def test_conflict_originals(spark):
-    df = spark.createDataFrame([("report (1).pdf",), ("a.txt.conflict1",), ("plan-zefat.xlsx",), ("plain.txt",), ("note-zefat-safeBackup-0001.one",)], "p string")
-    got = [r[0] for r in df.select(N.conflict_original(F.col("p"), ["zefat"])).collect()]
-    assert got == ["report.pdf", "a.txt", "plan.xlsx", None, "note.one"]
+    df = spark.createDataFrame([("minutes (12).odt",), ("log.txt.conflict7",), ("budget-kestrel9.ods",), ("clean.txt",), ("sheet-kestrel9-safeBackup-0042.one",)], "p string")
+    got = [r[0] for r in df.select(N.conflict_original(F.col("p"), ["kestrel9"])).collect()]
+    assert got == ["minutes.odt", "log.txt", "budget.ods", None, "sheet.one"]
 
 
 def test_paths(spark):
