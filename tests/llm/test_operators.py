@@ -75,6 +75,23 @@ def test_licenses(odd, none):
     assert licenses.licenses_digest(none).collect() == []
 
 
+def test_license_notices(spark):
+    notice = {label: text for label, text, _ in licenses.NOTICES}
+    words = notice["mit"].split()
+    edited = words[:-4] + ["of", "this", "work"]  # the end differs, the key phrase stands
+    broken = " ".join(words).replace("modify merge", "modify or merge")
+    rows = [(1, "Preamble: " + notice["agpl-3.0"].upper()), (2, notice["gpl-3.0"]), (3, " ".join(edited)), (4, broken), (5, notice["lgpl-2.1"]), (6, notice["apache-2.0"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {(licenses.catalog()[c.t]["label"], len(licenses.catalog()[c.t]["words"])): c for c in r["__found"]} for r in licenses.scan(docs).collect()}
+    labels = {i: {k[0] for k in f} for i, f in found.items()}
+    assert "agpl-3.0" in labels[1] and "gpl-3.0" not in labels[1]
+    assert "gpl-3.0" in labels[2] and not {"gpl-2.0", "agpl-3.0", "lgpl-3.0"} & labels[2]
+    assert "lgpl-2.1" in labels[5] and "lgpl-3.0" not in labels[5] and "apache-2.0" in labels[6]
+    assert licenses.COVERAGE <= found[3][("mit", len(words))].coverage < 1 and found[2][("gpl-3.0", len(notice["gpl-3.0"].split()))].coverage == 1
+    assert ("mit", len(words)) not in found[4]
+    assert len(licenses.idf(docs)) == len(licenses.vocabulary())
+
+
 def brute_components(rows):
     sets = []
     for _, t, _ in rows:

@@ -41,11 +41,40 @@ MORE = [
     ("cc-by", "creative commons attribution", "creative commons attribution"),
     ("unlicense", "free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
+_GNU = (
+    "this {what} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation"
+    " either version {version} of the license or at your option any later version this {what} is distributed in the hope that it will be useful but without any"
+    " warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details"
+)
+
+
+def _gnu(label: str, what: str, name: str, version: str) -> tuple[str, str, str]:
+    return label, _GNU.format(what=what, name=name, version=version), f"gnu {name} as published by the free software foundation either version {version} of the license"
+
+
+# Notices and bodies of licences, as their words stand in files.
+NOTICES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions of source code must retain the above copyright notice"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    _gnu("gpl-2.0", "program", "general public license", "2"),
+    _gnu("gpl-3.0", "program", "general public license", "3"),
+    _gnu("agpl-3.0", "program", "affero general public license", "3"),
+    _gnu("lgpl-2.1", "library", "lesser general public license", "2 1"),
+    _gnu("lgpl-3.0", "library", "lesser general public license", "3"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", "under the terms of the eclipse public license 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", "to use reproduce display distribute execute and transmit the software"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+]
 COVERAGE = 0.8
 
 
 def catalog() -> list[dict]:
-    rows = [(label, t, t, True) for label, t in BASE] + [(*r, False) for r in MORE]
+    rows = [(label, t, t, True) for label, t in BASE] + [(*r, False) for r in MORE + NOTICES]
     out = []
     for label, template, key, base in rows:
         words, key_words = template.split(), key.split()
@@ -68,14 +97,17 @@ def idf(docs: DataFrame) -> dict[str, float]:
 
 
 def _lit_array(values, kind: str):
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    return F.split(F.lit(" ".join(str(v) for v in values)), " ").cast(f"array<{kind}>")  # words and numbers hold no spaces
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__n_words`` and ``__found``, an array of (template, start of its key phrase, coverage).
 
     Row by row, without a shuffle: null and empty texts have no words and find
-    nothing; repeated rows get the same answer; no other column is looked at.
+    nothing, an empty table gives an empty one; repeated rows get the same
+    answer; very long texts are scanned whole; no other column is looked at
+    (those named ``__words``, ``__spots``, ``__proposed``, ``__n_words`` and
+    ``__found`` are replaced). Templates with equal coverage are all found.
     """
     weights = idf(docs)
     templates, postings = [], {}
