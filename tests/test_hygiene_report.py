@@ -1,3 +1,4 @@
+from treeledger.operators import history
 from treeledger.operators import hygiene as H
 from treeledger.plans import clean_up as C
 
@@ -29,3 +30,25 @@ def test_all_rules_report_each_path_once(spark):
     ]
     ops = {(o.path, o.files, o.size, o.mtime_ns) for o in C.build(found, e).collect()}
     assert {("app/data", 3, 6, 9), ("empty", 0, 0, 7)} <= ops
+
+
+def test_spared_paths_keep_the_folders_above_them(spark):
+    rows = [("a/node_modules/x.js", False, 2, 9), ("a/node_modules/deep/cache/y", False, 3, 9), ("b/node_modules/z.js", False, 4, 9)]
+    rows += [(f"bare/{i}", False, 2, 9) for i in range(3)] + [("bare/sub/keep me", False, 2, 9), ("void", True, 0, 7), ("void2", True, 0, 7)]
+    rows += [("pic.zip", False, 50, 9), ("pic/a.jpg", False, 1, 9), ("big.iso", False, 100, 1), ("plan v1.doc", False, 7, 9), ("plan v2.doc", False, 7, 9), ("plan v3.doc", False, 7, 9), ("v/old/t.doc", False, 5, 9)]
+    e = entries(spark, rows)
+    kept = spark.createDataFrame([("r", "a/node_modules/x.js"), ("r", "void"), ("r", "bare/sub")], "root string, path string")
+    spared = history.kept_or_allowed(e, kept, ["*.zip"])
+    pairs = [("r", "plan v1.doc", "plan v2.doc"), ("r", "plan v1.doc", "plan v3.doc"), ("r", "plan v2.doc", "plan v9.doc"), ("r", "v/old", "v"), ("r", "b/node_modules/z.js", "v"), ("r", "bare", "v")]
+    versions = spark.createDataFrame(pairs, "root string, old string, newer string")
+    found = H.findings(e, now_ns=3 * YEAR, least_bare=3, stale_bytes=100, spared=spared, versions=versions, disabled=["installer"])
+    got = sorted((r.category, r.relpath, r.is_dir, r.files, r.size, r.needs_review) for r in found.collect())
+    assert got == [
+        ("app-data", "a/node_modules/deep/cache", True, 1, 3, False),
+        ("empty-dir", "void2", True, 0, 0, False),
+        ("old-version", "plan v1.doc", False, 1, 7, False),
+        ("old-version", "v/old", True, 1, 5, False),
+        ("regenerable", "b/node_modules", True, 1, 4, False),
+        ("stale-large", "big.iso", False, 1, 100, True),
+    ]
+    assert [r.newer for r in H.old_versions(e, versions).filter("relpath = 'plan v1.doc'").collect()] == ["plan v3.doc"]

@@ -13,7 +13,7 @@ from .operators import history as H
 from .operators import hygiene as Y
 from .operators import meta as M
 from .operators import search as S
-from .queries import _EXT, _NAME, _PAR, _anc, _docs, _lines, _log, _shots, _tags, _TAGS, W, query
+from .queries import _EXT, _FOUND, _NAME, _PAR, _anc, _docs, _lines, _log, _shots, _tags, _TAGS, W, query
 from .sources import tables as T
 
 
@@ -266,6 +266,19 @@ def protected_folders(spark, d):
     return H.protected_folders(H.kept_or_allowed(_docs(spark, d), kept, ["*.iso", "src2/*/1[0-4]*"]))
 
 
+@query(f"""{W}, {_FOUND}, sp AS (SELECT relpath FROM entries WHERE starts_with(relpath, 'src1/en/') OR relpath LIKE '%.iso' OR regexp_matches(relpath, '^src2/.*/1[0-4]')),
+ov AS (SELECT root, 'old-version' AS category, relpath, false AS is_dir, 1::BIGINT AS files, size, false AS needs_review FROM entries WHERE regexp_matches(relpath, '[02468]\\.mp3$'))
+SELECT root, category, relpath, is_dir, files, size, needs_review FROM (SELECT * FROM found WHERE category <> 'vm-image' UNION ALL SELECT * FROM ov) f
+WHERE relpath NOT IN (SELECT relpath FROM sp) AND NOT (is_dir AND EXISTS (SELECT 1 FROM sp WHERE starts_with(sp.relpath, f.relpath || '/')))""")
+def hygiene_findings_spared(spark, d):
+    e, p = _docs(spark, d), F.col("relpath")
+    kept = spark.createDataFrame([("docs", "src1/en")], "root string, path string")
+    spared = H.kept_or_allowed(e, kept, ["*.iso", "src2/*/1[0-4]*"])
+    mp3 = e.filter(p.endswith(".mp3"))
+    versions = mp3.select("root", p.alias("old"), F.when(p.rlike(r"[02468]\.mp3$"), P.parent(p)).otherwise(F.concat(p, F.lit(".gone"))).alias("newer"))
+    return Y.findings(e, spared=spared, versions=versions, disabled=["vm-image"])
+
+
 _SUG = "sg AS (SELECT sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'big' WHEN doc_id % 3 = 1 THEN 'small' ELSE 'other' END AS model, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 2 END AS prompt_version, doc_id AS created_at, lang || '/' || source AS dest FROM documents)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import paths as P
-from ..functions.text import nfkc_casefold
+from ..functions.text import nfc, nfkc_casefold
 from ..sources.shared import cut as _cut
 
 
@@ -73,12 +73,20 @@ def outside(rows: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.join(covered, ["root", "relpath"], "left_anti")
 
 
-def folder_findings(entries: DataFrame) -> DataFrame:
-    """Topmost regenerable, app-data and cache folders with the files and bytes below them."""
+def _without(rows: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """``rows`` whose (root, relpath) is not in ``paths``."""
+    return rows if paths is None else rows.join(paths, ["root", "relpath"], "left_anti")
+
+
+def folder_findings(entries: DataFrame, spared: DataFrame | None = None, disabled: list[str] = ()) -> DataFrame:
+    """Topmost regenerable, app-data and cache folders with the files and bytes below them, but for those in ``spared`` (root, relpath)."""
     dirs = _folders(entries).join(subtree_sizes(entries), ["root", "dir"], "left").fillna(0, ["files", "bytes"])
     name = P.basename(F.col("dir"))
-    category = F.when(name.isin(N.REGENERABLE), "regenerable").when(name.isin(N.APP_DATA), "app-data").when(F.lower(name).isin(N.CACHES) & (F.col("files") > 0), "app-data")
+    app_data = name.isin(N.APP_DATA) | F.lower(name).isin(N.CACHES) & (F.col("files") > 0)
+    category = F.when(name.isin(N.REGENERABLE) & F.lit("regenerable" not in disabled), "regenerable").when(app_data & F.lit("app-data" not in disabled), "app-data")
     found = dirs.withColumn("category", category).filter("category IS NOT NULL")
+    if spared is not None:
+        found = found.join(spared.withColumnRenamed("relpath", "dir"), ["root", "dir"], "left_anti")
     return topmost(found).select("root", "category", F.col("dir").alias("relpath"), F.lit(True).alias("is_dir"), "files", F.col("bytes").alias("size"))
 
 
@@ -103,31 +111,69 @@ def file_findings(entries: DataFrame, devices: list[str] = ()) -> DataFrame:
     return plain.union(copies.select("root", "category", "relpath", F.lit(False), F.lit(1).cast("long"), "size", ~same))
 
 
-def findings(entries: DataFrame, now_ns: int | None = None, least_bare: int = 500, stale_bytes: int = 500 << 20, stale_days: int = 365) -> DataFrame:
+def old_versions(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root, relpath, newer, is_dir, files, size): what is there still and has a later version there still; pairs: root, old, newer (the last path counts)."""
+    p = F.col("relpath")
+    files = entries.filter(_file()).select("root", "relpath", F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("files"), "size")
+    below = subtree_sizes(entries).select("root", F.col("dir").alias("relpath"), "files", F.col("bytes").alias("size"))
+    zero = F.lit(0).cast("long")
+    dirs = _folders(entries).withColumnRenamed("dir", "relpath").join(below, ["root", "relpath"], "left").select("root", "relpath", F.lit(True).alias("is_dir"), F.coalesce("files", zero).alias("files"), F.coalesce("size", zero).alias("size"))
+    live = files.union(dirs).withColumn("key", nfc(p))
+    held = pairs.select("root", nfc(F.col("old")).alias("key"), nfc(F.col("newer")).alias("new_key"))
+    there = live.select("root", F.col("key").alias("new_key"), p.alias("newer"))
+    last = held.join(there, ["root", "new_key"]).groupBy("root", "key").agg(F.max("newer").alias("newer"))
+    return live.join(last, ["root", "key"]).select("root", "relpath", "newer", "is_dir", "files", "size")
+
+
+def findings(
+    entries: DataFrame,
+    now_ns: int | None = None,
+    least_bare: int = 500,
+    stale_bytes: int = 500 << 20,
+    stale_days: int = 365,
+    spared: DataFrame | None = None,
+    versions: DataFrame | None = None,
+    disabled: list[str] = (),
+) -> DataFrame:
     """What a tree's hygiene asks for, each path once: folders by name, then folders of files without extension,
-    files by name and size, empty folders, extracted archives, and large files not touched for long.
+    files by name and size, empty folders, extracted archives, old versions, and large files not touched for long.
 
     A path that an earlier rule reported, or that is in a folder reported, is left to that rule. Archives and
-    stale files are for review.
+    stale files are for review. ``spared`` (root, relpath: kept or allowed entries, see ``history.kept_or_allowed``)
+    is never reported, nor is a folder that holds any of it, so that it can't go with its folder. ``versions``
+    (root, old, newer) names later versions. Rules of ``disabled`` categories don't report, so later ones may.
     """
     columns = ["root", "category", "relpath", "is_dir", "files", "size", "needs_review"]
     entries = _cut(entries.select("root", "relpath", "is_dir", "size", "mtime_ns", "sha256", "hashed_size", "hashed_mtime_ns"))
-    one = F.lit(1).cast("long").alias("files")
-    named = _cut(folder_findings(entries).withColumn("needs_review", F.lit(False)))
-    rest = outside(entries.filter(_file()), named)
-    bare = no_extension_folders(rest, least_bare).select("root", F.col("dir").alias("relpath"))
+    on = lambda rows, category: rows.filter(F.lit(category not in disabled))
+    held = None  # what is spared and the folders above it
+    if spared is not None:
+        spared = _cut(spared.select("root", "relpath").distinct())
+        held = _cut(spared.select("root", F.explode(P.self_and_ancestors(F.col("relpath"))).alias("relpath")).filter("relpath <> ''").distinct())
+
+    def row(rows: DataFrame, category: str, is_dir=False, files=1, size="size", review: bool = False) -> DataFrame:
+        value = lambda v, kind: F.col(v) if isinstance(v, str) else F.lit(v).cast(kind)
+        return rows.select("root", F.lit(category).alias("category"), "relpath", value(is_dir, "boolean").alias("is_dir"), value(files, "long").alias("files"), value(size, "long").alias("size"), F.lit(review).alias("needs_review"))
+
+    named = _cut(folder_findings(entries, held, disabled).withColumn("needs_review", F.lit(False)))
+    rest = _without(outside(entries.filter(_file()), named), spared)
+    bare = on(_without(no_extension_folders(rest, least_bare).select("root", F.col("dir").alias("relpath")), held), "app-data")
     sizes = subtree_sizes(rest.filter(~P.has_part(F.col("relpath"), N.VCS))).withColumnRenamed("dir", "relpath")
-    bare = bare.join(sizes, ["root", "relpath"]).select("root", F.lit("app-data").alias("category"), "relpath", F.lit(True).alias("is_dir"), "files", F.col("bytes").alias("size"), F.lit(False).alias("needs_review"))
+    bare = row(bare.join(sizes, ["root", "relpath"]), "app-data", True, "files", "bytes")
     folders = _cut(named.select(columns).unionByName(bare))
-    files = _cut(outside(file_findings(entries), folders).select(columns))
-    empty = outside(empty_folders(entries), folders).select("root", F.lit("empty-dir").alias("category"), "relpath", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("needs_review"))
-    found = folders.unionByName(files).unionByName(empty)
-    packed = outside(extracted_archives(entries), folders).join(files, ["root", "relpath"], "left_anti")
-    packed = packed.select("root", F.lit("extracted-archive").alias("category"), "relpath", F.lit(False).alias("is_dir"), one, "size", F.lit(True).alias("needs_review"))
+    files = _without(file_findings(entries), spared).filter(~F.col("category").isin(list(disabled)))
+    files = _cut(outside(files, folders).select(columns))
+    empty = on(row(_without(outside(empty_folders(entries), folders), spared), "empty-dir", True, 0, 0), "empty-dir")
+    packed = on(_without(_without(outside(extracted_archives(entries), folders), files), spared), "extracted-archive")
+    found = folders.unionByName(files).unionByName(empty).unionByName(row(packed, "extracted-archive", review=True))
+    reported = files.unionByName(row(packed, "extracted-archive"))
+    if versions is not None:
+        old = on(_without(_without(outside(old_versions(entries, versions), folders), reported.unionByName(empty)), held), "old-version")
+        old = _cut(row(old, "old-version", "is_dir", "files"))
+        found, reported = found.unionByName(old), reported.unionByName(old)
     now = time.time_ns() if now_ns is None else now_ns
-    stale = outside(stale_large(entries, stale_bytes, now - stale_days * 86_400_000_000_000), folders).join(files.unionByName(packed), ["root", "relpath"], "left_anti")
-    stale = stale.select("root", F.lit("stale-large").alias("category"), "relpath", F.lit(False).alias("is_dir"), one, "size", F.lit(True).alias("needs_review"))
-    return found.unionByName(packed).unionByName(stale)
+    stale = _without(outside(stale_large(entries, stale_bytes, now - stale_days * 86_400_000_000_000), folders), reported)
+    return found.unionByName(on(row(_without(stale, spared), "stale-large", review=True), "stale-large"))
 
 
 def by_category(found: DataFrame) -> DataFrame:
