@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import alignment_digest
 from .common import table
 from .decontaminate import DECONTAMINATE_SQL, decontaminate_digest
 from .language_model import score as lm_score
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_topk": lambda s, d: topk_digest(table(s, d, "embeddings")),
     "op9_warc_revisits": lambda s, d: warc_digest(table(s, d, "pages")),
     "op10_shard": lambda s, d: shard_digest(table(s, d, "documents")),
+    "op11_align_tokens": lambda s, d: alignment_digest(table(s, d, "documents")),
 }
 
 SQL = {
