@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 from treeledger.llm import alignment as A
 
@@ -16,7 +17,7 @@ TEXTS = [
     "<|endoftext|> and <s> </s> <unk> <0x41> stay text <|endoftext|>",
     "Ünïcode straße 漢字かな交じり文 emoji 👩‍👩‍👧 é ​ zero",
     "a▁b has the mark of a space",
-    "x" * 3000 + " " + "1234567890" * 50,
+    "x" * 3000 + "\n" * 9000 + "é" * 5000 + " " + "1234567890" * 50,
     "the the the the the of of of",
     "\x00\x01 control \x1c \x1f end",
     "para graph 　 wide",
@@ -26,11 +27,13 @@ TEXTS = [
 
 def plain(texts: dict[int, str | None]) -> dict[int, tuple]:
     a, b = A._tokenizer(A.A_FILE), A._tokenizer(A.B_FILE)
+    model = Tokenizer.from_file(A.A_FILE)
+    model.encode_special_tokens = True
     rows = {}
     for i, text in texts.items():
         ids = [[], []]
         if text:
-            ids = [a.model.encode(" " + text, add_special_tokens=False).ids, b.model.encode(text)]
+            ids = [model.encode(" " + text, add_special_tokens=False).ids, b.model.encode(text)]
             wanted = (" " + text).encode()
             if any(b"".join(t.bytes[x] for x in k) != wanted for t, k in zip((a, b), ids, strict=True)):
                 ids = [[], []]
@@ -84,3 +87,13 @@ def test_units_join_to_the_texts():
     units, offs = A.units_of(pa.array([t for t in TEXTS if t]))
     held = [t for t in TEXTS if t]
     assert [" ".join(units[lo:hi]) for lo, hi in zip(offs[:-1], offs[1:], strict=True)] == held
+
+
+def test_splits_like_the_file_on_every_character():
+    a, model = A._tokenizer(A.A_FILE), Tokenizer.from_file(A.A_FILE)
+    model.encode_special_tokens = True
+    for lo in range(1, 0x110000, 1 << 14):
+        texts = [f"  a{c}1{c}!{c} {c}{c}'s" for c in map(chr, range(lo, min(lo + (1 << 14), 0x110000))) if not 0xD800 <= ord(c) < 0xE000]
+        if texts:
+            assert max(map(len, texts)) < A.LONG
+            assert [x.ids for x in model.encode_batch([" " + t for t in texts], add_special_tokens=False)] == a.encode(texts)

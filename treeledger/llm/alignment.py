@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
-from itertools import accumulate
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import most_frequent, written
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+#: How a byte-level BPE splits a text before it merges (a fixed value: the rule its file names "ByteLevel").
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are aligned at a time, and units that a task remembers.
 SLICE, UNITS = 1 << 22, 1 << 18
+#: Characters of a unit beyond which it is encoded apart.
+LONG = 1 << 12
 #: Pairs of ids whose counts every task holds (17 bytes each); the counts of all others are joined.
 HEAD = 1 << 20
 #: Links that a task adds up before it passes counts on.
@@ -39,25 +43,37 @@ ADDED = ["n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
 
 
 class Bytes:
-    """A byte-level BPE in one JSON file."""
+    """A byte-level BPE in one JSON file whose ids follow its merges, so that they are the ranks of its entries."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in set(plain)]
-        value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+            model = json.load(f)["model"]
+        vocab, plain = model["vocab"], [*range(33, 127), *range(161, 173), *range(174, 256)]
+        value = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(value[c] for c in token)
+        joins = ((x if isinstance(x, list) else x.split(" ")) for x in model["merges"])
+        if any(vocab["".join(x)] != 256 + i for i, x in enumerate(joins)):
+            raise ValueError("the ids don't follow the merges")
+        ranks = {entry: i for i, entry in enumerate(self.bytes[: 256 + len(model["merges"])])}
+        self.path, self.model = path, tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def slow(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.encode_special_tokens = True
+        return model
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        """Long units go to the slower of two equal encoders: the other one's stack overflows in very long runs of a character."""
+        encode = self.model.encode_ordinary
+        return [encode(" " + u) if len(u) <= LONG else self.slow.encode(" " + u, add_special_tokens=False).ids for u in units]
 
 
 class Pieces:
@@ -84,18 +100,13 @@ def _tokenizer(path: str):
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many each unit has."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())), n
+    return np.array(list(chain.from_iterable(ids)), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
-def _whole(ids: list[list[int]], entries: list[bytes], units: list[str]) -> np.ndarray:
-    """Which units' tokens join to a space and the unit."""
-    wanted = [b" " + u.encode() for u in units]
-    if b"".join(entries[i] for x in ids for i in x) == b"".join(wanted) and all(ids):
-        spans = list(accumulate(map(len, wanted)))
-        if spans == list(accumulate(sum(len(entries[i]) for i in x) for x in ids)):
-            return np.ones(len(units), bool)
-    return np.array([b"".join(map(entries.__getitem__, x)) == w for x, w in zip(ids, wanted, strict=True)], bool)
+def _whole(ids: list[list[int]], entries: list[bytes], wanted: list[bytes]) -> np.ndarray:
+    """Which units' tokens join to their bytes."""
+    got = [b"".join(map(entries.__getitem__, x)) for x in ids]
+    return np.ones(len(ids), bool) if got == wanted else np.array([g == w for g, w in zip(got, wanted, strict=True)], bool)
 
 
 def gathered(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -144,7 +155,8 @@ class Store:
 
     def _add(self, units: list[str]) -> None:
         a, b = self.a.encode(units), self.b.encode(units)
-        good = _whole(a, self.a.bytes, units) & _whole(b, self.b.bytes, units)
+        wanted = [b" " + u.encode() for u in units]
+        good = _whole(a, self.a.bytes, wanted) & _whole(b, self.b.bytes, wanted)
         if not good.all():
             a = [x if g else [] for x, g in zip(a, good, strict=True)]
             b = [x if g else [] for x, g in zip(b, good, strict=True)]
