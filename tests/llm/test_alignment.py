@@ -93,7 +93,7 @@ def test_splits_like_the_file_on_every_character():
     a, model = A._tokenizer(A.A_FILE), Tokenizer.from_file(A.A_FILE)
     model.encode_special_tokens = True
     for lo in range(1, 0x110000, 1 << 14):
-        texts = [f"  a{c}1{c}!{c} {c}{c}'s" for c in map(chr, range(lo, min(lo + (1 << 14), 0x110000))) if not 0xD800 <= ord(c) < 0xE000]
+        texts = [f"a{c}1{c}! {c}'s" for c in map(chr, range(lo, min(lo + (1 << 14), 0x110000))) if not 0xD800 <= ord(c) < 0xE000]
         if texts:
             assert max(map(len, texts)) < A.LONG
             assert [x.ids for x in model.encode_batch([" " + t for t in texts], add_special_tokens=False)] == a.encode(texts)

@@ -9,6 +9,7 @@ from .language_model import score as lm_score
 from .licenses import licenses_digest, licenses_sql
 from .mixing import MIX_SQL, mix_digest
 from .ngram_join import ngram_join_digest
+from .prefix_trie import TRIE_SQL, trie
 from .repeats import REPEATS_SQL, repeats_digest
 from .sharding import shard_digest
 from .topk import TOPK_SQL, topk_digest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc_revisits": lambda s, d: warc_digest(table(s, d, "pages")),
     "op10_shard": lambda s, d: shard_digest(table(s, d, "documents")),
     "op11_align_tokens": lambda s, d: alignment_digest(table(s, d, "documents")),
+    "op12_prefix_trie": lambda s, d: trie(table(s, d, "conversations")),
 }
 
 SQL = {
@@ -36,4 +38,5 @@ SQL = {
     "op5_decontaminate": DECONTAMINATE_SQL,
     "op8_exact_topk": TOPK_SQL,
     "op9_warc_revisits": WARC_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }
