@@ -10,6 +10,7 @@ from .licenses import licenses_digest, licenses_sql
 from .mixing import MIX_SQL, mix_digest
 from .ngram_join import ngram_join_digest
 from .prefix_trie import TRIE_SQL, trie
+from .quality_rules import quality_digest
 from .repeats import REPEATS_SQL, repeats_digest
 from .sharding import shard_digest
 from .topk import TOPK_SQL, topk_digest
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_shard": lambda s, d: shard_digest(table(s, d, "documents")),
     "op11_align_tokens": lambda s, d: alignment_digest(table(s, d, "documents")),
     "op12_prefix_trie": lambda s, d: trie(table(s, d, "conversations")),
+    "op13_quality_rules": lambda s, d: quality_digest(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 SQL = {

@@ -39,11 +39,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """White-space tokens, A-Z lower-cased, as 64-bit hashes."""
+    """White-space tokens, A-Z lower-cased if ``fold``, as 64-bit hashes."""
 
-    def __init__(self) -> None:
+    def __init__(self, fold: bool = True) -> None:
         table = np.arange(256)
-        table[65:91] += 32
+        if fold:
+            table[65:91] += 32
         self.value = mix64(table.astype(np.uint64) + _ODD)
         self.inside = np.ones(256, bool)
         self.inside[[9, 10, 11, 12, 13, 32]] = False
@@ -70,10 +71,14 @@ class Tokens:
     def hashes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each token, and the rows' token offsets."""
         starts, ends, at = self.spans(data, offs)
-        self._grow(len(data))
+        return self.of_spans(data, (starts, ends))[0], at
+
+    def of_spans(self, data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Hashes of the bytes between starts and ends."""
+        self._grow(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD), at
+        return [mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD) for starts, ends in spans]
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
