@@ -40,6 +40,11 @@ def whole(events: DataFrame) -> DataFrame:
     return cut(events.select(*[(F.col(c).cast(t) if c in events.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()]))
 
 
+#: Tables of facts that stand at a path, with the kind of fact, and the others.
+PLACED = {"items": "item", "attrs": "attr", "relations": "relation", "kept": "kept", "types": "type", "cards": "card", "no_extract": "no_extract", "reviews": "review", "relink_skips": "relink_skip"}
+NAMED = ["aliases", "parents", "attr_defs", "searches"]
+
+
 # --- tags over time ---
 
 
@@ -80,12 +85,14 @@ def alias_spans(events: DataFrame) -> DataFrame:
     return cut(spans.select("alias", "tag", "since", F.least(F.coalesce("n", "stop"), F.coalesce("stop", "n")).alias("until")))
 
 
-def canonical(rows: DataFrame, spans: DataFrame, tag: str, at: Column, ident: str) -> DataFrame:
+def canonical(rows: DataFrame, spans: DataFrame | None, tag: str, at: Column, ident: str) -> DataFrame:
     """``rows`` with ``tag`` replaced by the name that it was an alias of at time ``at``, hop by hop.
 
     At most ``HOPS`` hops; a name that was passed before ends the chain. Only
     rows that still stand at an alias take part in the next hop.
     """
+    if spans is None:
+        return rows
     now = rows.select(ident, F.col(tag).alias("__tag"), at.alias("__at"), F.array(F.col(tag)).alias("__seen"))
     done = []
     for _ in range(HOPS):
@@ -102,7 +109,7 @@ def canonical(rows: DataFrame, spans: DataFrame, tag: str, at: Column, ident: st
     return rows.join(last, ident, "left").withColumn(tag, F.coalesce("__tag", F.col(tag))).drop("__tag")
 
 
-def tag_changes(events: DataFrame, spans: DataFrame) -> DataFrame:
+def tag_changes(events: DataFrame, spans: DataFrame | None) -> DataFrame:
     """(m, src, dst): renames, deletions (dst null) and aliases, which rename what bears the alias."""
     renames = events.filter("op = 'rename' AND src <> dst").select(F.col("seq").alias("m"), "src", "dst")
     deletes = events.filter("op = 'delete'").select(F.col("seq").alias("m"), F.col("tag").alias("src"), F.lit(None).cast("string").alias("dst"))
@@ -113,8 +120,8 @@ def tag_changes(events: DataFrame, spans: DataFrame) -> DataFrame:
 # --- facts ---
 
 
-def facts(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, fact, ends, root, path, other, key, value): facts and the events that end them; other: a relation's second path."""
+def facts(events: DataFrame, spans: DataFrame | None, wanted: set[str]) -> DataFrame:
+    """(id, fact, ends, root, path, other, key, value): facts of the ``wanted`` kinds and the events that end them; other: a relation's second path."""
     e = events
     empty, seq = F.lit(None).cast("string"), F.col("seq").alias("id")
 
@@ -128,17 +135,18 @@ def facts(events: DataFrame, spans: DataFrame) -> DataFrame:
     kind, text = F.coalesce(F.when(F.col("kind") != "", F.col("kind")), F.lit(RELATED)), lambda c: F.coalesce(c, F.lit(""))
     card = F.concat_ws("\x1f", text(F.col("description")), text(F.col("naming")))
     typed = text(F.col("type")) != ""
-    return cut(reduce(DataFrame.unionByName, [
-        items.select("id", "fact", "ends", "root", "path", "other", "key", "value"),
-        of("attr", op == "attr-set", op == "attr-unset", F.col("name"), F.col("value")),
-        of("relation", (op == "relate") & (F.col("src") != F.col("dst")), op == "unrelate", kind, path=F.col("src"), other=F.col("dst")),
-        of("kept", op == "keep", op == "unkeep", value=text(F.col("reason"))),
-        of("type", (op == "dir-type") & typed, (op == "dir-type") & ~typed, value=F.col("type")),
-        of("card", (op == "dir-card") & (card != "\x1f"), (op == "dir-card") & (card == "\x1f"), value=card),
-        of("no_extract", (op == "dir-extract") & (F.col("extract") == F.lit(False)), (op == "dir-extract") & ~(F.coalesce("extract", F.lit(True)) == F.lit(False))),
-        of("review", op == "review", None, text(F.col("sha256")), text(F.col("decision"))),
-        of("relink_skip", op == "relink-skip", None, text(F.col("sha256"))),
-    ]))
+    held = {
+        "item": items.select("id", "fact", "ends", "root", "path", "other", "key", "value"),
+        "attr": of("attr", op == "attr-set", op == "attr-unset", F.col("name"), F.col("value")),
+        "relation": of("relation", (op == "relate") & (F.col("src") != F.col("dst")), op == "unrelate", kind, path=F.col("src"), other=F.col("dst")),
+        "kept": of("kept", op == "keep", op == "unkeep", value=text(F.col("reason"))),
+        "type": of("type", (op == "dir-type") & typed, (op == "dir-type") & ~typed, value=F.col("type")),
+        "card": of("card", (op == "dir-card") & (card != "\x1f"), (op == "dir-card") & (card == "\x1f"), value=card),
+        "no_extract": of("no_extract", (op == "dir-extract") & (F.col("extract") == F.lit(False)), (op == "dir-extract") & ~(F.coalesce("extract", F.lit(True)) == F.lit(False))),
+        "review": of("review", op == "review", None, text(F.col("sha256")), text(F.col("decision"))),
+        "relink_skip": of("relink_skip", op == "relink-skip", None, text(F.col("sha256"))),
+    }
+    return cut(reduce(DataFrame.unionByName, [df for fact, df in held.items() if fact in wanted]))
 
 
 def reach(stops: DataFrame, trees: DataFrame) -> DataFrame:
@@ -151,21 +159,38 @@ def reach(stops: DataFrame, trees: DataFrame) -> DataFrame:
     return lone.unionByName(last.join(trees.select("root", "m", "end"), ["root", "m"], "left").select("id", F.coalesce("end", "pre").alias("hi")))
 
 
-def standing(held: DataFrame, moves: DataFrame, trees: DataFrame, changes: DataFrame) -> DataFrame:
+def _kept(held: DataFrame, moves: DataFrame, changes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The facts and ends that count, with their next move, and their names (id, tag, nx, since), one row for each name that a fact's key takes.
+
+    Of the facts (and of the ends) of one place under one name, with the same
+    next move and the same next change of the name, only the last one counts.
+    """
+    now = V.next_moves(held.withColumn("arrived", F.col("id")), moves, "path", "arrived", ["id"]).withColumn("nx", F.lit(None).cast("long"))
+    if changes is not None:
+        marks = changes.select(F.col("src").alias("key"), F.col("m").alias("mark"))
+        now = now.filter("fact <> 'item'").unionByName(V.following(now.filter("fact = 'item'").drop("nx"), marks, ["key"], "id", "nx"))
+    rest = [c for c in (*held.columns, "rest") if c not in ("fact", "ends", "root", "path", "key")]
+    place = ["fact", "ends", "root", "path", "key", "n", "nx"]
+    now = cut(now.groupBy(*place).agg(F.max_by(F.struct(*rest), "id").alias("last")).select(*place, "last.*"))
+    names = now.select("id", F.coalesce("key", F.lit("")).alias("tag"), F.coalesce("nx", F.lit(-1).cast("long")).alias("nx"), F.lit(-1).cast("long").alias("since"))
+    if changes is not None:
+        later = now.filter("nx IS NOT NULL AND NOT ends").select("id", F.col("nx").alias("n")).join(tag_places(tag_forest(changes)), "n")
+        names = cut(names.unionByName(later.select("id", "tag", F.coalesce("nx", F.lit(-1).cast("long")).alias("nx"), "since")))
+    return now.drop("nx"), names
+
+
+def standing(held: DataFrame, moves: DataFrame, trees: DataFrame, changes: DataFrame | None, valued: bool = True) -> DataFrame:
     """The facts (id, fact, root, path, key, value, order) that stand at last, not yet one per place.
 
+    ``changes``: what happens to tags, null if nothing; ``valued``: there are
+    facts with values, which need ``order``.
+
     ``order`` sorts the facts of one place as they came to it: by when they
     came there, then by how those that came together stood before.
     """
-    segs, ends = V.segments(held.select("id", "root", "path", F.col("id").alias("seq")), moves, trees)
-    # names over time: one row for each name that the fact's key takes
-    places = tag_places(tag_forest(changes))
-    tagged = held.filter("fact = 'item'").select("id", F.col("key").alias("tag"), "ends")
-    first = cut(V.following(tagged, changes.select(F.col("src").alias("tag"), F.col("m").alias("mark")), ["tag"], "id", "nx"))
-    renamed = first.filter("nx IS NOT NULL AND NOT ends").select("id", F.col("nx").alias("n")).join(places, "n").select("id", "tag", "nx", "since")
-    names = first.select("id", "tag", "nx", F.lit(-1).cast("long").alias("since")).unionByName(renamed)
-    names = names.unionByName(held.filter("fact <> 'item'").select("id", F.coalesce("key", F.lit("")).alias("tag"), F.lit(None).cast("long").alias("nx"), F.lit(-1).cast("long").alias("since")))
-    names = cut(names.withColumn("nx", F.coalesce("nx", F.lit(-1).cast("long"))))
+    held, names = _kept(held, moves, changes)
+    segs, ends = V.segments(held.select("id", "root", "path", F.col("id").alias("arrived"), "n", "rest"), trees)
+    held = held.drop("n", "rest")
     kinds = held.select("id", "fact", "ends")
     ended = kinds.filter("ends").select("fact").distinct()
     live = kinds.filter("NOT ends").join(F.broadcast(ended), "fact", "left_semi")
@@ -192,11 +217,14 @@ def standing(held: DataFrame, moves: DataFrame, trees: DataFrame, changes: DataF
     gone.append(ends.join(starts, "id").join(final, [*key, "path"]).filter(F.col("s") > F.greatest("arrived", "since")).select("id"))
     dead = reduce(DataFrame.unionByName, gone).distinct()
     last = names.filter("nx = -1").select("id", "tag")  # a deleted tag has no last name
-    came = reach(segs.select(F.concat_ws("/", "id", "i").alias("id"), "root", "e", "arrived", "pre"), trees)
-    spot = segs.withColumn("key", F.concat_ws("/", "id", "i")).join(came.withColumnRenamed("id", "key"), "key")
-    way = spot.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("i")).alias("i"), "hi", "arrived"))).alias("way"))
-    out = held.filter("NOT ends").drop("path", "key").join(ends.drop("root", "n_segments"), "id").join(last, "id").join(dead, "id", "left_anti").join(way, "id", "left")
-    order = F.struct("arrived", F.coalesce(F.transform("way", lambda w: F.struct(w["hi"], w["arrived"])), F.array()).alias("way"), "id")
+    out = held.filter("NOT ends").drop("path", "key").join(ends.drop("root", "n_segments"), "id").join(last, "id").join(dead, "id", "left_anti")
+    order = F.lit(0)
+    if valued:
+        came = reach(segs.select(F.concat_ws("/", "id", "i").alias("id"), "root", "e", "arrived", "pre"), trees)
+        spot = segs.withColumn("key", F.concat_ws("/", "id", "i")).join(came.withColumnRenamed("id", "key"), "key")
+        way = spot.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("i")).alias("i"), "hi", "arrived"))).alias("way"))
+        out = out.join(way, "id", "left")
+        order = F.struct("arrived", F.coalesce(F.transform("way", lambda w: F.struct(w["hi"], w["arrived"])), F.array()).alias("way"), "id")
     return cut(out.select("id", "fact", "root", "path", "other", F.col("tag").alias("key"), "value", order.alias("order")))
 
 
@@ -211,7 +239,7 @@ def _relations(held: DataFrame, moves: DataFrame, trees: DataFrame) -> DataFrame
         rel.select(F.concat_ws("/", F.lit("b"), "id").alias("sid"), "root", F.col("other").alias("path"), F.col("id").alias("seq"), "id", F.lit("b").alias("side"))
     )
     sides = cut(sides)
-    segs, ends = V.segments(sides, moves, trees, ident=("sid",))
+    segs, ends = V.segments(cut(V.next_moves(sides.withColumnRenamed("seq", "arrived"), moves, "path", "arrived", ["sid"])), trees, ("sid",))
     stop_ids = rel.filter("ends").select("id")
     stops = sides.join(stop_ids, "id").select("sid", "id")
     own = segs.filter("i = 0").join(stops, "sid")
@@ -272,38 +300,51 @@ def _last(events: DataFrame, start: str, stop: str, *values: str) -> DataFrame:
     return held.filter(F.col("v.op") == start).select("name", *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def fold(events: DataFrame) -> dict[str, DataFrame]:
+def fold(events: DataFrame, tables: list[str] | None = None) -> dict[str, DataFrame]:
     """The state by table: items, attrs, relations, kept, types, cards, no_extract, reviews, relink_skips, aliases, parents, attr_defs, searches.
 
     A fact that comes to the place of another one (by a move) takes it over if
     it came later; under a tag both merge. Unknown kinds of events, moves of a
     root itself and moves to the same path change nothing; an empty log gives
-    empty tables.
+    empty tables. ``tables``: those that are wanted, all if null.
     """
+    wanted = set(tables or [*PLACED, *NAMED])
     e = whole(events)
-    spans = alias_spans(e)
-    changes = tag_changes(e, spans)
+    used = {r[0] for r in e.filter(F.col("op").isin("alias", "rename", "delete")).select("op").distinct().collect()}
+    spans = alias_spans(e) if "alias" in used or "aliases" in wanted else None
+    out = {}
+    if "aliases" in wanted:
+        out["aliases"] = spans.filter("until IS NULL").select("alias", "tag")
+    if "parents" in wanted:
+        out["parents"] = _parents(e)
+    if "attr_defs" in wanted:
+        out["attr_defs"] = _last(e, "attr-def", "attr-undef", "type", "choices")
+    if "searches" in wanted:
+        out["searches"] = _last(e, "search-save", "search-delete", "query")
+    placed = {t: f for t, f in PLACED.items() if t in wanted}
+    if not placed:
+        return out
     moves = cut(e.filter("op = 'move' AND src <> '' AND src <> dst").select("root", F.col("seq").alias("m"), "src", "dst"))
     trees = V.forest(moves)
-    held = facts(e, spans)
-    undefined = e.filter("op = 'attr-undef'").groupBy(F.col("name").alias("key")).agg(F.max("seq").alias("undefined"))
-    stand = standing(held.filter("fact <> 'relation'"), moves, trees, changes)
-    stand = stand.join(undefined, "key", "left").filter("fact <> 'attr' OR undefined IS NULL OR undefined < id").drop("undefined")
+    held = facts(e, spans, set(placed.values()))
+    if "relations" in wanted:
+        out["relations"] = _relations(held, moves, trees)
+    if set(placed) == {"relations"}:
+        return out
+    stand = standing(held.filter("fact <> 'relation'"), moves, trees, tag_changes(e, spans) if used else None, bool({"attrs", "kept", "types", "cards", "reviews"} & set(placed)))
+    if "attrs" in wanted:
+        undefined = e.filter("op = 'attr-undef'").groupBy(F.col("name").alias("key")).agg(F.max("seq").alias("undefined"))
+        stand = stand.join(undefined, "key", "left").filter("fact <> 'attr' OR undefined IS NULL OR undefined < id").drop("undefined")
     one = cut(stand.groupBy("fact", "root", "path", "key").agg(F.max_by("value", "order").alias("value")))
-    of = lambda fact, *columns: one.filter(F.col("fact") == fact).select("root", "path", *columns)
     part = lambda i: F.split_part(F.col("value"), F.lit("\x1f"), F.lit(i))
-    return {
-        "items": of("item", F.col("key").alias("tag")),
-        "attrs": of("attr", F.col("key").alias("name"), "value"),
-        "relations": _relations(held, moves, trees),
-        "kept": of("kept", F.col("value").alias("reason")),
-        "types": of("type", F.col("value").alias("type")),
-        "cards": of("card", part(1).alias("description"), part(2).alias("naming")),
-        "no_extract": of("no_extract"),
-        "reviews": of("review", F.col("key").alias("sha256"), F.col("value").alias("decision")),
-        "relink_skips": of("relink_skip", F.col("key").alias("sha256")),
-        "aliases": spans.filter("until IS NULL").select("alias", "tag"),
-        "parents": _parents(e),
-        "attr_defs": _last(e, "attr-def", "attr-undef", "type", "choices"),
-        "searches": _last(e, "search-save", "search-delete", "query"),
+    columns = {
+        "items": [F.col("key").alias("tag")],
+        "attrs": [F.col("key").alias("name"), F.col("value")],
+        "kept": [F.col("value").alias("reason")],
+        "types": [F.col("value").alias("type")],
+        "cards": [part(1).alias("description"), part(2).alias("naming")],
+        "no_extract": [],
+        "reviews": [F.col("key").alias("sha256"), F.col("value").alias("decision")],
+        "relink_skips": [F.col("key").alias("sha256")],
     }
+    return out | {t: one.filter(F.col("fact") == placed[t]).select("root", "path", *c) for t, c in columns.items() if t in placed}

@@ -9,45 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import paths as P
 from ..sources.shared import cut as _cut
+from .fold import fold
 
 
 def fold_tags(events: DataFrame) -> DataFrame:
-    """(root, path, tag): the tags that stand after all events, add, remove and move, in order of ``seq``.
-
-    A wave: each fact looks for its next move (the smallest later seq whose
-    source is its path or above) and is re-keyed; ``hist`` keeps the seqs of
-    the moves that carried it, last first, and its own seq at the end. Facts
-    without moves end in the first round, and waves go on until none is left:
-    each takes a later move, so they end. Then the histories are folded from
-    their ends: of the facts that one move carried from one place the last
-    one counts, and only if it is an add, at the move's seq; so a mover beats
-    what was at its destination and loses to what comes later.
-    """
-    facts = events.filter(F.col("op").isin("add", "remove")).select("root", "path", "tag", "op", F.array("seq").alias("hist"))
-    moves = events.filter("op = 'move' AND src <> ''").select("root", "src", "dst", F.col("seq").alias("m"))
-    prefix = F.slice("hist", F.lit(1), F.size("hist") - 1)
-    own = F.element_at("hist", -1)
-
-    def last_of(df: DataFrame, *more) -> DataFrame:
-        w = W.partitionBy("root", "path", "tag", prefix, *more).orderBy(F.desc(own))
-        return df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
-
-    waves = []  # the facts that ended in each wave; their histories have as many seqs as the wave's number
-    while True:
-        up = facts.select("*", F.explode(P.self_and_ancestors(F.col("path"))).alias("src"))
-        key = ["root", "path", "tag", "hist"]
-        nxt = up.join(moves, ["root", "src"]).filter(F.col("m") > F.col("hist")[0]).groupBy(*key).agg(F.min(F.struct("m", "src", "dst")).alias("mv"))
-        held = _cut(last_of(facts.join(nxt, key, "left"), F.coalesce("mv.m", F.lit(-1))))
-        waves.append(held.filter("mv IS NULL").select("root", "path", "tag", "op", "hist"))
-        facts = held.filter("mv IS NOT NULL").select("root", F.concat("mv.dst", F.substring("path", F.length("mv.src") + 1, F.length("path"))).alias("path"), "tag", "op", F.concat(F.array("mv.m"), "hist").alias("hist"))
-        if facts.isEmpty():
-            break
-    still = waves.pop()
-    while waves:
-        carried = last_of(still).filter("op = 'add'").withColumn("hist", prefix)
-        still = waves.pop().union(carried)
-        still = _cut(still) if len(waves) % 8 == 7 else still
-    return last_of(still).filter("op = 'add'").select("root", "path", "tag")
+    """(root, path, tag): the tags that stand after all events, add, remove and move (also rename, delete and alias), in order of ``seq``."""
+    return fold(events, ["items"])["items"]
 
 
 def last_values(events: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ def following(rows: DataFrame, marks: DataFrame, key: list[str], at: str, into:
     held = held.unionByName(marks.select(*key, F.col("mark").alias("__t"), F.lit(0).alias("__kind"), F.col("mark").alias("__m")), allowMissingColumns=True)
     order = ["__t", "__kind"]
     dealt = cut(held.repartitionByRange(*key, *order).withColumn("__range", F.spark_partition_id()))
-    later = W.partitionBy(*key).orderBy("__range").rowsBetween(1, W.unboundedFollowing)
-    heads = dealt.groupBy(*key, "__range").agg(F.min("__m").alias("__head")).withColumn("__next", F.first("__head", ignorenulls=True).over(later)).filter("__next IS NOT NULL").drop("__head")
-    inside = W.partitionBy(*key, "__range").orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    near = dealt.withColumn("__near", F.first("__m", ignorenulls=True).over(inside)).filter("__kind = 1")
+    later = W.partitionBy(*key).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
+    heads = dealt.groupBy(*key, "__range").agg(F.min("__m").alias("__head")).withColumn("__next", F.last("__head", ignorenulls=True).over(later)).filter("__next IS NOT NULL").drop("__head")
+    inside = W.partitionBy(*key, "__range").orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    near = dealt.withColumn("__near", F.last("__m", ignorenulls=True).over(inside)).filter("__kind = 1")
     return near.join(F.broadcast(heads), [*key, "__range"], "left").withColumn(into, F.coalesce("__near", "__next")).select(*rows.columns, into)
 
 
@@ -91,8 +91,8 @@ def exits(trees: DataFrame) -> DataFrame:
     return cut(inner.select(*columns).unionByName(last.select(*columns)))
 
 
-def segments(rows: DataFrame, moves: DataFrame, trees: DataFrame, path: str = "path", at: str = "seq", ident: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
-    """Where the places of ``rows`` go: (segments, ends).
+def segments(now: DataFrame, trees: DataFrame, ident: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """Where places go: (segments, ends). now: ident, root, path, arrived, and n and rest of ``next_moves``.
 
     segments: ident, root, i (0, 1, ...), e (the move it enters its tree by),
     rest (below that move's source), arrived (when it came to that place), top,
@@ -101,8 +101,6 @@ def segments(rows: DataFrame, moves: DataFrame, trees: DataFrame, path: str = "p
     when, and n_segments.
     """
     ident = list(ident)
-    now = next_moves(rows.select(*ident, "root", F.col(path).alias("path"), F.col(at).alias("arrived")), moves, "path", "arrived", ident)
-    now = cut(now)
     ends = [now.filter("n IS NULL").select(*ident, "root", "path", "arrived", F.lit(0).alias("n_segments"))]
     now = now.filter("n IS NOT NULL").select(*ident, "root", F.col("n").alias("e"), "rest", "arrived")
     out, i, ways = [], 0, exits(trees)
