@@ -6,6 +6,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,3 +105,21 @@ def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> tuple[n
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that uses names with two leading underscores for itself: columns of the input that bear such a name are kept under another one meanwhile."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        aside: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                name = f"kept{c}"
+                while name in docs.columns:
+                    name = f"kept_{name}"
+                aside[c] = name
+        out = stage(docs.withColumnsRenamed(aside), *args, **more)
+        return out.withColumnsRenamed({name: c for c, name in aside.items()})
+
+    return run

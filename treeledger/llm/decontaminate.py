@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import own_names, words_of, written
 
 #: Bytes of windows up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -98,6 +98,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     return per.withColumn("__i", F.explode_outer(F.sequence(F.lit(1), F.col("__rows").cast("int")))).drop("__i", "__rows")
 
 
+@own_names
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, min_hit: int = 1) -> DataFrame:
     """``docs`` without the documents of which ``min_hit`` or more words are inside benchmark windows; its columns stay as they are, whatever their names."""
     flagged = overlaps(docs, bench, n).filter(F.col("n_hit") >= min_hit)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tokens, running, written
+from .common import n_tokens, own_names, running, written
 
 CAP = 3
 #: Source rows up to which their table is broadcast; beyond, Spark's skew join splits hot sources.
@@ -67,6 +67,7 @@ def planned(docs: DataFrame, seed: str = "mix") -> DataFrame:
     )
 
 
+@own_names
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as often as the plan takes it, with its own columns."""
     kept = planned(docs, seed).filter(F.col("__copies") > 0)

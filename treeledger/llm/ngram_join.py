@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, release, written
+from .common import most_frequent, own_names, release, written
 from .components import components
 from .textbytes import Tokens, chunks, mix64, shingles
 
@@ -528,6 +528,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
 
 
+@own_names
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, then of the smallest text hash.
 

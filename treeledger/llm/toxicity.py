@@ -14,14 +14,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import own_names, written
 from .textbytes import chunks
 
 SEGMENT, BUCKETS, DIM, GRAMS = 6, 1 << 18, 8, (3, 4, 5, 6)
-#: The classifier's bounded sample of labelled rows, of each label, and the most characters of a text in it: of a longer
-#: one a run of so many is taken, at a place that a hash of its id chooses (more of a toxic one, whose toxic words may be anywhere).
-SAMPLE, SAMPLE_CHARS = {1: 1250, 0: 4000}, {1: 32_000, 0: 8_000}
+#: The classifier's bounded sample of labelled rows, of each label: rows with the smallest hashes of their ids, as many as
+#: this, and until their whole texts have so many characters (the last text may go beyond).
+SAMPLE, SAMPLE_CHARS = {1: 1250, 0: 4000}, {1: 5_000_000, 0: 8_000_000}
 #: Bytes of the sample that are cut into n-grams at a time: bounds the driver's memory.
 SAMPLE_CHUNK = 1 << 18
 #: Every so many texts of the sample set the scale and threshold only.
@@ -205,22 +207,30 @@ def bucket(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> DataFrame:
-    """(doc_id, text, toxic): at most ``SAMPLE`` labelled texts of each label, those with the smallest hash of their id.
+def _bounded(rows: DataFrame, n: int, chars: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by a hash of doc_id, up to the one in which the texts before exceed ``chars``; rows have ``chars``."""
+    key = F.xxhash64("doc_id")
+    first = rows.orderBy(key, "doc_id", *order).limit(n)
+    before = F.sum("chars").over(W.orderBy(key, "doc_id", *order).rowsBetween(W.unboundedPreceding, -1))  # n rows at most
+    return first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < chars).drop("before")
+
 
-    Labels of held-out ids, null labels and null texts aren't used; an id that
-    is marked both toxic and clean counts as toxic.
+def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None, chars: dict[int, int] | None = None) -> DataFrame:
+    """(doc_id, text, toxic): whole labelled texts, at most ``SAMPLE`` of each label and about ``SAMPLE_CHARS`` characters.
+
+    Labels of held-out ids and of ids without a text, null labels and null
+    texts aren't used; an id that is marked both toxic and clean counts as
+    toxic. Ids are chosen among all rows that have a label and a text.
     """
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (bucket(F.col("doc_id")) != 0))
-    marks = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (bucket(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    key = F.xxhash64("doc_id")
+    learnt = bucket(F.col("doc_id")) != 0
+    marks = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & learnt).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & learnt).withColumn("chars", F.length("text"))
+    held = written(rows.select("doc_id", "chars").join(marks, "doc_id"))
     parts = []
     for value, n in (most or SAMPLE).items():
-        width = SAMPLE_CHARS[value]
-        at = F.pmod(F.xxhash64("doc_id", F.lit(value)), F.greatest(F.length("text") - width + 1, F.lit(1)))
-        chosen = marks.filter(F.col("toxic") == value).orderBy(key, "doc_id").limit(3 * n)
-        held = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", at.cast("int") + 1, F.lit(width)).alias("text"), "toxic")
-        parts.append(held.orderBy(key, "doc_id", "text").limit(n))
+        room = (chars or SAMPLE_CHARS)[value]
+        chosen = _bounded(held.filter(F.col("toxic") == value), n, room, "chars").select("doc_id", "toxic").distinct()
+        parts.append(_bounded(rows.join(F.broadcast(chosen), "doc_id"), n, room, "chars", "text").select("doc_id", "text", "toxic"))
     return parts[0].unionByName(parts[1])
 
 
@@ -261,8 +271,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], into: str = "__score
     return docs.drop(into).mapInArrow(run, schema)
 
 
+@own_names
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; an empty table stays empty."""
+    """``docs`` without those that score ``threshold`` or more; an empty table stays empty, a column of any name is kept as it is."""
     scored = score(docs, fit(docs, labels))
     return scored.filter(F.col("__score") < threshold).select(*docs.columns)
 
