@@ -25,6 +25,12 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def name_key(s: pd.Series) -> pd.Series:
+    """What names are compared by where letter case and normal form don't count."""
+    return s.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -111,6 +111,26 @@ def file_findings(entries: DataFrame, devices: list[str] = ()) -> DataFrame:
     return plain.union(copies.select("root", "category", "relpath", F.lit(False), F.lit(1).cast("long"), "size", ~same))
 
 
+def required(entries: DataFrame, devices: list[str] = (), versions: DataFrame | None = None) -> DataFrame:
+    """(root, relpath, requires, requires_size, requires_mtime_ns): what a finding relies on.
+
+    A conflict copy relies on its original beside it, an old version (of
+    ``versions``, see ``old_versions``) on the later one; a folder's size is -1,
+    so only that it is there counts.
+    """
+    p = F.col("relpath")
+    files = entries.filter(_file()).select("root", "relpath", "size", "mtime_ns", P.parent(p).alias("dir"), P.basename(p).alias("name"), N.classify_file(p, F.col("size"), devices).alias("category"), N.conflict_original(p, devices).alias("original"))
+    beside = files.select("root", "dir", F.col("name").alias("original"), p.alias("requires"), F.col("size").alias("requires_size"), F.col("mtime_ns").alias("requires_mtime_ns"))
+    columns = ["root", "relpath", "requires", "requires_size", "requires_mtime_ns"]
+    out = files.filter("category = 'conflict'").join(beside, ["root", "dir", "original"]).select(*columns)
+    if versions is None:
+        return out
+    newer = old_versions(entries, versions).select("root", "relpath", F.col("newer").alias("requires"))
+    now = files.select("root", p.alias("requires"), F.col("size").alias("requires_size"), F.col("mtime_ns").alias("requires_mtime_ns"))
+    later = newer.join(now, ["root", "requires"], "left").withColumn("requires_size", F.coalesce("requires_size", F.lit(-1))).withColumn("requires_mtime_ns", F.coalesce("requires_mtime_ns", F.lit(-1)))
+    return out.unionByName(later.join(out, ["root", "relpath"], "left_anti").select(*columns))
+
+
 def old_versions(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """(root, relpath, newer, is_dir, files, size): what is there still and has a later version there still; pairs: root, old, newer (the last path counts)."""
     p = F.col("relpath")

@@ -311,30 +311,70 @@ def evaluation_sample(spark, d):
     return U.stratified(T.read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 40, "seed")
 
 
-@query(f"{W}, {_FOUND} SELECT f.root, 'quarantine' AS action, f.relpath AS path, f.is_dir, count(*) AS files, sum(e.size)::BIGINT AS size, max(e.mtime_ns) AS mtime_ns, f.category FROM found f JOIN entries e ON e.root = f.root AND (e.relpath = f.relpath OR (f.is_dir AND starts_with(e.relpath, f.relpath || '/'))) WHERE NOT needs_review GROUP BY ALL")
-def plan_build(spark, d):
-    e = _docs(spark, d)
-    return C.build(H.findings(e), e)
+_LATER = "nw AS (SELECT root, relpath, CASE WHEN doc_id % 23 = 0 THEN size + 1 ELSE size END AS size, mtime_ns, inode FROM entries WHERE doc_id % 19 <> 0)"
 
 
-@query(f"{W}, {T.OBS_SQL} SELECT e.root, e.relpath AS path, CASE WHEN o.relpath IS NULL THEN 'missing' WHEN o.inode <> e.inode THEN 'replaced' WHEN o.size <> e.size OR o.mtime_ns <> e.mtime_ns THEN 'changed' WHEN t.relpath IS NOT NULL THEN 'destination exists' END AS problem FROM entries e LEFT JOIN obs o ON o.relpath = e.relpath LEFT JOIN obs t ON t.relpath = 'moved/' || e.relpath")
+@query(f"""{W}, {_FOUND}, {_LATER}, q AS (SELECT a.root, a.relpath, o.relpath AS requires, o.size AS requires_size, o.mtime_ns AS requires_mtime_ns FROM entries a JOIN entries o ON o.root = a.root AND o.relpath = replace(replace(a.relpath, ' (1).txt', '.txt'), ' - copy.txt', '.txt') AND o.relpath <> a.relpath),
+ p AS (SELECT f.root, 'quarantine' AS action, f.relpath AS path, f.is_dir, count(*) AS files, sum(n.size)::BIGINT AS size, max(n.mtime_ns) AS mtime_ns, max(CASE WHEN n.relpath = f.relpath THEN n.inode END) AS inode, f.category FROM found f JOIN nw n ON n.root = f.root AND (n.relpath = f.relpath OR (f.is_dir AND starts_with(n.relpath, f.relpath || '/'))) GROUP BY ALL)
+SELECT p.*, q.requires, q.requires_size, q.requires_mtime_ns FROM p LEFT JOIN q ON q.root = p.root AND q.relpath = p.path LEFT JOIN nw r ON r.root = q.root AND r.relpath = q.requires LEFT JOIN entries e ON e.root = p.root AND e.relpath = p.path
+WHERE (p.is_dir OR (e.size = p.size AND e.mtime_ns = p.mtime_ns)) AND (q.requires IS NULL OR (r.size = q.requires_size AND r.mtime_ns = q.requires_mtime_ns))""")
+def plan_build(spark, d):
+    """Reviews included; a listing made later, in which files are gone or changed, decides what still holds."""
+    e = _docs(spark, d)
+    i = F.floor(F.col("entry_id") / 2)
+    now = e.filter(i % 19 != 0).withColumn("size", F.when(i % 23 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return C.build(H.findings(e), e, reviews=True, requires=H.required(e), now=now)
+
+
+@query(f"""{W}, {T.OBS_SQL}, fst AS (SELECT *, first_value(relpath) OVER w AS fp, first_value(size) OVER w AS fs, first_value(mtime_ns) OVER w AS fm FROM entries WINDOW w AS (PARTITION BY root, {_PAR} ORDER BY relpath)),
+ ops AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'moved/' || relpath WHEN 1 THEN {_PAR} || '/' || upper(string_split(fp, '/')[-1]) WHEN 2 THEN 'NEW/' || relpath END AS dest, CASE WHEN doc_id % 4 = 1 THEN fp END AS requires, CASE WHEN doc_id % 8 = 1 THEN -1 ELSE fs END AS rsize, fm AS rtime FROM fst),
+ dirs AS (SELECT root, {_anc('relpath')}[2] AS relpath, count(*) AS files, sum(size)::BIGINT AS size, max(mtime_ns) AS mtime_ns FROM entries GROUP BY ALL),
+ od AS (SELECT root, {_anc('relpath')}[2] AS relpath, count(*) AS files, sum(size)::BIGINT AS size, max(mtime_ns) AS mtime_ns FROM obs GROUP BY ALL),
+ un AS (SELECT root, unnest(list_append({_anc('relpath')}, relpath)) AS relpath FROM obs), kd AS (SELECT DISTINCT root, relpath, {_PAR} AS par, lower({_NAME}) AS key FROM un WHERE relpath <> ''),
+ st AS (SELECT root, relpath AS path, dest, unnest(list_append({_anc('dest')}, dest)) AS step FROM ops WHERE dest IS NOT NULL), sk AS (SELECT *, regexp_replace(step, '(^|/)[^/]*$', '') AS par, lower(string_split(step, '/')[-1]) AS key FROM st WHERE step <> ''),
+ cl AS (SELECT DISTINCT sk.root, path FROM sk JOIN kd ON kd.root = sk.root AND kd.par = sk.par AND kd.key = sk.key WHERE kd.relpath <> step AND kd.relpath <> path AND NOT starts_with(path, kd.relpath || '/')),
+ ex AS (SELECT DISTINCT root, relpath FROM un)
+SELECT p.root, p.relpath AS path, CASE WHEN o.relpath IS NULL THEN 'missing' WHEN o.inode <> p.inode THEN 'replaced' WHEN o.size <> p.size OR o.mtime_ns <> p.mtime_ns THEN 'changed'
+ WHEN p.requires IS NOT NULL AND r.relpath IS NULL THEN 'prerequisite missing' WHEN p.requires IS NOT NULL AND p.rsize >= 0 AND (r.size <> p.rsize OR r.mtime_ns <> p.rtime) THEN 'prerequisite changed'
+ WHEN x.relpath IS NOT NULL THEN 'destination exists' WHEN c.path IS NOT NULL THEN 'case clash' END AS problem
+FROM ops p LEFT JOIN obs o ON o.root = p.root AND o.relpath = p.relpath LEFT JOIN obs r ON r.root = p.root AND r.relpath = p.requires LEFT JOIN ex x ON x.root = p.root AND x.relpath = p.dest LEFT JOIN cl c ON c.root = p.root AND c.path = p.relpath
+UNION ALL SELECT d.root, d.relpath, CASE WHEN o.relpath IS NULL THEN 'missing' WHEN o.files <> d.files OR o.size <> d.size OR o.mtime_ns <> d.mtime_ns THEN 'changed' END FROM dirs d LEFT JOIN od o USING (root, relpath)""")
 def plan_check(spark, d):
+    """Moves, quarantines with prerequisites, and folders, against the listing of one scan later."""
     e = _docs(spark, d)
-    ops = e.select("root", F.col("relpath").alias("path"), F.concat(F.lit("moved/"), "relpath").alias("dest"), "inode", "size", "mtime_ns", "is_dir")
-    return C.check(ops, T.second_observation(e)).select("root", "path", "problem")
+    i = F.floor(F.col("entry_id") / 2)
+    p = F.col("relpath")
+    firsts = e.groupBy("root", P.parent(p).alias("dir")).agg(F.min(F.struct("relpath", "size", "mtime_ns")).alias("f"))
+    dest = F.when(i % 5 == 0, F.concat(F.lit("moved/"), p)).when(i % 5 == 1, F.concat("dir", F.lit("/"), F.upper(P.basename(F.col("f.relpath"))))).when(i % 5 == 2, F.concat(F.lit("NEW/"), p))
+    wants = F.when(i % 4 == 1, F.col("f.relpath"))
+    files = e.withColumn("dir", P.parent(p)).join(firsts, ["root", "dir"]).select("root", p.alias("path"), dest.alias("dest"), "inode", F.lit(1).cast("long").alias("files"), "size", "mtime_ns", "is_dir", wants.alias("requires"), F.when(i % 8 == 1, -1).otherwise(F.col("f.size")).cast("long").alias("requires_size"), F.col("f.mtime_ns").alias("requires_mtime_ns"))
+    top = e.groupBy("root", F.element_at(P.ancestors(p), 2).alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.max("mtime_ns").alias("mtime_ns")).withColumn("is_dir", F.lit(True))
+    return C.check(files.unionByName(top, allowMissingColumns=True), T.second_observation(e)).select("root", "path", "problem")
 
 
-@query("""WITH j AS (SELECT 'p' || (user_id % 50) AS plan_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'apply' WHEN 'view' THEN 'moved' WHEN 'purchase' THEN 'restored' WHEN 'error' THEN 'purged' ELSE 'applied' END AS event, 'f' || (event_id % 7) AS path FROM events),
- i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, path ORDER BY seq DESC) AS r FROM j WHERE event IN ('moved', 'restored', 'purged')) WHERE r = 1),
- p AS (SELECT plan_id, count(*) FILTER (event = 'moved') AS pending, count(*) FILTER (event = 'restored') AS restored, count(*) FILTER (event = 'purged') AS purged FROM i GROUP BY plan_id),
- f AS (SELECT plan_id, max(seq) FILTER (event = 'apply') AS b, max(seq) FILTER (event = 'applied') AS e FROM j GROUP BY plan_id)
-SELECT f.plan_id, CASE WHEN b IS NULL THEN 'draft' WHEN coalesce(pending, 0) = 0 AND coalesce(purged, 0) > 0 THEN 'purged' WHEN coalesce(pending, 0) = 0 AND coalesce(restored, 0) > 0 THEN 'undone' WHEN coalesce(restored, 0) > 0 THEN 'partially-undone' WHEN e IS NULL OR e < b THEN 'interrupted' ELSE 'applied' END AS state, coalesce(pending, 0) AS pending, coalesce(restored, 0) AS restored, coalesce(purged, 0) AS purged FROM f LEFT JOIN p USING (plan_id)""")
-def journal_state(spark, d):
+_JOURNAL = """WITH j AS (SELECT 'p' || (user_id % 997) AS plan_id, event_id AS seq, CASE WHEN event_id % 13 < 2 THEN 'apply' WHEN event_id % 13 < 5 THEN 'quarantine' WHEN event_id % 13 < 6 THEN 'move' WHEN event_id % 13 < 8 THEN 'finish' WHEN event_id % 13 < 9 THEN 'abort' WHEN event_id % 13 < 11 THEN 'restore' WHEN event_id % 13 = 11 THEN 'purge' ELSE 'other' END AS event, 'f' || (event_id % 3) AS path, floor(value)::BIGINT AS size FROM events)"""
+_PENDING = """s AS (SELECT plan_id, path, max(seq) AS settled FROM j WHERE event IN ('restore', 'purge') GROUP BY ALL),
+ pd AS (SELECT j.plan_id, j.path, arg_max(event, seq) AS event, arg_max(size, seq) AS size, min(seq) AS began FROM j LEFT JOIN s USING (plan_id, path) WHERE event IN ('quarantine', 'move') AND (settled IS NULL OR seq > settled) GROUP BY ALL)"""
+
+
+def _journal(spark, d):
     e = T.read(spark, d, "events")
-    t = F.col("event_type")
-    event = F.when(t == "click", "apply").when(t == "view", "moved").when(t == "purchase", "restored").when(t == "error", "purged").otherwise("applied")
-    j = e.select(F.concat(F.lit("p"), (F.col("user_id") % 50).cast("string")).alias("plan_id"), F.col("event_id").alias("seq"), event.alias("event"), F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("path"))
-    return C.journal_state(j)
+    m = F.col("event_id") % 13
+    event = F.when(m < 2, "apply").when(m < 5, "quarantine").when(m < 6, "move").when(m < 8, "finish").when(m < 9, "abort").when(m < 11, "restore").when(m == 11, "purge").otherwise("other")
+    return e.select(F.concat(F.lit("p"), (F.col("user_id") % 997).cast("string")).alias("plan_id"), F.col("event_id").alias("seq"), event.alias("event"), F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string")).alias("path"), F.floor("value").cast("long").alias("size"))
+
+
+@query(f"""{_JOURNAL}, {_PENDING}, a AS (SELECT plan_id, max(seq) AS run FROM j WHERE event = 'apply' GROUP BY ALL),
+ f AS (SELECT j.plan_id, a.run, bool_or(event = 'restore') AS restored, bool_or(event = 'purge') AS purged, coalesce(bool_or(event = 'finish' AND seq > run), false) AS finished, min(CASE WHEN event = 'abort' AND seq > run THEN seq END) AS aborted, min(CASE WHEN event IN ('quarantine', 'move') AND seq > run THEN seq END) AS acted FROM j LEFT JOIN a USING (plan_id) GROUP BY ALL),
+ n AS (SELECT plan_id, count(*) AS pending, sum(size)::BIGINT AS pending_size FROM pd GROUP BY ALL)
+SELECT plan_id, CASE WHEN run IS NULL OR (aborted IS NOT NULL AND (acted IS NULL OR aborted < acted)) THEN 'draft' WHEN NOT finished THEN 'interrupted' WHEN purged AND pending IS NULL THEN 'purged' WHEN restored AND pending IS NOT NULL THEN 'partially-undone' WHEN restored THEN 'undone' ELSE 'applied' END AS state, coalesce(pending, 0) AS pending, coalesce(pending_size, 0) AS pending_size FROM f LEFT JOIN n USING (plan_id)""")
+def journal_state(spark, d):
+    return C.journal_state(_journal(spark, d))
+
+
+@query(f"{_JOURNAL}, {_PENDING} SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY began DESC) AS undo FROM pd")
+def pending_restores(spark, d):
+    return C.pending_restores(_journal(spark, d))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
