@@ -9,6 +9,8 @@ from .functions import paths as P
 from .functions.text import highlight, nfkc_casefold
 from .operators import browse as B
 from .operators import decide as D
+from .operators import dictionary as K
+from .operators import fold as G
 from .operators import history as H
 from .operators import hygiene as Y
 from .operators import meta as M
@@ -405,7 +407,7 @@ def all_tag_names(spark, d):
     return t.select("tag").union(alias).union(t.select(F.substring_index("tag", ":", 1))).distinct()
 
 
-@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || 'B' ELSE printf('%.1fKB', n_chars / 1024.0) END AS human, (doc_id % 5 + 0.5) * 1048576 AS parsed, 'src_' || doc_id || '_x.y-z' AS slug, printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) AS label, 'f' || lpad(doc_id::VARCHAR, 12, '0') || 'x' AS natural, source || ':' || lang AS tag, 'm' || doc_id AS model, CASE WHEN doc_id % 2 = 0 THEN 'high' END AS effort, 'local' AS endpoint FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || 'B' ELSE printf('%.1fKB', n_chars / 1024.0) END AS human, (doc_id % 5 + 0.5) * 1048576 AS parsed, 'src_' || doc_id || '_x.y-z' AS slug, printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) AS label, 'f' || lpad(length(doc_id::VARCHAR)::VARCHAR, 9, '0') || doc_id || 'x' AS natural, source || ':' || lang AS tag, 'm' || doc_id AS model, CASE WHEN doc_id % 2 = 0 THEN 'high' END AS effort, 'local' AS endpoint FROM documents")
 def name_functions(spark, d):
     t = T.read(spark, d, "documents")
     i = F.col("doc_id").cast("string")
@@ -535,9 +537,40 @@ def exported_events(spark, d):
     return _tags(spark, d).select(F.lit("add").alias("op"), "root", "path", "tag")
 
 
-@query(f"{W}, k AS (SELECT root, {_PAR} AS dir FROM entries), h AS (SELECT k.dir, v.type, v.path, row_number() OVER (PARTITION BY k.root, k.dir ORDER BY length(v.path) DESC) AS r FROM (SELECT DISTINCT * FROM k) k JOIN (SELECT 'src' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '/en' ELSE '' END AS path, arg_max(event_type, event_id) AS type FROM events GROUP BY 1) v ON k.dir = v.path OR starts_with(k.dir, v.path || '/')) SELECT 'docs' AS root, dir, type, path AS from_path, dir <> path AS inherited FROM h WHERE r = 1")
+_TYPES = "ty AS (SELECT 'src' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '/en' ELSE '' END AS path, ['normal', 'archive', 'dated', 'inbox', 'bundle', 'numbered'][arg_max(event_id, event_id) % 6 + 1] AS type FROM events WHERE user_id % 20 < 14 GROUP BY 1)"
+
+
+@query(f"""{W}, {_TYPES}, k AS (SELECT DISTINCT root, {_PAR} AS dir FROM entries), s AS (SELECT k.root, k.dir, ty.type FROM k JOIN ty ON ty.path = k.dir),
+ h AS (SELECT k.root, k.dir, ty.type, ty.path, row_number() OVER (PARTITION BY k.root, k.dir ORDER BY length(ty.path) DESC) AS r FROM k JOIN ty ON starts_with(k.dir, ty.path || '/') WHERE ty.type NOT IN ('dated', 'numbered') AND NOT EXISTS (SELECT 1 FROM s WHERE s.dir = k.dir))
+SELECT root, dir, type, 'set' AS origin, dir AS from_path FROM s UNION ALL SELECT root, dir, type, 'inherited', path FROM h WHERE r = 1 AND type <> 'normal'""")
 def folder_types_inherited(spark, d):
-    e = T.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("docs").alias("root"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.when(F.col("user_id") % 3 == 0, "/en").otherwise("")).alias("path"), F.lit("type").alias("name"), F.col("event_type").alias("value"), F.lit("attr-set").alias("op"))
-    dirs = _docs(spark, d).select("root", P.parent(F.col("relpath")).alias("relpath")).distinct().withColumn("is_dir", F.lit(False))
-    v = M.effective_attributes(dirs, M.last_values(e))
-    return v.select("root", F.col("relpath").alias("dir"), F.col("value").alias("type"), "from_path", (F.col("relpath") != F.col("from_path")).alias("inherited"))
+    u, i = F.col("user_id"), F.col("event_id")
+    path = F.concat(F.lit("src"), (u % 20).cast("string"), F.when(u % 3 == 0, "/en").otherwise(""))
+    names = F.array(*[F.lit(x) for x in ("normal", "archive", "dated", "inbox", "bundle", "numbered")])
+    types = T.read(spark, d, "events").filter(u % 20 < 14).groupBy(path.alias("path")).agg(F.element_at(names, (F.max(i) % 6 + 1).cast("int")).alias("type")).withColumn("root", F.lit("docs"))
+    return M.set_folder_types(_docs(spark, d).select("root", P.parent(F.col("relpath")).alias("dir")).distinct(), types)
+
+
+@query()
+def folded_state(spark, d):
+    """All tables of the fold as rows of one; tested against a sequential fold."""
+    out = None
+    for name, df in G.fold(T.full_log(T.read(spark, d, "events")), [*G.PLACED, "aliases", "parents"]).items():
+        place = [c for c in ("root", "path", "src", "alias") if c in df.columns]
+        rows = df.select(F.lit(name).alias("table"), F.concat_ws("/", *place).alias("place"), F.concat_ws("|", *[c for c in df.columns if c not in place]).alias("facts"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT 'c' || c_custkey AS alias, 'c' || (c_custkey // (c_custkey & -c_custkey)) AS tag FROM customer WHERE c_custkey % 2 = 0 AND c_custkey > 0")
+def alias_names(spark, d):
+    k = T.read(spark, d, "customer").filter("c_custkey % 2 = 0 AND c_custkey > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("alias"), F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 2).cast("string")).alias("tag"))
+    return K.canonical_names(k)
+
+
+@query("SELECT 'docs' AS root, 'd' || c_custkey AS src, CASE WHEN c_custkey % 5 = 4 THEN 'out/d' || c_custkey ELSE 'd' || (c_custkey + 1) END AS dst, least(4 - c_custkey % 5, (SELECT max(c_custkey) FROM customer) - c_custkey)::INTEGER AS level, false AS cyclic FROM customer")
+def moves_ordered(spark, d):
+    k = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    moves = T.read(spark, d, "customer").select(F.lit("docs").alias("root"), name(k).alias("src"), F.when(k % 5 == 4, F.concat(F.lit("out/"), name(k))).otherwise(name(k + 1)).alias("dst"))
+    return K.ordered_moves(moves).drop("place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import nfc
+
 from .paths import basename, extension, parts, stem
 from .text import fold, nfc, nfkc_casefold
 
@@ -177,10 +179,15 @@ def model_parts(model: Column) -> Column:
     return F.struct(F.substring_index(left, ":", 1).alias("id"), F.nullif(F.regexp_extract(left, ":(.*)$", 1), F.lit("")).alias("effort"), F.nullif(F.regexp_extract(model, "@(.*)$", 1), F.lit("")).alias("endpoint"))
 
 
+#: White space by which names are split.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def normalize_tag(tag: Column) -> Column:
-    """White space squeezed, spaces around ":" trimmed; null if the tag is invalid."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(tag, r"\s+", " ")), r"\s*:\s*", ":")
-    bad = (t == "") | (F.length(t) > 100) | t.startswith(":") | t.endswith(":") | tag.rlike(r"[\x00-\x08\x0e-\x1f\x7f]")
+    """NFC, white space squeezed, spaces around ":" trimmed; null if the tag is empty, too long, begins or ends with ":", or holds control, format or unassigned characters."""
+    t = F.regexp_replace(F.regexp_replace(nfc(tag), _SPACE + "+", " "), "^ | $", "")
+    t = F.regexp_replace(t, " ?: ?", ":")
+    bad = (t == "") | (F.length(t) > 100) | t.startswith(":") | t.endswith(":") | t.rlike(r"\p{C}")
     return F.when(~bad, t)
 
 

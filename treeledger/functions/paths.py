@@ -58,8 +58,10 @@ def has_part(path: Column, names: list[str]) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key with runs of digits padded to 12."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 12, "0")).otherwise(x)), "")
+    """Sort key in which runs of digits compare as numbers of any length: their number of digits without leading zeros, then the digits."""
+    number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    runs = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(x)).cast("string"), 9, "0"), number(x))).otherwise(x)), "")
 
 
 def glob_regex(pattern: str) -> str:

@@ -236,10 +236,13 @@ def numbering(entries: DataFrame) -> DataFrame:
 
 
 def similar_siblings(entries: DataFrame) -> DataFrame:
-    """Files of one folder with the same skeleton and the same digits."""
-    held = entries.filter(_file()).select("root", P.parent(F.col("relpath")).alias("dir"), P.basename(F.col("relpath")).alias("name"))
-    held = held.withColumn("f", nfkc_casefold("name")).withColumn("skeleton", N.skeleton(F.col("f"))).withColumn("digits", F.regexp_replace("f", r"\D", ""))
-    return held.filter(F.length("skeleton") >= 2).groupBy("root", "dir", "skeleton", "digits").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("first_name")).filter("files >= 2")
+    """Folders side by side with the same skeleton and the same digits: root, dir (theirs), skeleton, digits, folders, first_name, size (all below them)."""
+    folders = _folders(entries).filter("dir <> ''").select("root", "dir")
+    held = folders.select("root", F.col("dir").alias("path"), P.parent(F.col("dir")).alias("dir"), P.basename(F.col("dir")).alias("name"))
+    held = held.withColumn("f", nfkc_casefold("name")).withColumn("skeleton", N.skeleton(F.col("f"))).withColumn("digits", F.regexp_replace("f", r"(?U)\D", ""))
+    held = held.filter(F.length("skeleton") >= 2).join(subtree_sizes(entries).select("root", F.col("dir").alias("path"), "bytes"), ["root", "path"], "left")
+    per = held.groupBy("root", "dir", "skeleton", "digits").agg(F.count(F.lit(1)).alias("folders"), F.min("name").alias("first_name"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
+    return per.filter("folders >= 2")
 
 
 def mixed_dates(entries: DataFrame) -> DataFrame:
@@ -259,17 +262,52 @@ def mixed_kinds(entries: DataFrame, least: int = 30, share: float = 0.15) -> Dat
     return big.groupBy("root", "dir").agg(F.max("files").alias("files"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), F.count(F.lit(1)).alias("k")).filter("k >= 3").drop("k")
 
 
-def identical_folders(entries: DataFrame, least: int = 2) -> DataFrame:
-    """Folders whose files are all hashed and hold the same contents at the same relative paths.
+def identical_members(entries: DataFrame, least: int = 2) -> DataFrame:
+    """Identical folders as rows: root, files, s1, s2 (their signature), dir, bytes.
 
-    A folder's signature is an order-free sum of its files' hashes, so no
-    folder's files are gathered in one place; equal signatures of 2 x 64 bits
-    and equal counts mean the same multiset.
+    All files below such a folder are hashed, and they hold the same contents
+    at the same relative paths. A signature is an order-free sum of the files'
+    hashes, so no folder's files are gathered in one place; equal signatures of
+    2 x 64 bits and equal counts mean the same multiset. A folder that lies
+    above or below another one of its group is left out.
     """
     p = F.col("relpath")
-    files = entries.filter(_file()).select("root", "relpath", F.when(current_hash(), F.col("sha256")).alias("h"))
-    up = files.select("root", "relpath", "h", F.explode(P.ancestors(p)).alias("dir")).filter("dir <> ''")
+    files = entries.filter(_file()).select("root", "relpath", "size", F.when(current_hash(), F.col("sha256")).alias("h"))
+    up = files.select("root", "relpath", "size", "h", F.explode(P.ancestors(p)).alias("dir")).filter("dir <> ''")
     rel = F.substring(F.col("relpath"), F.length("dir") + 2, F.length("relpath"))
     sig = [F.sum(F.xxhash64(rel, F.col("h"), F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
-    per = up.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("files"), F.count("h").alias("hashed"), *sig).filter((F.col("files") >= least) & (F.col("files") == F.col("hashed")))
-    return per.groupBy("files", "s1", "s2").agg(F.count(F.lit(1)).alias("folders"), F.min(F.struct("root", "dir")).alias("f")).filter("folders > 1").select("files", "folders", F.col("f.root").alias("root"), F.col("f.dir").alias("first_dir"))
+    per = up.groupBy("root", "dir").agg(F.count(F.lit(1)).alias("files"), F.count("h").alias("hashed"), F.sum("size").alias("bytes"), *sig).filter((F.col("files") >= least) & (F.col("files") == F.col("hashed")))
+    key = ["root", "files", "s1", "s2"]
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy(*key).count().filter("count > 1").select(*key), key, "left_semi")
+
+    held = _cut(shared(per).select(*key, "dir", "bytes"))
+    nested = held.select(*key, "dir", F.explode(P.ancestors(F.col("dir"))).alias("up")).join(held.select(*key, F.col("dir").alias("up")), [*key, "up"])
+    inside = nested.select(*key, "dir").union(nested.select(*key, F.col("up"))).distinct()
+    return _cut(shared(held.join(inside, [*key, "dir"], "left_anti")))
+
+
+def identical_folders(entries: DataFrame, least: int = 2) -> DataFrame:
+    """Groups of identical folders that need a look: root, path (the first), files, folders, more, size (what copies take).
+
+    A group whose folders all lie directly in folders of other groups is
+    explained by those. Groups that differ in the same places (what is left of
+    their paths without the part that all have at the end) are one row, that of
+    the group with most files; ``more`` counts the others.
+    """
+    held = identical_members(entries, least)
+    key = ["root", "files", "s1", "s2"]
+    known = held.select("root", F.col("dir").alias("parent")).distinct().withColumn("known", F.lit(True))
+    seen = held.withColumn("parent", P.parent(F.col("dir"))).join(known, ["root", "parent"], "left")
+    parts = F.reverse(P.parts(F.col("dir")))
+    groups = seen.groupBy(*key).agg(F.count("known").alias("known"), F.count(F.lit(1)).alias("folders"), F.min(F.struct("dir", "bytes")).alias("f"), F.min(parts).alias("lo"), F.max(parts).alias("hi"), F.min(F.size(parts)).alias("least"))
+    # what the first and the last of the reversed paths have in common, all have
+    same = F.aggregate(F.sequence(F.lit(0), F.col("least") - 1), F.lit(0), lambda n, i: F.when((n == i) & (i < F.col("least") - 1) & (F.get("lo", i) == F.get("hi", i)), i + 1).otherwise(n))
+    groups = groups.filter("known < folders").withColumn("common", same)
+    origin = held.join(groups.select(*key, "common"), key).withColumn("origin", F.array_join(F.slice(P.parts(F.col("dir")), F.lit(1), F.size(P.parts(F.col("dir"))) - F.col("common")), "/"))
+    places = origin.groupBy(*key).agg(*[F.sum(F.xxhash64("origin", F.lit(i)).cast("decimal(38,0)")).alias(f"o{i}") for i in (1, 2)])
+    ranked = groups.join(places, key).withColumn("rank", F.struct(-F.col("files"), F.col("f.dir")))
+    best = F.min_by(F.struct("f", "files", "folders"), "rank")
+    one = ranked.groupBy("root", "folders", "o1", "o2").agg(best.alias("b"), (F.count(F.lit(1)) - 1).alias("more"))
+    return one.select("root", F.col("b.f.dir").alias("path"), F.col("b.files").alias("files"), F.col("b.folders").alias("folders"), "more", (F.col("b.f.bytes") * (F.col("b.folders") - 1)).alias("size"))

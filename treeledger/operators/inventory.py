@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..sources.shared import cut
 
 KEY = ["root", "relpath"]
 
@@ -61,32 +62,45 @@ def safety_valve(changes: DataFrame, least: int = 100, ratio: float = 0.2) -> Da
     return per.withColumn("hold", F.col("missing") > F.greatest(F.lit(least), F.floor(F.col("live") * ratio)))
 
 
+def relink_candidates(old: DataFrame, now: int, days: int = 30) -> DataFrame:
+    """What may be found again: missing entries, and those that a scan gave up within ``days`` (never what a plan put aside). old: missing_count, gone_at (ns), gone_by."""
+    recent = (F.col("gone_by") == "scan") & (F.col("gone_at") >= now - days * 86_400 * 1_000_000_000)
+    return old.filter((F.col("gone_at").isNull() & (F.col("missing_count") > 0)) | recent)
+
+
 def relink(old: DataFrame, new: DataFrame) -> DataFrame:
     """(root, old_relpath, new_relpath, rule): gone or missing files found again by content.
 
     old: root, relpath, sha256, size, last_seen; new: root, relpath, sha256,
     size, first_seen. A pair needs the same content (size over 0) and old seen
-    last before new was seen first. Rules in turn: the same path; the only old
-    and only new one of a content; the same name, once on both sides.
+    last before new was seen first. Rules in turn: the same path (of several
+    old ones the one seen last); the only old and only new one of a content;
+    the same name, if it is the only new one of that name and has just one
+    partner that was seen in time.
     """
     key = ["root", "sha256", "size"]
-    o = old.filter((F.col("size") > 0) & F.col("sha256").isNotNull()).select(*key, F.col("relpath").alias("old_relpath"), "last_seen")
+    o = old.filter((F.col("size") > 0) & F.col("sha256").isNotNull()).groupBy(*key, F.col("relpath").alias("old_relpath")).agg(F.max("last_seen").alias("last_seen"))
     n = new.filter((F.col("size") > 0) & F.col("sha256").isNotNull()).select(*key, F.col("relpath").alias("new_relpath"), "first_seen")
 
     def settled(o: DataFrame, n: DataFrame, done: DataFrame):
-        return o.join(done.select("root", "old_relpath"), ["root", "old_relpath"], "left_anti"), n.join(done.select("root", "new_relpath"), ["root", "new_relpath"], "left_anti")
+        return o.join(done.select(*key, "old_relpath"), [*key, "old_relpath"], "left_anti"), n.join(done.select(*key, "new_relpath"), [*key, "new_relpath"], "left_anti")
 
-    def once(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("c", F.count(F.lit(1)).over(W.partitionBy(*keys))).filter("c = 1").drop("c")
+    def once(df: DataFrame) -> DataFrame:
+        alone = df.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c = 1").select(*key)
+        return df.join(alone, key, "left_semi")
 
-    pick = lambda df, rule: df.filter("last_seen < first_seen").select("root", "old_relpath", "new_relpath", F.lit(rule).alias("rule"))
-    first = pick(o.join(n.withColumn("p", F.col("new_relpath")), key).filter("old_relpath = p").drop("p"), "path")
+    pick = lambda df, rule: cut(df.filter("last_seen < first_seen").select(*key, "old_relpath", "new_relpath", F.lit(rule).alias("rule")))
+    first = pick(o.withColumn("new_relpath", F.col("old_relpath")).join(n, [*key, "new_relpath"]), "path")
     o1, n1 = settled(o, n, first)
-    second = pick(once(o1, key).join(once(n1, key), key), "content")
+    second = pick(once(o1).join(once(n1), key), "content")
     o2, n2 = settled(o1, n1, second)
     named = [*key, "name"]
-    third = pick(once(o2.withColumn("name", P.basename(F.col("old_relpath"))), named).join(once(n2.withColumn("name", P.basename(F.col("new_relpath"))), named), named), "name")
-    return first.union(second).union(third)
+    lone = n1.withColumn("name", P.basename(F.col("new_relpath"))).groupBy(*named).agg(F.count(F.lit(1)).alias("rivals")).filter("rivals = 1").select(*named)
+    mine = n2.withColumn("name", P.basename(F.col("new_relpath"))).join(lone, named, "left_semi")
+    # of one name there is one new file at most, so it meets each old one of its name once
+    met = mine.join(o2.withColumn("name", P.basename(F.col("old_relpath"))), named).filter("last_seen < first_seen")
+    third = met.groupBy(*key, "new_relpath").agg(F.count(F.lit(1)).alias("c"), F.first("old_relpath").alias("old_relpath"), F.first("last_seen").alias("last_seen"), F.first("first_seen").alias("first_seen")).filter("c = 1")
+    return first.union(second).union(pick(third, "name")).select("root", "old_relpath", "new_relpath", "rule")
 
 
 def lineage(moves: DataFrame, queries: DataFrame, rounds: int = 32) -> DataFrame:
@@ -105,7 +119,7 @@ def lineage(moves: DataFrame, queries: DataFrame, rounds: int = 32) -> DataFrame
         seg = step.select("root", "query_path", "relpath", F.col("m.moved_at").alias("since"), "until")
         out = seg if out is None else out.union(seg)
         nxt = step.filter("m IS NOT NULL").select("root", "query_path", F.concat("m.old_relpath", F.substring("relpath", F.length("m.new_relpath") + 1, F.length("relpath"))).alias("relpath"), F.col("m.moved_at").alias("until"))
-        now = nxt.checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt
+        now = cut(nxt)
         if now.isEmpty():
             break
     return out

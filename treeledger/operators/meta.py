@@ -69,6 +69,30 @@ def effective_attributes(entries: DataFrame, values: DataFrame) -> DataFrame:
     return hit.groupBy("root", "relpath", "name").agg(F.max_by(F.struct("value", "path"), "d").alias("v")).select("root", "relpath", "name", F.col("v.value").alias("value"), F.col("v.path").alias("from_path"))
 
 
+#: Types that folders below take over, and types that say nothing about them.
+INHERITED, OWN = ("bundle", "app", "inbox", "archive", "exclude"), ("dated", "numbered")
+
+
+def set_folder_types(dirs: DataFrame, types: DataFrame) -> DataFrame:
+    """(root, dir, type, origin, from_path): a folder's own type (``set``), else that of the nearest folder above whose type is handed down (``inherited``).
+
+    dirs: root, dir; types: root, path, type. A ``normal`` folder above hands
+    down nothing and ends the search; dated and numbered ones are passed over.
+    """
+    own = dirs.join(types.withColumnRenamed("path", "dir"), ["root", "dir"]).select("root", "dir", "type", F.lit("set").alias("origin"), F.col("dir").alias("from_path"))
+    telling = types.filter(F.col("type").isin("normal", *INHERITED))
+    up = dirs.join(own.select("root", "dir"), ["root", "dir"], "left_anti").select("root", "dir", F.posexplode(P.ancestors(F.col("dir"))).alias("d", "path")).filter("dir <> ''")
+    near = up.join(telling, ["root", "path"]).groupBy("root", "dir").agg(F.max_by(F.struct("type", "path"), "d").alias("t"))
+    return own.unionByName(near.filter("t.type <> 'normal'").select("root", "dir", F.col("t.type").alias("type"), F.lit("inherited").alias("origin"), F.col("t.path").alias("from_path")))
+
+
+def folder_types(dirs: DataFrame, types: DataFrame, inferred: DataFrame) -> DataFrame:
+    """(root, dir, type, origin, from_path): set, else inherited, else inferred (root, dir, type)."""
+    known = set_folder_types(dirs, types)
+    rest = inferred.join(dirs, ["root", "dir"], "left_semi").join(known.select("root", "dir"), ["root", "dir"], "left_anti")
+    return known.unionByName(rest.select("root", "dir", "type", F.lit("inferred").alias("origin"), F.col("dir").alias("from_path")))
+
+
 def inferred_folder_types(entries: DataFrame) -> DataFrame:
     """(root, dir, type) by markers and by the names of visible child folders: bundle, app, dated, numbered."""
     p = F.col("relpath")

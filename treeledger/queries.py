@@ -105,14 +105,38 @@ def structure_mixed_kinds(spark, d):
     return H.mixed_kinds(_docs(spark, d), 10, 0.02)
 
 
-@query()
-def structure_similar_siblings(spark, d):
-    return H.similar_siblings(_docs(spark, d))
+_COPIES = """f AS (SELECT root, relpath, size, sha256, cur FROM entries UNION ALL SELECT root, 'mirror/' || relpath, size, sha256, cur FROM entries WHERE starts_with(relpath, 'src3/') OR starts_with(relpath, 'src4/en/')
+ UNION ALL SELECT root, 'Backups 1/' || relpath, size, sha256, cur FROM entries WHERE starts_with(relpath, 'src5/') UNION ALL SELECT root, 'backup_1/' || relpath, size, sha256, cur FROM entries WHERE starts_with(relpath, 'src6/'))"""
 
 
-@query()
+def _copies(spark, d):
+    """Some folders of the tree a second time, below folders with similar names; their hashes are all current."""
+    e = _docs(spark, d)
+    p = F.col("relpath")
+    put = lambda name, rows: rows.withColumn("relpath", F.concat(F.lit(name), p))
+    return e.unionByName(put("mirror/", e.filter(p.startswith("src3/") | p.startswith("src4/en/")))).unionByName(put("Backups 1/", e.filter(p.startswith("src5/")))).unionByName(put("backup_1/", e.filter(p.startswith("src6/"))))
+
+
+@query(f"""{W}, {_COPIES}, fd AS (SELECT root, unnest({_anc('relpath')}) AS path, size FROM f), b AS (SELECT root, path, sum(size)::BIGINT AS size FROM fd WHERE path <> '' GROUP BY ALL)
+SELECT root, '' AS dir, 'backup' AS skeleton, '1' AS digits, count(*) AS folders, min(path) AS first_name, sum(size)::BIGINT AS size FROM b WHERE path IN ('Backups 1', 'backup_1') GROUP BY ALL HAVING count(*) = 2""")
+def structure_similar_siblings(spark, d):
+    return H.similar_siblings(_copies(spark, d))
+
+
+@query(f"""{W}, {_COPIES}, g AS (SELECT root, relpath, size, CASE WHEN cur THEN sha256 END AS h FROM f), u AS (SELECT *, unnest({_anc('relpath')}) AS dir FROM g),
+ s AS (SELECT root, dir, count(*) AS files, sum(size)::BIGINT AS bytes, list_sort(list(substr(relpath, length(dir) + 2) || ':' || h)) AS sig FROM u WHERE dir <> '' GROUP BY ALL HAVING count(*) >= 2 AND count(*) = count(h)),
+ a AS (SELECT x.* FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.root = x.root AND y.sig = x.sig AND (starts_with(y.dir, x.dir || '/') OR starts_with(x.dir, y.dir || '/')))),
+ m AS (SELECT root, sig, list_sort(list(dir)) AS ds, any_value(files) AS files, arg_min(bytes, dir) AS bytes FROM a GROUP BY ALL HAVING count(*) >= 2), i AS (SELECT DISTINCT root, unnest(ds) AS dir FROM m),
+ mm AS (SELECT root, sig, regexp_replace(unnest(ds), '(^|/)[^/]*$', '') AS dir FROM m), kn AS (SELECT mm.root, mm.sig, count(*) AS known FROM mm JOIN i ON i.root = mm.root AND i.dir = mm.dir GROUP BY ALL),
+ k AS (SELECT m.*, coalesce(kn.known, 0) AS known FROM m LEFT JOIN kn ON kn.root = m.root AND kn.sig = m.sig),
+ c AS (SELECT *, list_min(list_transform(ds, lambda d: len(string_split(d, '/')))) - 1 AS most FROM k WHERE known < len(ds)),
+ n AS (SELECT *, len(list_filter(range(1, most + 1), lambda j: len(list_distinct(list_transform(ds, lambda d: array_to_string(string_split(d, '/')[-j:], '/')))) = 1)) AS common FROM c),
+ o AS (SELECT *, list_sort(list_transform(ds, lambda d: array_to_string(string_split(d, '/')[1:len(string_split(d, '/')) - common], '/'))) AS org FROM n),
+ r AS (SELECT *, row_number() OVER (PARTITION BY root, org ORDER BY files DESC, ds) AS rk, count(*) OVER (PARTITION BY root, org) - 1 AS more FROM o)
+SELECT root, ds[1] AS path, files, len(ds) AS folders, more, bytes * (len(ds) - 1) AS size FROM r WHERE rk = 1""")
 def structure_identical_folders(spark, d):
-    return H.identical_folders(_docs(spark, d))
+    e = _copies(spark, d)
+    return H.identical_folders(e)
 
 
 @query(f"{W}, b AS (SELECT root, relpath, ({_EXT} = '')::INT AS bare FROM entries), x AS (SELECT root, dir, count(*) AS files, sum(bare)::BIGINT AS bare FROM (SELECT root, bare, unnest({_anc('relpath')}) AS dir FROM b) WHERE dir <> '' GROUP BY ALL) SELECT root, dir, files, bare FROM x WHERE bare >= 1 AND bare * 2 >= files AND NOT EXISTS (SELECT 1 FROM x y WHERE y.root = x.root AND y.bare >= 1 AND y.bare * 2 >= y.files AND starts_with(y.dir, x.dir || '/'))")
@@ -196,13 +220,24 @@ def inventory_safety_valve(spark, d):
     return I.safety_valve(_changes(spark, d))
 
 
-@query()
+@query("""WITH e AS (SELECT doc_id, 'h' || (doc_id % 97) AS sha256, 9 AS size, doc_id % 5 AS t, CASE WHEN doc_id % 3 = 0 THEN 'p' || (doc_id // 6) ELSE 'n' || (doc_id % 41) END AS name FROM documents),
+ o AS (SELECT sha256, CASE WHEN doc_id % 10 = 1 THEN 'same/' || doc_id ELSE 'old/' || doc_id || '/' || name END AS p, CASE WHEN doc_id % 10 = 1 THEN doc_id::VARCHAR ELSE name END AS name, t AS seen FROM e WHERE doc_id % 2 = 1),
+ n AS (SELECT sha256, CASE WHEN doc_id % 10 = 2 THEN 'same/' || (doc_id - 1) ELSE 'new/' || doc_id || '/' || name END AS p, CASE WHEN doc_id % 10 = 2 THEN (doc_id - 1)::VARCHAR ELSE name END AS name, t + 1 AS seen FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN 'h' || ((doc_id - 1) % 97) ELSE sha256 END AS sha256, t, name FROM e) WHERE doc_id % 2 = 0),
+ a AS (SELECT o.sha256, o.p AS op, n.p AS np FROM o JOIN n ON o.sha256 = n.sha256 AND o.p = n.p AND o.seen < n.seen),
+ o1 AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.sha256 = o.sha256 AND a.op = o.p)), n1 AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.sha256 = n.sha256 AND a.np = n.p)),
+ c AS (SELECT sha256, (SELECT count(*) FROM n1 x WHERE x.sha256 = k.sha256) AS cn, (SELECT count(*) FROM o1 x WHERE x.sha256 = k.sha256) AS co FROM (SELECT DISTINCT sha256 FROM e) k),
+ b AS (SELECT o1.sha256, o1.p AS op, n1.p AS np FROM o1 JOIN n1 USING (sha256) JOIN c USING (sha256) WHERE cn = 1 AND co = 1 AND o1.seen < n1.seen),
+ m AS (SELECT n1.sha256, n1.p AS np, min(o1.p) AS op, count(*) AS k FROM n1 JOIN o1 ON o1.sha256 = n1.sha256 AND o1.name = n1.name AND o1.seen < n1.seen JOIN c ON c.sha256 = n1.sha256 WHERE NOT (cn = 1 AND co = 1) AND (SELECT count(*) FROM n1 y WHERE y.sha256 = n1.sha256 AND y.name = n1.name) = 1 GROUP BY ALL)
+SELECT 'docs' AS root, op AS old_relpath, np AS new_relpath, 'path' AS rule FROM a UNION ALL SELECT 'docs', op, np, 'content' FROM b UNION ALL SELECT 'docs', op, np, 'name' FROM m WHERE k = 1""")
 def inventory_relink(spark, d):
-    e = _docs(spark, d)
-    c = I.diff(e, T.second_observation(e))
-    gone = c.filter("state = 'missing'").join(e.select("root", "relpath", "sha256"), ["root", "relpath"]).select("root", "relpath", "sha256", F.col("o_size").alias("size"), F.lit(1).alias("last_seen"))
-    new = c.filter("state = 'new'").join(T.second_observation(e).select("root", "relpath", "sha256"), ["root", "relpath"]).select("root", "relpath", "sha256", "size", F.lit(2).alias("first_seen"))
-    return I.relink(gone, new)
+    i, s = F.col("doc_id"), lambda c: c.cast("string")
+    name = F.when(i % 3 == 0, F.concat(F.lit("p"), s(F.floor(i / 6)))).otherwise(F.concat(F.lit("n"), s(i % 41)))
+    rows = T.read(spark, d, "documents").select("doc_id", F.lit("docs").alias("root"), F.lit(9).cast("long").alias("size"), (i % 5).alias("t"), name.alias("name"))
+    path = lambda kind, same, number: F.when(same, F.concat(F.lit("same/"), s(number))).otherwise(F.concat(F.lit(f"{kind}/"), s(i), F.lit("/"), "name"))
+    back = i % 10 == 2
+    old = rows.filter(i % 2 == 1).select("root", path("old", i % 10 == 1, i).alias("relpath"), F.concat(F.lit("h"), s(i % 97)).alias("sha256"), "size", F.col("t").alias("last_seen"))
+    new = rows.filter(i % 2 == 0).select("root", path("new", back, i - 1).alias("relpath"), F.concat(F.lit("h"), s(F.when(back, i - 1).otherwise(i) % 97)).alias("sha256"), "size", (F.col("t") + 1).alias("first_seen"))
+    return I.relink(old, new)
 
 
 def _shots(spark, d):

@@ -96,3 +96,25 @@ def event_log(events: DataFrame) -> DataFrame:
 
 EVENTS_SQL = """ev AS (SELECT event_id AS seq, 'docs' AS root, 'src' || (user_id % 20) || CASE WHEN user_id % 3 = 0 THEN '/en' ELSE '' END AS path, event_type || ':' || (user_id % 5) AS tag,
  CASE WHEN event_type = 'error' OR value < 10 THEN 'remove' ELSE 'add' END AS op FROM events)"""
+
+
+def full_log(events: DataFrame) -> DataFrame:
+    """Metadata events of all kinds: folder by user, kind by event_id; every 89th moves a folder aside or back, every 211th changes the dictionary."""
+    i, u, s = F.col("event_id"), F.col("user_id"), lambda c: c.cast("string")
+    folder = F.concat(F.lit("src"), s(u % 20))
+    path = F.concat(F.when(i % 3 == 0, "old/").otherwise(""), folder, F.when(u % 3 == 0, "/en").otherwise(""))
+    far = F.concat(F.when(i % 7 == 0, "old/").otherwise(""), F.lit("src"), s((u + i) % 20))
+    kinds = ["add", "add", "add", "remove", "attr-set", "attr-set", "attr-unset", "relate", "unrelate", "keep", "unkeep", "dir-type", "dir-card", "dir-extract", "review", "relink-skip"]
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.floor(i / 2) % len(kinds) + 1).cast("int"))
+    words = F.element_at(F.array(*[F.lit(k) for k in ("rename", "alias", "unalias", "delete", "parent", "attr-undef")]), (F.floor(i / 211) % 6 + 1).cast("int"))
+    op = F.when(i % 89 == 0, "move").when(i % 211 == 0, words).otherwise(kind)
+    tag, other = F.concat("event_type", F.lit(":"), s(u % 5)), F.concat("event_type", F.lit(":"), s((u + 1) % 5))
+    back = F.floor(i / 89) % 2 == 1
+    moved = F.concat(F.lit("old/"), folder)
+    src = F.when(op == "move", F.when(back, moved).otherwise(folder)).when(op == "rename", tag).otherwise(path)
+    dst = F.when(op == "move", F.when(back, folder).otherwise(moved)).when(op == "rename", other).otherwise(far)
+    return events.select(
+        i.alias("seq"), op.alias("op"), F.lit("docs").alias("root"), path.alias("path"), tag.alias("tag"), src.alias("src"), dst.alias("dst"), other.alias("alias"), other.alias("parent"),
+        F.concat(F.lit("n"), s(u % 4)).alias("name"), F.when(u % 2 == 0, "inbox").otherwise("").alias("type"), s(i).alias("value"), F.lit("linked").alias("kind"), s(u % 11).alias("sha256"),
+        F.when(u % 2 == 0, "accept").otherwise("reject").alias("decision"), s(i).alias("reason"), F.when(u % 3 == 0, s(i)).otherwise("").alias("description"), F.lit("").alias("naming"), (u % 2 == 0).alias("extract"),
+    )
