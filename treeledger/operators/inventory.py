@@ -26,18 +26,22 @@ def diff(live: DataFrame, observed: DataFrame, unreadable: DataFrame | None = No
     return out.join(blind.withColumn("blind", F.lit(True)), KEY, "left").withColumn("state", F.when(F.col("blind"), "same").otherwise(F.col("state"))).drop("blind")
 
 
-def inode_moves(changes: DataFrame) -> DataFrame:
+def inode_pairs(changes: DataFrame) -> DataFrame:
     """(root, old_relpath, new_relpath, is_dir): a missing path and a new one with the same inode.
 
     Exactly one missing path may hold the inode; of several new ones the first
-    by path takes it. Moves that a moved parent folder implies (same name
-    below it) aren't listed.
+    by path takes it.
     """
     key = ["root", "inode", "is_dir"]
     gone = changes.filter("state = 'missing'").select("root", F.col("relpath").alias("old_relpath"), F.col("o_inode").alias("inode"), F.col("o_dir").alias("is_dir"))
     gone = gone.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*key))).filter("n = 1").drop("n")
     new = changes.filter("state = 'new'").groupBy(*key).agg(F.min("relpath").alias("new_relpath"))
-    moves = gone.join(new, key).select("root", "old_relpath", "new_relpath", "is_dir")
+    return gone.join(new, key).select("root", "old_relpath", "new_relpath", "is_dir")
+
+
+def inode_moves(changes: DataFrame) -> DataFrame:
+    """The pairs of ``inode_pairs``, without those that a moved parent folder implies (same name below it)."""
+    moves = inode_pairs(changes)
     p = moves.select("*", P.parent(F.col("old_relpath")).alias("po"), P.parent(F.col("new_relpath")).alias("pn"))
     dirs = moves.filter("is_dir").select("root", F.col("old_relpath").alias("po"), F.col("new_relpath").alias("pn"))
     implied = p.filter(P.basename(F.col("old_relpath")) == P.basename(F.col("new_relpath"))).join(dirs, ["root", "po", "pn"], "left_semi")
