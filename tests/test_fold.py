@@ -155,7 +155,7 @@ def test_a_thousand_chained_moves(spark):
     log += [{"seq": 2 + i, "op": "move", "root": "r", "src": f"d{i}", "dst": f"d{i + 1}"} for i in range(1000)]
     frame = spark.createDataFrame([tuple(e.get(c) for c in G.COLUMNS) for e in log], SCHEMA)
     began = time.time()
-    e = G.whole(frame)
+    e = V.cut(G.whole(frame))
     moves = V.cut(e.filter("op = 'move'").select("root", V.F.col("seq").alias("m"), "src", "dst"))
     trees = V.forest(moves)
     rows = e.filter("op <> 'move'").select(V.F.col("seq").alias("id"), "root", "path", V.F.col("seq").alias("arrived"))
@@ -164,5 +164,12 @@ def test_a_thousand_chained_moves(spark):
     assert time.time() - began < 60
 
 
+def test_log_without_moves_and_renames(spark):
+    log = [e for e in random_log(9, 300) if e["op"] not in ("move", "rename", "alias", "delete")]
+    got, want = state(spark, log), sequential(log)
+    for table in want:
+        assert got[table] == want[table], table
+
+
 def test_empty_log(spark):
     assert all(not rows for rows in state(spark, []).values())

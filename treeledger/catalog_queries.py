@@ -8,15 +8,18 @@ from .functions import names as N
 from .functions import paths as P
 from .functions.text import highlight, nfkc_casefold
 from .operators import browse as B
+from .operators import attach as A
 from .operators import decide as D
 from .operators import dictionary as K
 from .operators import fold as G
 from .operators import history as H
 from .operators import hygiene as Y
 from .operators import meta as M
+from .operators import saved as V
 from .operators import search as S
-from .queries import _EXT, _FOUND, _NAME, _PAR, _anc, _docs, _lines, _log, _shots, _tags, _TAGS, W, query
+from .queries import _ATTR, _EFF, _EXT, _FOUND, _NAME, _PAR, _anc, _docs, _lines, _log, _shots, _tags, _TAGS, W, query
 from .sources import tables as T
+from .streaming import live as R
 
 
 @query("""WITH s AS (SELECT s_nationkey AS k, count(*) AS seen FROM supplier WHERE s_acctbal > 8000 GROUP BY ALL)
@@ -574,3 +577,45 @@ def moves_ordered(spark, d):
     name = lambda c: F.concat(F.lit("d"), c.cast("string"))
     moves = T.read(spark, d, "customer").select(F.lit("docs").alias("root"), name(k).alias("src"), F.when(k % 5 == 4, F.concat(F.lit("out/"), name(k))).otherwise(name(k + 1)).alias("dst"))
     return K.ordered_moves(moves).drop("place")
+
+
+@query(f"""{_EFF}, {_ATTR}, nv AS (SELECT e.root, e.relpath, va.value, row_number() OVER (PARTITION BY e.root, e.relpath ORDER BY length(va.path) DESC) AS r FROM entries e JOIN va ON va.root = e.root AND va.name = 'view' AND (e.relpath = va.path OR starts_with(e.relpath, va.path || '/'))),
+ a AS (SELECT 'tagged' AS name, root, relpath FROM entries e WHERE {_EXT} IN ('.txt', '.pdf', '.docx') AND EXISTS (SELECT 1 FROM ef WHERE ef.relpath = e.relpath AND ef.tag = 'view:1') AND NOT EXISTS (SELECT 1 FROM ef WHERE ef.relpath = e.relpath AND ef.tag = 'click:2') ORDER BY root, relpath LIMIT 5000),
+ b AS (SELECT 'valued', e.root, e.relpath FROM entries e JOIN nv ON nv.root = e.root AND nv.relpath = e.relpath AND nv.r = 1 WHERE e.size <= 5000 AND nv.value::DOUBLE > 500 ORDER BY e.root, e.relpath LIMIT 5000)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def saved_searches(spark, d):
+    entries = _docs(spark, d).withColumn("gone_at", F.lit(None).cast("long"))
+    log = T.read(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit("docs").alias("root"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"), F.when(F.col("user_id") % 3 == 0, "/en").otherwise("")).alias("path"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("value"), F.lit("attr-set").alias("op"))
+    saved = {"tagged": "tag=view:1&not=click:2&kind=document&limit=5000", "valued": "attr=view%3E500&max_size=5000&limit=5000"}
+    out = None
+    for name, query_ in saved.items():
+        rows = V.search(query_, entries, tags=_tags(spark, d), attributes=M.last_values(log), kinds={"view": "number"}).select(F.lit(name).alias("name"), "root", "relpath")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"{_TAGS} SELECT root, b AS base, 'item' AS fact, path, tag AS key FROM tg, (SELECT unnest(['src1', 'src2', 'src3/en']) AS b) WHERE path = b OR starts_with(path, b || '/')")
+def detached_facts(spark, d):
+    bases = spark.createDataFrame([("docs", b) for b in ("src1", "src2", "src3/en")], "root string, base string")
+    return A.detached({"items": _tags(spark, d)}, bases).select("root", "base", "fact", "path", "key")
+
+
+@query(f"""{W} SELECT root, CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 = 0 THEN 'moved/' || relpath ELSE relpath END AS relpath, 1::BIGINT AS first_seen, CASE WHEN doc_id % 3 <> 0 THEN 2 ELSE 1 END AS last_seen, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS missing_count,
+ CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 2 END AS gone_at, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'scan' END AS gone_by FROM entries""")
+def catalog_after_a_scan(spark, d):
+    """A third of the files is missing, too much for one scan: only those that were missing before are gone."""
+    i = F.floor(F.col("entry_id") / 2)
+    e = _docs(spark, d)
+    known = e.select("root", "relpath", "is_dir", "size", "mtime_ns", "inode", F.lit(1).cast("long").alias("first_seen"), F.lit(1).cast("long").alias("last_seen"), F.when(i % 4 == 0, 1).otherwise(0).alias("missing_count"), F.lit(None).cast("long").alias("gone_at"), F.lit(None).cast("string").alias("gone_by"))
+    seen = e.filter(i % 3 != 0).select("root", F.when(i % 11 == 0, F.concat(F.lit("moved/"), "relpath")).otherwise(F.col("relpath")).alias("relpath"), "is_dir", "size", "mtime_ns", "inode")
+    return R.scan_step(known, seen, 2, least=1).select("root", "relpath", "first_seen", "last_seen", "missing_count", "gone_at", "gone_by")
+
+
+@query("""WITH l AS (SELECT 'r' || (user_id % 3) AS root, 'p' || (event_id % 70) AS path, event_type FROM events) SELECT DISTINCT root, path FROM l WHERE event_type IN ('error', 'view') AND substr(path, 2)::INTEGER < 50""")
+def reflected_deletions(spark, d):
+    e = T.read(spark, d, "events")
+    path = F.concat(F.lit("p"), (F.col("event_id") % 70).cast("string"))
+    said = F.when(F.col("event_type") == "error", F.concat(F.lit("2026/01/01 10:00:00 INFO  : "), path, F.lit(": Deleted"))).when(F.col("event_type") == "view", F.concat(F.lit("Deleting item from Microsoft OneDrive: ./"), path)).otherwise(F.concat(F.lit("INFO  : "), path, F.lit(": Copied (new)")))
+    lines = e.select(F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("root"), said.alias("line"))
+    expected = e.select(F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("root"), F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string")).alias("path")).distinct()
+    return R.reflected(lines, expected)

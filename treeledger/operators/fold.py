@@ -36,8 +36,8 @@ RELATED = "関連"
 
 
 def whole(events: DataFrame) -> DataFrame:
-    """The events with all columns, in a table of their own."""
-    return cut(events.select(*[(F.col(c).cast(t) if c in events.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()]))
+    """The events with all columns."""
+    return events.select(*[(F.col(c).cast(t) if c in events.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()])
 
 
 #: Tables of facts that stand at a path, with the kind of fact, and the others.
@@ -146,7 +146,7 @@ def facts(events: DataFrame, spans: DataFrame | None, wanted: set[str]) -> DataF
         "review": of("review", op == "review", None, text(F.col("sha256")), text(F.col("decision"))),
         "relink_skip": of("relink_skip", op == "relink-skip", None, text(F.col("sha256"))),
     }
-    return cut(reduce(DataFrame.unionByName, [df for fact, df in held.items() if fact in wanted]))
+    return reduce(DataFrame.unionByName, [df for fact, df in held.items() if fact in wanted])
 
 
 def reach(stops: DataFrame, trees: DataFrame) -> DataFrame:
@@ -310,32 +310,41 @@ def fold(events: DataFrame, tables: list[str] | None = None) -> dict[str, DataFr
     """
     wanted = set(tables or [*PLACED, *NAMED])
     e = whole(events)
-    used = {r[0] for r in e.filter(F.col("op").isin("alias", "rename", "delete")).select("op").distinct().collect()}
-    spans = alias_spans(e) if "alias" in used or "aliases" in wanted else None
+    used = {r[0] for r in e.filter(F.col("op").isin("alias", "rename", "delete", "move")).select("op").distinct().collect()}
+    placed = {t: f for t, f in PLACED.items() if t in wanted}
+    e = cut(e) if used or len(wanted) > 1 else e
+    spans = alias_spans(e) if "alias" in used else None
     out = {}
     if "aliases" in wanted:
-        out["aliases"] = spans.filter("until IS NULL").select("alias", "tag")
+        out["aliases"] = (alias_spans(e) if spans is None else spans).filter("until IS NULL").select("alias", "tag")
     if "parents" in wanted:
         out["parents"] = _parents(e)
     if "attr_defs" in wanted:
         out["attr_defs"] = _last(e, "attr-def", "attr-undef", "type", "choices")
     if "searches" in wanted:
         out["searches"] = _last(e, "search-save", "search-delete", "query")
-    placed = {t: f for t, f in PLACED.items() if t in wanted}
     if not placed:
         return out
-    moves = cut(e.filter("op = 'move' AND src <> '' AND src <> dst").select("root", F.col("seq").alias("m"), "src", "dst"))
-    trees = V.forest(moves)
     held = facts(e, spans, set(placed.values()))
-    if "relations" in wanted:
-        out["relations"] = _relations(held, moves, trees)
-    if set(placed) == {"relations"}:
-        return out
-    stand = standing(held.filter("fact <> 'relation'"), moves, trees, tag_changes(e, spans) if used else None, bool({"attrs", "kept", "types", "cards", "reviews"} & set(placed)))
+    if used:
+        held = cut(held)
+        moves = cut(e.filter("op = 'move' AND src <> '' AND src <> dst").select("root", F.col("seq").alias("m"), "src", "dst"))
+        trees = V.forest(moves)
+        if "relations" in wanted:
+            out["relations"] = _relations(held, moves, trees)
+        if set(placed) == {"relations"}:
+            return out
+        changes = tag_changes(e, spans) if used - {"move"} else None
+        stand = standing(held.filter("fact <> 'relation'"), moves, trees, changes, bool({"attrs", "kept", "types", "cards", "reviews"} & set(placed)))
+    else:  # nothing is re-keyed: the last event of each place counts
+        last = held.groupBy("fact", "root", "path", "other", "key").agg(F.max_by(F.struct("id", "ends", "value"), "id").alias("l"))
+        stand = last.filter("NOT l.ends").select("fact", "root", "path", "other", "key", F.col("l.id").alias("id"), F.col("l.value").alias("value"))
+        if "relations" in wanted:
+            out["relations"] = stand.filter("fact = 'relation'").select("root", F.col("path").alias("src"), F.col("other").alias("dst"), F.col("key").alias("kind"))
     if "attrs" in wanted:
         undefined = e.filter("op = 'attr-undef'").groupBy(F.col("name").alias("key")).agg(F.max("seq").alias("undefined"))
         stand = stand.join(undefined, "key", "left").filter("fact <> 'attr' OR undefined IS NULL OR undefined < id").drop("undefined")
-    one = cut(stand.groupBy("fact", "root", "path", "key").agg(F.max_by("value", "order").alias("value")))
+    one = cut(stand.groupBy("fact", "root", "path", "key").agg(F.max_by("value", "order").alias("value"))) if used else stand
     part = lambda i: F.split_part(F.col("value"), F.lit("\x1f"), F.lit(i))
     columns = {
         "items": [F.col("key").alias("tag")],
