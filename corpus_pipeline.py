@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline: each stage's rows are written as Parquet and read again by the next.
+
+For all stages: columns may be null and may have any name, texts may be empty
+or very long and are read whole, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5."""
+    """Documents that the classifier scores below 0.5; null and empty texts score its prior, repeated rows score alike, and without usable labels all stay."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest doc_id (null ids last), then of the smallest hash of its text; documents without words all stay."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; those without words stay, repeated rows go or stay together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for."""
+    """Documents as often as their source's target weight asks for; a null source is one of its own, repeated rows get the same number of copies, documents of sources without words stay once."""
     return mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in 16 shards, shuffled, with each row's shard and slot."""
+    """The mix in 16 shards, shuffled, with each row's shard and slot; rows equal in all columns are interchangeable."""
     return shard(docs)
 
 

@@ -100,7 +100,12 @@ def overlaps(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
 
 @own_names
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, min_hit: int = 1) -> DataFrame:
-    """``docs`` without the documents of which ``min_hit`` or more words are inside benchmark windows; its columns stay as they are, whatever their names."""
+    """``docs`` without the documents of which ``min_hit`` or more words are inside benchmark windows; its columns stay as they are, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows share one
+    verdict; items that hold the same window count alike; without documents,
+    or without items, ``docs`` comes out as it is. Whole texts are read.
+    """
     flagged = overlaps(docs, bench, n).filter(F.col("n_hit") >= min_hit)
     flagged = written(flagged.select(F.col("doc_id").alias("__id"), "__th").distinct())
     same = docs["doc_id"].eqNullSafe(flagged["__id"]) & (F.xxhash64(docs["text"]) == flagged["__th"])

@@ -49,7 +49,8 @@ def planned(docs: DataFrame, seed: str = "mix") -> DataFrame:
     its documents once; a null source is a source of its own, the last. The
     draw hashes doc_id and text, so reruns agree and repeated rows get the
     same number of copies. A text is one row however long; an empty table
-    stays empty; columns of other names than the added ones are kept.
+    stays empty; columns of other names than the added ones are kept. Sources
+    whose caps are reached at the same level are settled by code point.
     """
     sized = docs.withColumn("__size", n_tokens(F.col("text")))
     per = written(targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size"))))

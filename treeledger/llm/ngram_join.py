@@ -532,7 +532,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, then of the smallest text hash.
 
-    Documents without words link with nothing, and all of them stay.
+    Documents without words (null and empty texts among them) link with
+    nothing, and all of them stay. Of rows that repeat (doc_id, text) one stays.
+    Texts are read whole however long; an empty table stays empty; all columns
+    are kept, whatever their names.
     """
     rows = written(near_duplicates(docs.select("doc_id", "text")))
     linked = rows.filter("n_shingles > 0")

@@ -28,7 +28,9 @@ def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
-    return whole.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+    scaled = lambda x: F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), x.cast("double") * scale))
+    floor = lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))  # noqa: E731  beyond, doubles are whole
+    return whole.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", floor).alias("v"))
 
 
 def _matrix(rows) -> bytes:
@@ -55,10 +57,21 @@ def _packed(rows: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
     return dealt.select("dim", name, "vec_id", "v").groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_m binary")
 
 
+def _integers(m: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size."""
+    out = np.empty(m.shape, object)
+    out.flat = [int(x) for x in m.flat]
+    return out
+
+
+def _long(x) -> int:
+    return max(-(2**63), min(2**63 - 1, int(x)))
+
+
 def best_of_tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, candidate id, score) of the k best per query; candidates come in order of id, which settles ties."""
     exact = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], 1)) < 2**53
-    s = q @ c.T if exact else np.array(q.astype(object) @ c.astype(object).T)
+    s = q @ c.T if exact else np.frompyfunc(_long, 1, 1)(_integers(q) @ _integers(c).T)
     own = q_ids[:, None] == c_ids[None, :]
     s = np.where(own, -np.inf, s)
     if exact and s.shape[1] > 4 * k:
@@ -81,8 +94,11 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     Both sides: (vec_id, dim, v). A query that is given twice has one list, as
     its candidates do not differ; two queries that share an id have one list
     of both. Inner products exist between vectors of one length only; ties go
-    to the smaller id; a candidate row that is there twice is listed twice.
-    Without queries or candidates the result is empty.
+    to the smaller id; a candidate row that is there twice is listed twice, and
+    a row that shares a query's id is no candidate of it, twins included.
+    Products are exact whatever the components; a score beyond 64 bits counts
+    as the nearest bound. Columns of other names than vec_id and embedding are
+    never read. Without queries or candidates the result is empty.
     """
     queries = queries.distinct()
     per = lambda df, name, size: df.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))

@@ -36,8 +36,11 @@ def resolve(records: DataFrame) -> DataFrame:
     ``no base`` (also for a null URL), ``validated`` (ETags equal, weakly; else
     Last-Modified; else digest), ``mismatch``, and ``unvalidated`` if both
     sides share no validator. Digest and merged headers are given for
-    validated revisits, others keep their own headers. Records without time
-    sort first; repeated rows are resolved each.
+    validated revisits, others keep their own headers; header names compare
+    without case, null maps are empty, null values replace nothing. Records
+    without time sort first; repeated rows are resolved each; of full responses
+    with equal (ts, record_id) either may be the base. An empty table gives an
+    empty result; columns of other names aren't read.
 
     Records are dealt by ranges of (URL, time), so a URL with a large share of
     all records is spread over tasks; only the last full response of each URL
@@ -65,8 +68,9 @@ def resolve(records: DataFrame) -> DataFrame:
         .otherwise("unvalidated")
     )
     own = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    new = F.map_filter(own, lambda k, v: k.isin(PERMITTED) & v.isNotNull())
-    old = F.map_filter(F.coalesce("base.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(new), k))
+    new = F.map_filter(own, lambda k, v: F.lower(k).isin(PERMITTED) & v.isNotNull())
+    named = F.transform(F.map_keys(new), F.lower)
+    old = F.map_filter(F.coalesce("base.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(named, F.lower(k)))
     good = F.col("outcome") == "validated"
     return found.withColumn("outcome", outcome).select(
         "record_id",
