@@ -42,7 +42,7 @@ SELECT coalesce(reason, '') AS reason, count(*) AS files FROM entries LEFT JOIN
 def scan_exclusion_counts(spark, d):
     e = _docs(spark, d)
     x = _exclusions(spark)
-    up = e.select("root", F.col("relpath").alias("at"), F.explode(P.self_and_ancestors(F.col("relpath"))).alias("relpath")).join(F.broadcast(x), ["root", "relpath"])
+    up = e.select("root", F.col("relpath").alias("at"), F.explode(P.self_and_ancestors(F.col("relpath"))).alias("relpath")).join(x, ["root", "relpath"])
     return Y.outside(e.select("root", "relpath"), x).select(F.lit("").alias("reason")).union(up.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -146,8 +146,8 @@ def cloud_items(spark, d):
     key = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
     items = r.select(key("R", "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     items = items.union(n.select(key("N", "n_nationkey"), "n_name", key("R", "n_regionkey"))).union(c.select(key("C", "c_custkey"), "c_name", key("N", "c_nationkey")))
-    places = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
-    deep = c.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", F.lower("r_name"), "n_name", F.upper("c_name")).alias("path"))
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    deep = c.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", F.lower("r_name"), "n_name", F.upper("c_name")).alias("path"))
     paths = deep.union(places.select(F.concat_ws("/", "r_name", "n_name"))).union(places.select(F.concat_ws("/", F.lit("nowhere"), "n_name")))
     return B.cloud_paths(items, paths, 3)
 
@@ -391,7 +391,7 @@ def refresh_due(spark, d):
     last = lambda k, n: F.max(F.when(F.col("event_type") == k, F.col("event_id"))).alias(n)
     busy = F.max((F.col("event_type") == "click") & (F.col("value") < 2)).alias("sync_busy")
     t = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("root")).agg(last("view", "scanned_at"), last("purchase", "sync_ended_at"), last("error", "failed_at"), busy)
-    t = t.join(F.broadcast(e.agg(F.max("event_id").alias("now"))))
+    t = t.withColumn("now", F.lit(e.agg(F.max("event_id")).first()[0]))
     return D.refresh_due(t, F.col("now"), 500)
 
 
@@ -525,7 +525,7 @@ def parents_first(spark, d):
 def search_page(spark, d):
     found = S.find(_lines(spark, d), words="/1995/")
     total = found.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy("relpath").limit(100).join(F.broadcast(total), "root").select("root", "relpath", "size", "total")
+    return found.orderBy("relpath").limit(100).join(total, "root").select("root", "relpath", "size", "total")
 
 
 @query(f"{W} SELECT root, relpath, sha256 FROM entries e WHERE cur AND NOT EXISTS (SELECT 1 FROM entries r WHERE r.doc_id % 3 = 0 AND r.relpath = e.relpath AND r.sha256 = e.sha256)")

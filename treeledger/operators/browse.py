@@ -76,7 +76,7 @@ def text_slice(texts: DataFrame, offset: int, most: int) -> DataFrame:
 def tagged(tags: DataFrame, entries: DataFrame, tag: str, under: str = "") -> DataFrame:
     """(root, path, exists): what carries ``tag`` itself; exists if something of the path or below it is live."""
     held = tags.filter((F.col("tag") == tag) & P.under(F.col("path"), under)).select("root", "path")
-    live = entries.select("root", F.explode(P.self_and_ancestors(F.col("relpath"))).alias("path")).join(F.broadcast(held), ["root", "path"], "left_semi").distinct()
+    live = entries.select("root", F.explode(P.self_and_ancestors(F.col("relpath"))).alias("path")).join(held, ["root", "path"], "left_semi").distinct()
     return held.join(live.withColumn("e", F.lit(True)), ["root", "path"], "left").select("root", "path", F.coalesce("e", F.lit(False)).alias("exists"))
 
 
@@ -135,7 +135,7 @@ def inbox_files(entries: DataFrame, patterns: list[str]) -> DataFrame:
     up = entries.select("root", F.explode(P.ancestors(p)).alias("dir")).filter("dir <> ''").distinct()
     found = topmost(up.filter(P.basename(F.col("dir")).rlike(rx) & ~P.hidden(F.col("dir"))))
     files = entries.filter(~F.col("is_dir")).select("root", "relpath", F.when(current_hash(), F.col("sha256")).alias("h"))
-    inside = files.select("*", F.explode(P.ancestors(p)).alias("dir")).join(F.broadcast(found), ["root", "dir"])
+    inside = files.select("*", F.explode(P.ancestors(p)).alias("dir")).join(found, ["root", "dir"])
     name = P.basename(p)
     inside = inside.filter(~F.lower(name).isin(N.OS_JUNK) & ~name.rlike(N.OFFICE_LOCK)).select("root", F.col("dir").alias("inbox"), "relpath", "h")
     others = files.filter("h IS NOT NULL").join(inside.select("root", "relpath"), ["root", "relpath"], "left_anti")

@@ -36,7 +36,7 @@ def folder_moves(moves: DataFrame, before: DataFrame, after: DataFrame) -> DataF
     known = dirs(before.unionByName(moves.select("root", F.col("old").alias("relpath"), F.lit(None).cast("string").alias("sha256")))).withColumnRenamed("dir", "new_dir")
     one = cut(one.join(known, ["root", "new_dir"], "left_anti").join(dirs(after).withColumnRenamed("dir", "new_dir"), ["root", "new_dir"], "left_semi"))
     there = F.concat("new_dir", F.expr("substring(path, length(old_dir) + 1)"))
-    under = lambda df, c: df.withColumn("path", F.col(c)).withColumn("old_dir", F.explode(P.ancestors(F.col(c)))).join(F.broadcast(one), ["root", "old_dir"])
+    under = lambda df, c: df.withColumn("path", F.col(c)).withColumn("old_dir", F.explode(P.ancestors(F.col(c)))).join(one, ["root", "old_dir"])
     astray = under(moves, "old").filter(F.col("new") != there).select("root", "old_dir").distinct()
     held = under(before, "relpath").select("root", "old_dir", there.alias("relpath"), F.col("sha256").alias("h"))
     share = held.join(after.withColumnRenamed("sha256", "now"), ["root", "relpath"], "left").groupBy("root", "old_dir").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("h") == F.col("now"), 1)).alias("found"))
@@ -105,7 +105,7 @@ def chains(entries: DataFrame, least: int = 3) -> DataFrame:
 def after_plan(entries: DataFrame, ops: DataFrame) -> DataFrame:
     """(root, old, relpath, gone): entries after moves and quarantines; ops: root, path, dest (null: quarantined). The deepest op above an entry counts."""
     up = entries.select("root", "relpath", F.posexplode(P.self_and_ancestors(F.col("relpath"))).alias("d", "path"))
-    hit = up.join(F.broadcast(ops), ["root", "path"]).groupBy("root", "relpath").agg(F.max_by(F.struct("path", "dest"), "d").alias("op"))
+    hit = up.join(ops, ["root", "path"]).groupBy("root", "relpath").agg(F.max_by(F.struct("path", "dest"), "d").alias("op"))
     out = entries.select("root", "relpath").join(hit, ["root", "relpath"], "left")
     to = F.when(F.col("op.dest").isNotNull(), F.concat("op.dest", F.expr("substring(relpath, length(op.path) + 1)"))).otherwise(F.col("relpath"))
     return out.select("root", F.col("relpath").alias("old"), to.alias("relpath"), (F.col("op").isNotNull() & F.col("op.dest").isNull()).alias("gone"))
@@ -115,14 +115,14 @@ def deletion_guard(entries: DataFrame, folders: DataFrame, limit: int) -> DataFr
     """(root, relpath, below, over): files and folders below each quarantined folder, and whether they reach ``limit``."""
     p = F.col("relpath")
     every = entries.select("root", F.explode(P.self_and_ancestors(p)).alias("at")).filter("at <> ''").distinct()
-    below = every.select("root", "at", F.explode(P.ancestors(F.col("at"))).alias("relpath")).join(F.broadcast(folders.select("root", "relpath")), ["root", "relpath"]).groupBy("root", "relpath").agg(F.count(F.lit(1)).alias("below"))
+    below = every.select("root", "at", F.explode(P.ancestors(F.col("at"))).alias("relpath")).join(folders.select("root", "relpath"), ["root", "relpath"]).groupBy("root", "relpath").agg(F.count(F.lit(1)).alias("below"))
     return folders.select("root", "relpath").join(below, ["root", "relpath"], "left").fillna(0, ["below"]).withColumn("over", F.col("below") >= limit)
 
 
 def kept_or_allowed(entries: DataFrame, kept: DataFrame, allow: list[str]) -> DataFrame:
     """(root, relpath): entries that are kept or below something kept, or that an allow pattern matches, itself or a folder above; kept: root, path."""
     up = entries.select("root", "relpath", F.explode(P.self_and_ancestors(F.col("relpath"))).alias("path")).filter("path <> ''")
-    held = up.join(F.broadcast(kept), ["root", "path"], "left_semi")
+    held = up.join(kept, ["root", "path"], "left_semi")
     if allow:
         rx = "|".join(P.glob_regex(p).replace("(?s)", "") for p in allow)
         held = held.union(up.filter(F.col("path").rlike("(?s)" + rx)))
