@@ -15,9 +15,11 @@ from .operators import fold as G
 from .operators import history as H
 from .operators import hygiene as Y
 from .operators import meta as M
+from .operators import postings as I
 from .operators import saved as V
 from .operators import search as S
 from .queries import _ATTR, _EFF, _EXT, _FOUND, _NAME, _PAR, _anc, _docs, _lines, _log, _shots, _tags, _TAGS, W, query
+from .sources import shared
 from .sources import tables as T
 from .streaming import live as R
 
@@ -619,3 +621,15 @@ def reflected_deletions(spark, d):
     lines = e.select(F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("root"), said.alias("line"))
     expected = e.select(F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("root"), F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string")).alias("path")).distinct()
     return R.reflected(lines, expected)
+
+
+@query("WITH x AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents WHERE text IS NOT NULL) SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'mit')")
+def search_stored_index(spark, d):
+    """The index is written in two deltas and merged, then asked."""
+    x = T.read(spark, d, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"])
+    path, merged = shared.folder(spark), shared.folder(spark)
+    even = F.pmod(F.xxhash64("sha256"), F.lit(2)) == 0
+    I.add(x.filter(even), path)
+    I.add(x.filter(~even), path)
+    I.merge(spark, path, merged, x)
+    return I.matches(spark, merged, x, ["license", "mit"]).select("sha256")
