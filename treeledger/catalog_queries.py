@@ -151,7 +151,7 @@ def cloud_items(spark, d):
     places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     deep = c.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", F.lower("r_name"), "n_name", F.upper("c_name")).alias("path"))
     paths = deep.union(places.select(F.concat_ws("/", "r_name", "n_name"))).union(places.select(F.concat_ws("/", F.lit("nowhere"), "n_name")))
-    return B.cloud_paths(items, paths, 3)
+    return B.cloud_paths(items, paths)
 
 
 @query("SELECT 'c' || o_custkey AS item, 'out' AS direction, o_orderpriority AS kind, 'o' || o_orderkey AS other FROM orders UNION ALL SELECT 'o' || o_orderkey, 'in', o_orderpriority, 'c' || o_custkey FROM orders")
@@ -633,3 +633,16 @@ def search_stored_index(spark, d):
     I.add(x.filter(~even), path)
     I.merge(spark, path, merged, x)
     return I.matches(spark, merged, x, ["license", "mit"]).select("sha256")
+
+
+@query("""WITH w AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/2019年/2019年03月' WHEN 1 THEN source || '/2019-03' WHEN 2 THEN source || '/deep/2019' ELSE source || '/201903_title' END AS dest, CASE WHEN doc_id % 7 <> 0 THEN '2021' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '05' END AS date FROM documents),
+ n AS (SELECT *, CASE WHEN date IS NULL THEN dest WHEN doc_id % 4 = 0 THEN replace(dest, '2019年/2019年03月', '2021年/2021年' || date[5:6] || '月') WHEN doc_id % 4 = 1 THEN replace(dest, '2019-03', '2021-' || date[5:6]) WHEN doc_id % 4 = 2 THEN replace(dest, '2019', '2021') ELSE dest END AS cand FROM w),
+ k AS (SELECT DISTINCT source || '/2021年' AS dir FROM documents WHERE doc_id % 3 = 0 UNION SELECT DISTINCT source || '/2021-05' FROM documents UNION SELECT DISTINCT source FROM documents WHERE doc_id % 5 = 0)
+SELECT doc_id, CASE WHEN note <> '' THEN cand ELSE dest END AS adjusted, note FROM (SELECT *, CASE WHEN cand = dest THEN '' WHEN cand IN (SELECT dir FROM k) THEN 'moved' WHEN regexp_replace(cand, '/[^/]*$', '') IN (SELECT dir FROM k) THEN 'new' ELSE '' END AS note FROM n)""")
+def dated_destinations(spark, d):
+    t, i, s = T.read(spark, d, "documents"), F.col("doc_id"), F.col("source")
+    dest = F.when(i % 4 == 0, F.concat(s, F.lit("/2019年/2019年03月"))).when(i % 4 == 1, F.concat(s, F.lit("/2019-03"))).when(i % 4 == 2, F.concat(s, F.lit("/deep/2019"))).otherwise(F.concat(s, F.lit("/201903_title")))
+    date = F.when(i % 7 != 0, F.concat(F.lit("2021"), F.lpad((i % 12 + 1).cast("string"), 2, "0"), F.lit("05")))
+    wanted = t.select("doc_id", F.lit("docs").alias("root"), dest.alias("dest"), date.alias("date"))
+    known = t.filter(i % 3 == 0).select(F.concat(s, F.lit("/2021年")).alias("dir")).union(t.select(F.concat(s, F.lit("/2021-05")))).union(t.filter(i % 5 == 0).select(s)).distinct().withColumn("root", F.lit("docs"))
+    return D.dated_destinations(wanted, known).select("doc_id", "adjusted", "note")

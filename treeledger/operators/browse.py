@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import paths as P
+from ..functions.text import name_key
+from ..sources.shared import cut
 from .hygiene import current_hash
 
 
@@ -143,15 +145,15 @@ def inbox_files(entries: DataFrame, patterns: list[str]) -> DataFrame:
     return inside.join(counts, ["root", "h"], "left").fillna(0, ["elsewhere"]).select("root", "inbox", "relpath", "elsewhere")
 
 
-def cloud_paths(items: DataFrame, paths: DataFrame, levels: int) -> DataFrame:
-    """(path, item_id): items (id, name, parent; null at the top) found by walking a path's parts, letter case apart, up to ``levels`` parts."""
-    named = items.select(F.col("id").alias("item_id"), F.lower("name").alias("__name"), F.col("parent").alias("__parent"))
-    rows = paths.select("path", P.parts(F.lower("path")).alias("__p"))
+def cloud_paths(items: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, item_id): items (id, name, parent; null at the top) found by walking a path's parts, letter case and normal form apart, as deep as the deepest path."""
+    named = cut(items.select(F.col("id").alias("item_id"), name_key(F.col("name")).alias("__name"), F.col("parent").alias("__parent")))
+    rows = cut(paths.select("path", P.parts(name_key(F.col("path"))).alias("__p")))
     found = rows.withColumn("__at", F.get("__p", F.lit(0))).join(named.filter("__parent IS NULL"), F.col("__at") == F.col("__name")).select("path", "__p", "item_id")
     out = found.filter(F.size("__p") == 1)
-    for i in range(1, levels):
+    for i in range(1, rows.agg(F.max(F.size("__p"))).first()[0] or 1):
         step = found.filter(F.size("__p") > i).select("path", "__p", F.col("item_id").alias("__parent"), F.get("__p", F.lit(i)).alias("__name"))
-        found = step.join(named, ["__parent", "__name"]).select("path", "__p", "item_id")
+        found = cut(step.join(named, ["__parent", "__name"]).select("path", "__p", "item_id"))
         out = out.union(found.filter(F.size("__p") == i + 1))
     return out.select("path", "item_id")
 

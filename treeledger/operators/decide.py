@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+
 
 def suggestion_lookup(contents: DataFrame, suggestions: DataFrame, model: str, fallback: str, version: int) -> DataFrame:
     """(sha256, model, dest): each content's newest suggestion of ``model`` at the prompt version, else that of ``fallback``."""
@@ -103,3 +105,33 @@ def digest(sections: dict[str, DataFrame]) -> DataFrame:
         part = df.select(F.lit(name).alias("section"), F.col("key").cast("string").alias("key"), F.col("value").cast("long").alias("value"))
         out = part if out is None else out.union(part)
     return out
+
+
+# Folders whose whole name is a date (year and month in three forms, a year in two), and what they become.
+DATED = [(r"^(19|20)[0-9]{2}年[0-9]{1,2}月$", "y年m月"), (r"^(19|20)[0-9]{2}-[0-9]{2}$", "y-m"), (r"^(19|20)[0-9]{4}$", "ym"), (r"^(19|20)[0-9]{2}年$", "y年"), (r"^(19|20)[0-9]{2}$", "y")]
+
+
+def dated_destinations(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """``wanted`` (root, dest, date as yyyymmdd) with ``adjusted`` and ``note`` ('', ``moved`` or ``new``).
+
+    Folders of the destination that are named by a year or a month take the
+    date's. The result counts if that folder is known (root, dir): ``moved``,
+    or if the folder above it is, or is the root: ``new``; else the destination
+    stays as it was, as it does without a date.
+    """
+    year, month = F.substring("date", 1, 4), F.substring("date", 5, 2)
+
+    def part(p):
+        out = None
+        for pattern, form in DATED:
+            name = F.concat(*[year if c == "y" else month if c == "m" else F.lit(c) for c in form])
+            out = F.when(p.rlike(pattern), name) if out is None else out.when(p.rlike(pattern), name)
+        return out.otherwise(p)
+
+    rows = wanted.withColumn("__new", F.when(F.coalesce("date", F.lit("")) != "", F.array_join(F.transform(P.parts(F.col("dest")), part), "/")).otherwise(F.col("dest")))
+    rows = rows.withColumn("__up", P.parent(F.col("__new")))
+    there = known.select("root", F.col("dir").alias("__new")).distinct().withColumn("__there", F.lit(True))
+    above = known.select("root", F.col("dir").alias("__up")).distinct().withColumn("__above", F.lit(True))
+    held = rows.join(there, ["root", "__new"], "left").join(above, ["root", "__up"], "left")
+    note = F.when(F.col("__new") == F.col("dest"), "").when(F.col("__there"), "moved").when(F.col("__above") | (F.col("__up") == ""), "new").otherwise("")
+    return held.withColumn("note", note).withColumn("adjusted", F.when(note != "", F.col("__new")).otherwise(F.col("dest"))).select(*wanted.columns, "adjusted", "note")
