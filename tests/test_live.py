@@ -144,7 +144,7 @@ def test_a_log_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = [-1, *[e["n"] for e, _ in sorted((x for x in held if "op" in x[0]), key=lambda x: (x[0]["at"], x[1]))]]
-    assert [r.n for r in got] == want and [r.seq for r in got] == list(range(len(want)))
+    assert [r.n for r in got] == want and [r.seq for r in got] == list(range(1, len(want) + 1))
     assert sorted(r.n for r in every) == sorted([-1, *[e["n"] for e, _ in held]])
 
 

@@ -12,13 +12,13 @@ EVENT = "at string, host string, op string, root string, path string, tag string
 
 
 def numbered(rows: DataFrame, order: list[Column], into: str = "seq") -> DataFrame:
-    """``rows`` numbered from 0 in ``order``, which tells them apart; dealt by ranges, with one count a range brought together."""
+    """``rows`` numbered from 1 in ``order``, which tells them apart; dealt by ranges, with one count a range brought together."""
     names = [f"__o{i}" for i in range(len(order))]
     dealt = cut(rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).withColumn("__range", F.spark_partition_id()))
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__range", before.alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__range").orderBy(*names)) - 1
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*names))
     return dealt.withColumn("__inside", inside).join(F.broadcast(offsets), "__range").select(*rows.columns, (F.col("__before") + F.col("__inside")).cast("long").alias(into))
 
 
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema: str = EVENT, required: str | None = "op") -> DataFrame:
-    """Events of all files in one order, ``seq``: by ``at`` (missing sorts first), then file, then line.
+    """Events of all files in one order, ``seq`` from 1: by ``at`` (missing sorts first), then file, then line.
 
     Blank and broken lines are skipped, and those that aren't objects or lack
     the ``required`` field. A file is one writer's log; a half-written last

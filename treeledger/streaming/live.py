@@ -80,7 +80,7 @@ def live_facts(stream: DataFrame, path: str, checkpoint: str, table: str = "item
         if touched.isEmpty():
             return
         ordered = L.numbered(every, [F.coalesce("at", F.lit("")), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0))])
-        facts = G.fold(ordered.withColumn("seq", F.col("seq") + 1), [table])[table]
+        facts = G.fold(ordered, [table])[table]
         marks = touched.select(*[(F.col(c) if c == "root" else F.lit(None).cast(t)).alias(c) for c, t in facts.dtypes])  # so that a root without facts is replaced too
         facts.unionByName(marks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("root").parquet(f"{path}/state")
 
