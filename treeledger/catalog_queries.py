@@ -626,13 +626,13 @@ def reflected_deletions(spark, d):
 @query("WITH x AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents WHERE text IS NOT NULL) SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'mit')")
 def search_stored_index(spark, d):
     """The index is written in two deltas and merged, then asked."""
-    x = T.read(spark, d, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"])
+    x = T.read(spark, d, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("sha256"), "text")
     path, merged = shared.folder(spark), shared.folder(spark)
     even = F.pmod(F.xxhash64("sha256"), F.lit(2)) == 0
     I.add(x.filter(even), path)
     I.add(x.filter(~even), path)
     I.merge(spark, path, merged, x)
-    return I.matches(spark, merged, x, ["license", "mit"]).select("sha256")
+    return I.matches(spark, merged, x, ["license", "mit"]).select("sha256").distinct()
 
 
 @query("""WITH w AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '/2019年/2019年03月' WHEN 1 THEN source || '/2019-03' WHEN 2 THEN source || '/deep/2019' ELSE source || '/201903_title' END AS dest, CASE WHEN doc_id % 7 <> 0 THEN '2021' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '05' END AS date FROM documents),
