@@ -74,3 +74,11 @@ def test_candidates_beyond_a_broadcast(spark, monkeypatch):
     for few in (S.FEW, 0):
         monkeypatch.setattr(S, "FEW", few)
         assert want and sorted(r.sha256 for r in S.indexed_matches(S.trigram_index(frame), frame, ["ABC", "ab"]).collect()) == want
+
+
+def test_no_row_for_each_posting_of_a_search(spark):
+    rows = [(f"s{i:04}", t) for i, t in enumerate(_texts(300, 5))]
+    index = S.trigram_index(spark.createDataFrame(rows, "sha256 string, text string").coalesce(1))
+    grams = {g for _, t in rows for g in _grams(fold(t))}
+    assert index.filter("trigram IS NOT NULL").count() == len(grams) < sum(len(_grams(fold(t))) for _, t in rows) / 2
+    assert index.filter("trigram IS NULL").agg({"n": "sum"}).first()[0] == sum(len(_grams(fold(t))) for _, t in rows)

@@ -161,7 +161,7 @@ def search_collapsed(spark, d):
 
 
 def _extracts(spark, d):
-    return T.read(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), "text").dropDuplicates(["sha256"])
+    return T.read(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), "text")
 
 
 _TEXT = "WITH x AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents)"
@@ -169,13 +169,13 @@ _TEXT = "WITH x AS (SELECT DISTINCT sha256(text) AS sha256, text FROM documents)
 
 @query(f"{_TEXT} SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
 def search_text_scan(spark, d):
-    return S.text_matches(_extracts(spark, d), ["license", "the"]).select("sha256")
+    return S.text_matches(_extracts(spark, d), ["license", "the"]).select("sha256").distinct()
 
 
 @query(f"{_TEXT} SELECT sha256 FROM x WHERE contains(lower(text), 'license') AND contains(lower(text), 'the')")
 def search_text_indexed(spark, d):
     x = _extracts(spark, d)
-    return S.indexed_matches(S.trigram_index(x), x, ["license", "the"]).select("sha256")
+    return S.indexed_matches(S.trigram_index(x), x, ["license", "the"]).select("sha256").distinct()
 
 
 @query("SELECT doc_id, CASE WHEN greatest(strpos(lower(text), 'license') - 40, 1) > 1 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, greatest(strpos(lower(text), 'license') - 40, 1), 120), '\\s+', ' ', 'g')) || CASE WHEN greatest(strpos(lower(text), 'license') - 40, 1) + 119 < length(text) THEN '…' ELSE '' END AS snippet FROM documents WHERE contains(lower(text), 'license')")
